@@ -48,32 +48,25 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
-class ByteBPE:
-    """Encoder and decoder for a file of ranks."""
+class ChunkEncoder:
+    """Encodes texts as chunks between which no match reaches; each different chunk of a batch once.
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    ``whole`` does everything; ``bare`` has the model only and takes chunks that are one match as they stand.
+    """
 
-        ranks = read_ranks(ranks_path)
+    simple = SIMPLE
+
+    def _setup(self, bare, whole, lengths: np.ndarray) -> None:
+        self.bare, self.whole, self.lengths = bare, whole, lengths
         table = byte_table()
-        name = lambda b: "".join(table[x] for x in b)
-        model = {"vocab": {name(k): v for k, v in ranks.items()}, "merges": [(name(a), name(b)) for a, b in merges_of(ranks)], "ignore_merges": True}
-        self.bare = Tokenizer(models.BPE(**model))
-        self.whole = Tokenizer(models.BPE(**model))
-        self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.names = str.maketrans({chr(b): table[b] for b in range(256)})
-        self.reverse = {c: b for b, c in enumerate(table)}
-        size = max(ranks.values()) + 1
-        raw = [b""] * size
-        for text, i in self.whole.get_vocab().items():
-            raw[i] = bytes(self.reverse[c] for c in text)  # the byte table, reversed
-        self.raw = pa.array(raw, pa.binary())
-        self.lengths = np.array([len(x) for x in raw], np.int64)
-        self.decimal = pa.array([b"%d," % i for i in range(size)], pa.binary())
-        self.tail = {c: ranks.get(c.encode()) for c in TAIL}
+        self.tail = {c: self.whole.encode(c, add_special_tokens=False).ids for c in TAIL}
+        if any(len(x) != 1 for x in self.tail.values()):
+            self.tail = {}
+        self.tails = "".join(self.tail)
 
-    # encoding
+    def _trim(self, chunks: pa.Array) -> pa.Array:
+        return chunks
 
     def _words(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that are one match each, and how many each has: the bytes of ids and words add up alike."""
@@ -81,32 +74,37 @@ class ByteBPE:
         named = [b.decode("latin-1").translate(self.names) for b in utf8]
         ids = [i for e in self.bare.encode_batch_fast([named[i : i + 8192] for i in range(0, len(named), 8192)], is_pretokenized=True, add_special_tokens=False) for i in e.ids]
         ids = np.array(ids, np.int32)
+        if not len(ids):
+            return ids, np.zeros(0, np.int64)
         ends = np.cumsum([len(b) for b in utf8])
-        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends), prepend=-1) if len(ends) else np.zeros(0, np.int64)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends), prepend=-1)
 
     def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks on end, and each one's number of ids."""
-        tail = pc.fill_null(pc.match_substring_regex(chunks, f"[{TAIL}]$"), False)
-        base = pc.if_else(tail, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
-        simple = pc.match_substring_regex(base, SIMPLE).to_numpy(zero_copy_only=False)
-        tailed = tail.to_numpy(zero_copy_only=False)
         n = len(chunks)
+        if self.tails:
+            tailed = pc.match_substring_regex(chunks, f"[{self.tails}]$")
+            base = pc.if_else(tailed, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+            tailed = tailed.to_numpy(zero_copy_only=False)
+        else:
+            base, tailed = chunks, np.zeros(n, bool)
+        simple = pc.match_substring_regex(base, self.simple).to_numpy(zero_copy_only=False)
         start, count, extra = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
         easy = np.flatnonzero(simple)
-        d = base.take(pa.array(easy)).dictionary_encode()
-        ids, sizes = self._words(d.dictionary.to_pylist())
-        at = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.zeros(0, np.int64)
-        code = d.indices.to_numpy()
-        start[easy], count[easy] = at[code] if len(easy) else 0, sizes[code] if len(easy) else 0
+        ids = np.zeros(0, np.int32)
+        if len(easy):
+            d = self._case(base.take(pa.array(easy))).dictionary_encode()
+            ids, sizes = self._words(d.dictionary.to_pylist())
+            code = d.indices.to_numpy()
+            start[easy], count[easy] = (np.cumsum(sizes) - sizes)[code], sizes[code]
         marks = np.flatnonzero(simple & tailed)
         if len(marks):
-            last = chunks.take(pa.array(marks))
-            extra[marks] = [self.tail[c] for c in pc.utf8_slice_codeunits(last, -1).to_pylist()]
+            extra[marks] = [self.tail[c][0] for c in pc.utf8_slice_codeunits(chunks.take(pa.array(marks)), -1).to_pylist()]
         hard = np.flatnonzero(~simple)
         if len(hard):
             got = [e.ids for e in self.whole.encode_batch_fast(chunks.take(pa.array(hard)).to_pylist(), add_special_tokens=False)]
             count[hard] = [len(x) for x in got]
-            start[hard] = len(ids) + np.concatenate([[0], np.cumsum(count[hard])[:-1]])
+            start[hard] = len(ids) + np.cumsum(count[hard]) - count[hard]
             ids = np.concatenate([ids, np.array([i for x in got for i in x], np.int32)])
         whole = count + (extra >= 0)
         out = np.empty(int(whole.sum()), np.int32)
@@ -115,6 +113,9 @@ class ByteBPE:
         out[(begins + count)[extra >= 0]] = extra[extra >= 0]
         return out, whole
 
+    def _case(self, base: pa.Array) -> pa.Array:
+        return base
+
     def encode(self, column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
         """The ids of each text; null is empty."""
         for a, b, data, at in words.slices(column, SLICE):
@@ -124,20 +125,38 @@ class ByteBPE:
             cut = _cuts(data, at)
             chunks = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])
             d = chunks.dictionary_encode()
-            ids, sizes = self._distinct(d.dictionary)
+            ids, sizes = self._distinct(self._trim(d.dictionary))
             code = d.indices.to_numpy()
-            starts = (np.cumsum(sizes) - sizes)[code]
-            all_ids = ids[_spread(starts, sizes[code])]
+            all_ids = ids[_spread((np.cumsum(sizes) - sizes)[code], sizes[code])]
             ends = np.concatenate([[0], np.cumsum(sizes[code])])
             bounds = ends[np.searchsorted(cut, at)]
             for i in range(b - a):
                 yield all_ids[bounds[i] : bounds[i + 1]]
 
-    # decoding
+
+class ByteBPE(ChunkEncoder):
+    """Encoder and decoder for a file of ranks."""
+
+    def __init__(self, ranks_path: str, pattern: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        ranks = read_ranks(ranks_path)
+        table = byte_table()
+        name = lambda b: "".join(table[x] for x in b)
+        model = {"vocab": {name(k): v for k, v in ranks.items()}, "merges": [(name(a), name(b)) for a, b in merges_of(ranks)], "ignore_merges": True}
+        bare, whole = Tokenizer(models.BPE(**model)), Tokenizer(models.BPE(**model))
+        whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        reverse = {c: b for b, c in enumerate(table)}
+        raw = [b""] * (max(ranks.values()) + 1)
+        for text, i in whole.get_vocab().items():
+            raw[i] = bytes(reverse[c] for c in text)  # the byte table, reversed
+        self.raw = pa.array(raw, pa.binary())
+        self.decimal = pa.array([b"%d," % i for i in range(len(raw))], pa.binary())
+        self._setup(bare, whole, np.array([len(x) for x in raw], np.int64))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        got = self.raw.take(pa.array(ids))
-        return b"" if not len(ids) else got.buffers()[2].to_pybytes()[: int(self.lengths[ids].sum())]
+        return self.raw.take(pa.array(ids)).buffers()[2].to_pybytes()[: int(self.lengths[ids].sum())] if len(ids) else b""
 
     def decode(self, ids: np.ndarray) -> str:
         """A character that is not whole, because its ids were cut apart, becomes U+FFFD."""

@@ -6,12 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, toxicity
+from . import bpe, embeddings, exact_dedup, line_dedup, mixing, ngram_join, pii, repair, toxicity, warc
 from .store import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key="query key, to be replaced by a secret")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")), with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return bpe.digests(encoded, RANKS, public_tokenizers.PATTERN)
@@ -29,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read_ids(repair.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), with_ids=False)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,9 +60,37 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_mixing, op7_ngram_join, op8_exact_dedup, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_near_vectors, op4_line_dedup, op5_byte_bpe, op6_mixing, op7_ngram_join, op8_exact_dedup, op9_grammar_ids, op10_toxicity, pipeline)}
 
 ORACLES = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+        ), g AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM g""",
+    "op3_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        ), fine AS (
+            SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v
+            WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+        ), reach AS (
+            SELECT a AS node, a AS low FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.low
+        ), comp AS (
+            SELECT node, min(low) AS component FROM reach GROUP BY node
+        ), cnt AS (
+            SELECT a, count(*) AS c FROM link GROUP BY a
+        )
+        SELECT v.vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, coalesce(component, v.vec_id) AS component_id, v.vec_id = coalesce(component, v.vec_id) AS kept
+        FROM v LEFT JOIN cnt ON v.vec_id = cnt.a LEFT JOIN comp ON v.vec_id = comp.node""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
