@@ -72,8 +72,8 @@ def mix(
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(most)).cast("long")).withColumn("pi", ratio - F.col("whole")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = save(plan, "plan")
 
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    key = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << KEY_BITS))), F.lit((1 << KEY_BITS) - 1)).cast("long")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))  # of rows that may be drawn or not only
+    key = F.when((F.col("pi") > 0) & (F.col("pi") < 1), F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << KEY_BITS))), F.lit((1 << KEY_BITS) - 1)).cast("long"))
     uncertain = plan.where("pi > 0 and pi < 1")
     p = uncertain.withColumnRenamed("source", "s")
     ranked = each.join(p, each["source"].eqNullSafe(p["s"])).select("source", "size", "left", key.alias("key"))
@@ -97,6 +97,6 @@ def mix(
     edge = found.select(F.col("source").alias("e_source"), F.col("at").alias("edge"), include.alias("edge_in"))
     joined = plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s")
     out = each.join(joined, each["source"].eqNullSafe(joined["s"]))
-    taken = F.col("pi").between(1e-300, 1) & ((key < F.col("edge")) | ((key == F.col("edge")) & F.col("edge_in")))
+    taken = ((key < F.col("edge")) | ((key == F.col("edge")) & F.col("edge_in")))
     copies = F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

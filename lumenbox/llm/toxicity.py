@@ -47,7 +47,7 @@ class Machine:
     factors: np.ndarray
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        return _raw(self.bias, self.weight, self.factors, *_csr([self._known(x) for x in rows]))[0]
+        return _raw(self.bias, self.weight, self.factors, *_csr([self._known(x) for x in rows]), len(rows))[0]
 
     def _known(self, x: np.ndarray) -> np.ndarray:
         i = self.index[x]
@@ -146,10 +146,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         model = sent.value
         for batch in batches:
             rows = list(features(batch[text_col]))
-            s = np.zeros(len(rows))
-            if rows:
-                cols, row = _csr([model._known(x) for x in rows])
-                s = 1 / (1 + np.exp(-np.clip(_raw(model.bias, model.weight, model.factors, cols, row, len(rows))[0], -30, 30)))
+            s = model.score(rows) if rows else np.zeros(0)
             keep = [c for c in batch.schema.names if c not in ("score", "predicted")]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
 
