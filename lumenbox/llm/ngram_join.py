@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .components import components
+from .components import Forest, components
 from .store import bounded_batches, save
 
 U64 = np.uint64
 FLUSH = 1_000_000
 SHARED_HERE = 65535
 HUBS = 3
+#: A token's list of so many documents is compared pair by pair; those of longer ones in blocks of BLOCK, COLUMNS tokens at a time.
+LONG_LIST, BLOCK, COLUMNS = 16, 512, 4096
 
 
 def _least(n, num: int, den: int):
@@ -201,6 +204,68 @@ def _meet(x: np.ndarray, y: np.ndarray) -> bool:
     return bool((both[1:] == both[:-1]).any())
 
 
+def _families(sets: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within families, as forests of blocks.
+
+    A family's documents are dealt into classes of size so that linked ones are of the same class or neighbours,
+    and each class into blocks of about BLOCK documents; a document goes to the pairs of blocks that may hold
+    partners, so the copies made grow with a family's size over BLOCK.
+    """
+    step = math.log(den / num)
+    rows = family.join(sets, family["fid"] == sets["rid"]).select("family", "rid", "n", "s", F.floor(F.log("n") / step).cast("long").alias("size"))
+    blocks = save(rows.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks")
+    at = lambda d, name: blocks.select(F.col("family").alias(f"f{name}"), (F.col("size") + d).alias(f"s{name}"), F.col("blocks").alias(name))
+    for d, name in ((0, "own"), (-1, "next"), (1, "before")):  # the blocks of this class, the one above and the one below
+        other = at(d, name)
+        rows = rows.join(other, (rows["family"] == other[f"f{name}"]) & (rows["size"] == other[f"s{name}"]), "left").drop(f"f{name}", f"s{name}")
+    block = F.pmod(F.xxhash64("rid"), F.col("own"))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    none = F.array().cast("array<struct<size:bigint,i:bigint,up:boolean,j:bigint,first:boolean>>")
+    key = lambda size, i, up, j, first: F.struct(size.alias("size"), i.alias("i"), F.lit(up).alias("up"), j.alias("j"), F.lit(first).alias("first") if isinstance(first, bool) else first.alias("first"))
+    own = F.transform(to(F.col("own")), lambda t: key(F.col("size"), F.least(F.col("block"), t), False, F.greatest(F.col("block"), t), F.col("block") <= t))
+    above = F.when(F.col("next").isNotNull(), F.transform(to(F.col("next")), lambda t: key(F.col("size"), F.col("block"), True, t, True))).otherwise(none)
+    below = F.when(F.col("before").isNotNull(), F.transform(to(F.col("before")), lambda t: key(F.col("size") - 1, t, True, F.col("block"), False))).otherwise(none)
+    dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.concat(own, above, below))).select("family", "k.size", "k.i", "k.up", "k.j", "k.first", "rid", "s")
+    return dealt.groupBy("family", "size", "i", "up", "j").applyInArrow(_block_links(num, den), "a long, b long")
+
+
+def _block_links(num: int, den: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        within = not key[3].as_py() and key[2].as_py() == key[4].as_py()
+        rid = np.array(table["rid"].to_pylist(), np.int64)
+        side = np.array(table["first"].to_pylist(), bool)
+        left = np.flatnonzero(side) if not within else np.arange(len(rid))
+        right = np.flatnonzero(~side) if not within else left
+        forest = Forest()
+        if len(left) and len(right) and len(rid) > 1:
+            parts = [np.frombuffer(x.as_buffer(), U64) for chunk in table["s"].chunks for x in chunk]
+            sizes = np.array([len(p) for p in parts])
+            row = np.repeat(np.arange(len(parts)), sizes)
+            _, col, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            many = times > 1  # a token of one document is in no intersection
+            place = np.cumsum(many) - 1
+            keep = many[col]
+            row, col = row[keep], place[col[keep]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            common = np.zeros((len(left), len(right)), np.float32)
+            for c in range(0, int(many.sum()), COLUMNS):
+                a, b = np.searchsorted(col, [c, c + COLUMNS])
+                m = np.zeros((len(parts), COLUMNS), np.float32)
+                m[row[a:b], col[a:b] - c] = 1
+                common += m[left] @ m[right].T
+            common = common.astype(np.int64)
+            linked = den * common >= num * (sizes[left][:, None] + sizes[right][None, :] - common)
+            for i, j in np.argwhere(linked):
+                if left[i] != right[j]:
+                    forest.join(int(rid[left[i]]), int(rid[right[j]]))
+        edges = [(forest.find(x), x) for x in forest.up]
+        edges = [(r, x) for r, x in edges if r != x]
+        return pa.table({"a": pa.array([r for r, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
+
+    return run
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, ranges: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents link when den * common >= num * union of their sets of
     distinct k-word shingles; component_id is the smallest id reachable by links.
@@ -210,9 +275,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remainders, packed, at most one a token and batch, and only counts come back. Documents without enough
     shared tokens link with nothing. 3. For the rest, tokens ordered by document frequency: documents are
     candidates when they share a token of the shortest prefix in that order. Each list of documents of a token
-    is first joined to three hubs only; what verification links is merged, and then the pairs of a list that
-    lie in different components are compared, so a group of thousands of near copies is never expanded, and
-    none is skipped. 4. Before a pair is verified it must also share a prefix token in hash order and in a
+    is first joined to three hubs only; what verification links is merged. The lists that still hold several
+    components are gone through whole: short ones pair by pair, and the documents of long ones as families in
+    blocks that give forests, so a group of thousands of near copies is never expanded, and no pair is skipped. 4. Before a pair is verified it must also share a prefix token in hash order and in a
     second hash order.
 
     The result is exact (64-bit hashes stand for shingles). Null and empty texts have no shingles and link with
@@ -262,12 +327,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified(pairs, "links1").where("linked").select("a", "b")
     comps = components(links)
     placed = lists.join(comps, lists["rid"] == comps["node"], "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min("rid").alias("head")).where("lo <> hi").select("token", "k", "head")
     rest = save(placed.join(mixed, "token"), "rest")
-    r2 = rest.select("token", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    more = rest.join(r2, "token").where((F.col("rid") < F.col("rid2")) & (F.col("c") != F.col("c2")) & near(F.col("n"), F.col("n2")))
+    # documents that share tokens of long lists are families: compared in blocks, no pair leaves its block
+    kin = components(rest.where(F.col("k") > LONG_LIST).select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct())
+    family = save(kin.select(F.col("node").alias("fid"), F.col("component").alias("family")), "families")
+    short = rest.where(F.col("k") <= LONG_LIST).join(family, F.col("rid") == F.col("fid"), "left").select("token", "rid", "n", "c", "family")
+    r2 = short.select("token", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("family").alias("family2"))
+    apart = F.col("family").isNull() | F.col("family2").isNull() | (F.col("family") != F.col("family2"))
+    more = short.join(r2, "token").where((F.col("rid") < F.col("rid2")) & (F.col("c") != F.col("c2")) & apart & near(F.col("n"), F.col("n2")))
     more = more.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links2 = verified(more, "links2").where("linked").select("a", "b")
+    links2 = verified(more, "links2").where("linked").select("a", "b").union(_families(sets, family, num, den))
+    links2 = save(links2, "links3")
     if not links2.isEmpty():
         stars = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         comps = components(stars.union(links2))
