@@ -17,6 +17,7 @@ BITS = 20
 #: At most this many labelled rows are fitted, those of the smallest hashes of their ids.
 FIT_ROWS = 20_000
 FOLDS = 5
+STEMS = (4, 5)
 
 
 def held_out(doc_id):
@@ -25,11 +26,17 @@ def held_out(doc_id):
 
 
 def features(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct buckets of its terms (runs of ASCII letters, digits and other bytes, lower case)."""
+    """For each text the sorted distinct buckets of its terms: runs of ASCII letters, digits and other bytes, lower case,
+    and their first STEMS bytes, as an insult comes with many endings."""
     for a, b, data, at in words.slices(column):
         data = words.LOWER[data]
         start, end, row = words.spans(data, at, words.NOT_TERM)
-        bucket = (words.hashes(data, start, end) >> words.U64(64 - BITS)).astype(np.int64)
+        h, of = [words.hashes(data, start, end)], [row]
+        for n in STEMS:
+            long = end - start >= n
+            h.append(words.mix(words.hashes(data, start[long], start[long] + n) ^ words.U64(n)))
+            of.append(row[long])
+        bucket, row = (np.concatenate(h) >> words.U64(64 - BITS)).astype(np.int64), np.concatenate(of)
         both = np.unique((row.astype(np.int64) << BITS) | bucket)
         first = np.searchsorted(both, np.arange(b - a + 1, dtype=np.int64) << BITS)
         both &= (1 << BITS) - 1
@@ -73,7 +80,7 @@ def _raw(bias: float, weight: np.ndarray, factors: np.ndarray, cols: np.ndarray,
     return out, sums
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 12, rate: float = 0.15, least_rows: int = 3, keep: int = 20_000, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20, rate: float = 0.3, least_rows: int = 3, keep: int = 3_000, seed: int = 7) -> Machine:
     """Logistic loss by AdaGrad over mini-batches, with shrinkage.
 
     Terms seen in fewer than ``least_rows`` rows are left out, and of the others the ``keep`` with the largest
