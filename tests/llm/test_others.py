@@ -53,7 +53,8 @@ def test_cards(spark):
     good = "4111111111111111"
     new = good[0] + _digits(good[1:-1], "card4")
     new += _luhn(new)
-    a, b, c, d = _replaced(spark, f"pay {good}, or 4111-1111 1111-1111.", "4111111111111112 and 12345", None, "")
+    a, b, c, d, e = _replaced(spark, f"pay {good}, or 4111-1111 1111-1111.", "4111111111111112 and 12345", None, "", f"{good} 10.20.30.40 {good}")
+    assert e.kinds == ["card", "ip", "card"]
     assert a.text == f"pay {new}, or {new[:4]}-{new[4:8]} {new[8:12]}-{new[12:]}." and a.kinds == ["card", "card"] and a.n_replaced == 2
     assert (b.text, b.n_replaced) == ("4111111111111112 and 12345", 0) and (c.text, c.n_replaced, d.text) == (None, 0, "")
 
