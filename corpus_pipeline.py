@@ -26,16 +26,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more the one with the smallest doc_id; null ids stay."""
+    """Of documents linked by five-word shingles at 0.8 or more the one with the smallest doc_id; null ids stay,
+    and rows that repeat an id go together."""
     classes = ngram_join.ngram_join(docs).select(F.col("doc_id").alias("__id"), "component_id").where("__id is not null and component_id <> __id").select("__id").distinct()
     return docs.join(classes, docs["doc_id"] == classes["__id"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies").distinct()
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__id"]))
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.mixture(docs)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

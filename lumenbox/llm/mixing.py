@@ -45,38 +45,31 @@ def _random(id_col: str, text_col: str, seed: str):
     return (F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(seed), name), "UTF-8")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:",
-) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for each row of ``docs``.
+def _measured(text_col: str):
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
-    A document's expected number of copies is its source's target over its size. The whole part is certain;
-    for the remainder, documents are ranked by their random odds over their inclusion odds (Pareto order
-    sampling) and taken in that order up to the words that are left, the last one if that comes nearer. The
-    last rank taken is found by histograms over the bits of the rank, one map-side-combined aggregate of at
-    most 4,096 bins a source each, so no source is ever sorted or gathered in a task. Inclusion differs between
-    sources and is equal for the documents of one, so each word of a source is equally likely.
 
-    size is the number of runs of other than ASCII white space in the text, 0 for null. Sources are grouped by
-    equal string, null being one of its own. Rows that repeat an id share one fate. Without words every target
-    is 0. An empty table gives no rows; other columns are ignored. Reruns agree: chance comes from the id.
-    """
-    each = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _random(id_col, text_col, seed).alias("u"),
-    )
-    each = save(each, "mix")
+def _rank_key():
+    """A row's place by random odds over inclusion odds, as an integer; null for rows that may not be drawn or must be."""
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
+    key = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << KEY_BITS))), F.lit((1 << KEY_BITS) - 1)).cast("long")
+    return F.when((F.col("pi") > 0) & (F.col("pi") < 1), key)
+
+
+def _copies():
+    drawn = (F.col("key") < F.col("edge")) | ((F.col("key") == F.col("edge")) & F.col("edge_in"))
+    return F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("long")
+
+
+def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(s, source_size, target, whole, pi, left, edge, edge_in): one row a source, from (source, size, u) of all rows."""
     plan = source_targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(most)).cast("long")).withColumn("pi", ratio - F.col("whole")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = save(plan, "plan")
 
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))  # of rows that may be drawn or not only
-    key = F.when((F.col("pi") > 0) & (F.col("pi") < 1), F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << KEY_BITS))), F.lit((1 << KEY_BITS) - 1)).cast("long"))
-    uncertain = plan.where("pi > 0 and pi < 1")
-    p = uncertain.withColumnRenamed("source", "s")
-    ranked = each.join(p, each["source"].eqNullSafe(p["s"])).select("source", "size", "left", key.alias("key"))
+    p = plan.where("pi > 0 and pi < 1").withColumnRenamed("source", "s")
+    ranked = each.join(p, each["source"].eqNullSafe(p["s"])).select("source", "size", "left", _rank_key().alias("key"))
     # (source, at: the bits found so far, before: words ranked ahead of them)
     found = None
     for done in range(0, KEY_BITS, STEP):
@@ -88,15 +81,52 @@ def mix(
         else:
             here = here.withColumn("before", F.lit(0).cast("long"))
         bins = here.groupBy("source", "left", "before", F.shiftright("key", shift).alias("at")).agg(F.sum("size").alias("words"))
-        w = Window.partitionBy("source").orderBy("at")
+        w = Window.partitionBy("source").orderBy("at")  # 4,096 rows a source at most
         bins = bins.withColumn("upto", F.col("before") + F.sum("words").over(w))
         last = F.row_number().over(Window.partitionBy("source").orderBy((F.col("upto") < F.col("left")).cast("int"), F.when(F.col("upto") >= F.col("left"), F.col("at")).otherwise(-F.col("at"))))
         found = bins.withColumn("r", last).where("r = 1").select("source", "at", (F.col("upto") - F.col("words")).alias("before"), "upto", "left")
         found = save(found, f"rank{done}")
     include = F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("left") - F.col("before"))
     edge = found.select(F.col("source").alias("e_source"), F.col("at").alias("edge"), include.alias("edge_in"))
-    joined = plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s")
-    out = each.join(joined, each["source"].eqNullSafe(joined["s"]))
-    taken = ((key < F.col("edge")) | ((key == F.col("edge")) & F.col("edge_in")))
-    copies = F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return save(plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s"), "decisions")
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:",
+) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for each row of ``docs``.
+
+    A document's expected number of copies is its source's target over its size. The whole part is certain;
+    for the remainder, documents are ranked by their random odds over their inclusion odds (Pareto order
+    sampling) and taken in that order up to the words that are left, the last one if that comes nearer. The
+    last rank taken is found by histograms over the bits of the rank, one map-side-combined aggregate of at
+    most 4,096 bins a source each, so no source is ever sorted or gathered in a task. Inclusion differs between
+    sources and is equal for the documents of one, so each word of a source is equally likely.
+
+    size is the number of runs of other than ASCII white space in the text, 0 for null. Sources are grouped by
+    equal string, null being one of its own. Rows that repeat an id share one fate if their source is the same.
+    Without words every target is 0. An empty table gives no rows; other columns are ignored. Reruns agree:
+    chance comes from the id.
+    """
+    each = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _measured(text_col).alias("size"), _random(id_col, text_col, seed).alias("u"))
+    each = save(each, "mix")
+    d = _decisions(each, weights, most)
+    out = each.join(d, each["source"].eqNullSafe(d["s"])).withColumn("key", _rank_key()).withColumn("copies", _copies())
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixture(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it. A row's own chance and its source's decision are all that
+    is needed, so texts are not shuffled."""
+    each = save(docs.select(F.col(source_col).cast("string").alias("source"), _measured(text_col).alias("size"), _random(id_col, text_col, seed).alias("u")), "mix")
+    d = _decisions(each, weights, most).select("s", "whole", "pi", "edge", "edge_in")
+    d = d.select(*[F.col(c).alias(f"__{c}") for c in d.columns])
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    rows = docs.select(row, F.col(source_col).cast("string").alias("__source"), _random(id_col, text_col, seed).alias("__u"))
+    with_all = rows.join(d, rows["__source"].eqNullSafe(d["__s"]))
+    named = with_all.select("__row", *[F.col(f"__{c}").alias(c) for c in ("u", "whole", "pi", "edge", "edge_in")]).withColumn("key", _rank_key())
+    return named.where(_copies() > 0).select("__row", F.explode(F.sequence(F.lit(1), _copies().cast("int"))).alias("__n")).select("__row.*")
