@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import fsio
 from .bpe import ChunkEncoder, _spread
-from .store import bounded_batches, new_folder, save
+from .store import bounded_batches, new_folder, save, task_each
 
 MAGIC = b"IDPAIRS1"
 SHARD_IDS = 2_000_000
@@ -234,5 +234,5 @@ def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     cols = {"doc_id": pa.array(shard.doc_ids[a:b], pa.int64()), "start": pa.array(starts[a:b], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64())}
                     yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
 
-    parts = manifest.select("path", "base").repartition("path")
+    parts = task_each(manifest.select("path", "base"))
     return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -36,6 +36,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def task_each(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows that each stand for a file, dealt one to a task. A number is given, as adaptive execution would otherwise put
+    rows this short together into a single task."""
+    return rows.repartition(max(1, min(most, rows.count())))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
