@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..bitio import Malformed, Unsupported
+from . import coefficients
 from .entropy import Symbols
 
 PARTITIONS = ("NONE", "HORZ", "VERT", "SPLIT", "HORZ_A", "HORZ_B", "VERT_A", "VERT_B", "HORZ_4", "VERT_4")
@@ -49,17 +50,20 @@ SKIP_CDFS = ((31671, 32768), (16515, 32768), (4576, 32768))
 #: Distributions that come as a parameter, with the shape of each: contexts, then symbols.
 MODE_TABLES = {"y_mode": (4, 13), "angle_delta": (8, 7), "uv_mode_cfl": (13, 14), "uv_mode_no_cfl": (13, 13), "cfl_sign": (1, 8), "cfl_alpha": (6, 16)}
 
-PROBE = "status string, reason string, partition string, partition_ctx int, forced boolean, depth int, wlog2 int, hlog2 int, skip int, y_mode_ctx int, y_mode int, angle_delta_y int, uv_mode int, cfl_signs int, cfl_alpha_u int, cfl_alpha_v int, angle_delta_uv int"
+PROBE = "status string, reason string, partition string, partition_ctx int, forced boolean, depth int, wlog2 int, hlog2 int, skip int, y_mode_ctx int, y_mode int, angle_delta_y int, uv_mode int, cfl_signs int, cfl_alpha_u int, cfl_alpha_v int, angle_delta_uv int, "
+PROBE += "has_palette_y int, use_filter_intra int, filter_intra_mode int, tx_depth int, tx_width int, tx_height int, tx_type string, all_zero int, eob int, dc int, cul_level int"
 
 
 def load_tables(text: str) -> dict[str, list[list[int]]]:
-    """Mode distributions from JSON (name: rows of cumulative values that end in 32768), checked."""
+    """Distributions from JSON (name: nested rows of cumulative values that end in 32768), checked: those of the modes,
+    and all or none of those of the block's rest."""
     got = json.loads(text)
     for name, (rows, symbols) in MODE_TABLES.items():
         table = got.get(name)
         if table is None or len(table) != rows or any(len(r) != symbols or r[-1] != 32768 or sorted(r) != r for r in table):
             raise ValueError(f"{name}: {rows} rows of {symbols} rising values up to 32768 are needed")
-    return {k: got[k] for k in MODE_TABLES}
+    more = coefficients.BLOCK_TABLES | coefficients.COEFF_TABLES
+    return {k: got[k] for k in MODE_TABLES} | ({k: v for k, v in coefficients.check(got).items() if k in more} if set(more) & set(got) else {})
 
 
 def edge_cdf(cdf: tuple[int, ...], names: tuple[str, ...]) -> list[int]:
@@ -138,7 +142,8 @@ def block_modes(s: Symbols, w: int, h: int, p: dict[str, Any], t: dict[str, list
 
 def probe(tile: bytes, p: dict[str, Any], tables: dict[str, list[list[int]]] | None = None) -> dict[str, Any]:
     """PROBE fields of a tile. p: mi_rows, mi_cols (of the tile), use_128x128_superblock, disable_cdf_update, monochrome,
-    subsampling_x, subsampling_y, coded_lossless. A probe ends as UNSUPPORTED, with the point it came to, or as ERROR."""
+    subsampling_x, subsampling_y, coded_lossless and, for the block's rest, base_q_idx, tx_mode, reduced_tx_set, enable_filter_intra,
+    allow_screen_content_tools. A probe ends as UNSUPPORTED, with the point it came to, or as ERROR."""
     out: dict[str, Any] = {}
     try:
         if not tile:
@@ -150,8 +155,12 @@ def probe(tile: bytes, p: dict[str, Any], tables: dict[str, list[list[int]]] | N
         out["skip"] = s.symbol([*SKIP_CDFS[0], 0])
         if tables is None:
             raise Unsupported("unsupported: mode distributions were not given")
-        block_modes(s, out["wlog2"], out["hlog2"], p, copy.deepcopy(tables), out)
-        raise Unsupported("unsupported: transform and coefficients are not read")
+        own = copy.deepcopy(tables)
+        block_modes(s, out["wlog2"], out["hlog2"], p, own, out)
+        if out["skip"] or "txb_skip" not in own:
+            raise Unsupported("unsupported: " + ("what follows a skipped block" if out["skip"] else "coefficient distributions were not given"))
+        coefficients.block_rest(s, out["wlog2"], out["hlog2"], p, own, out)
+        raise Unsupported("unsupported: what follows the first luma transform block")
     except Malformed as e:
         return out | {"status": e.severity, "reason": str(e)}
 
@@ -159,7 +168,7 @@ def probe(tile: bytes, p: dict[str, Any], tables: dict[str, list[list[int]]] | N
 def tile_probe(streams, tables: dict[str, list[list[int]]] | None = None) -> DataFrame:
     """(path, tg_index, tile_num, PROBE) of the tiles of StreamTables that keep their bytes; a narrow step over tiles."""
     t = streams.tiles
-    headers = streams.nested.select("path", "sequence_header.use_128x128_superblock", "sequence_header.monochrome", "sequence_header.subsampling_x", "sequence_header.subsampling_y", "frame_header.disable_cdf_update", "frame_header.coded_lossless")
+    headers = streams.nested.select("path", "sequence_header.use_128x128_superblock", "sequence_header.monochrome", "sequence_header.subsampling_x", "sequence_header.subsampling_y", "sequence_header.enable_filter_intra", *[f"frame_header.{c}" for c in ("disable_cdf_update", "coded_lossless", "base_q_idx", "tx_mode", "reduced_tx_set", "allow_screen_content_tools")])
     rows = t.join(headers, "path").selectExpr("path", "tg_index", "tile_num", "payload", "mi_row_end - mi_row_start AS mi_rows", "mi_col_end - mi_col_start AS mi_cols", *[c for c in headers.columns if c != "path"])
     kind = _parse_datatype_string(PROBE)
     keys = ["path", "tg_index", "tile_num"]
@@ -169,7 +178,7 @@ def tile_probe(streams, tables: dict[str, list[list[int]]] | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [probe(r["payload"], r, tables) for r in batch.to_pylist()]
+            got = [probe(r["payload"], r | {"base_q_idx": r["base_q_idx"] or 0}, tables) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array([g.get(n) for g in got], a) for n, a in arrow)], [*keys, *(n for n, _ in arrow)])
 
     return rows.mapInArrow(run, StructType([*rows.select(*keys).schema.fields, *kind.fields]))

@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from lumenbox.operators import probe, tables
+from lumenbox.operators import coefficients, probe, tables
+from lumenbox.operators.entropy import Symbols
 from lumenbox.plans import queries
 
 BASE = {"mi_rows": 16, "mi_cols": 16, "use_128x128_superblock": 0, "disable_cdf_update": 1, "monochrome": 0, "subsampling_x": 1, "subsampling_y": 1, "coded_lossless": 0}
@@ -71,3 +72,54 @@ def test_table(spark):
     s = tables.StreamTables(queries._golden(spark), keep_content=True)
     got = probe.tile_probe(s, TABLES).collect()
     assert len(got) == s.tiles.count() and {r.status for r in got} == {"UNSUPPORTED"} and all(r.partition for r in got)
+
+
+def _nest(dims, symbols):
+    return [_nest(dims[1:], symbols) for _ in range(dims[0])] if dims else _even(1, symbols)[0]
+
+
+ALL = probe.load_tables(json.dumps({k: _even(*v) for k, v in probe.MODE_TABLES.items()} | {k: _nest(*v) for k, v in (coefficients.BLOCK_TABLES | coefficients.COEFF_TABLES).items()}))
+
+
+def test_blocks_to_the_coefficients():
+    seen = Counter()
+    p = BASE | {"base_q_idx": 100, "tx_mode": 2, "reduced_tx_set": 0, "enable_filter_intra": 1, "allow_screen_content_tools": 1}
+    for t in TILES:
+        out = probe.probe(t, p, ALL)
+        assert out["status"] == "UNSUPPORTED" or out["reason"] == "Exp-Golomb length too long", out
+        if "tx_type" in out:
+            seen[out["tx_type"]] += 1
+            w, h = (4 << out["wlog2"]), (4 << out["hlog2"])
+            assert out["tx_width"] <= min(w, 64) and out["tx_height"] <= min(h, 64)
+        if out.get("all_zero") == 0 and "eob" in out:
+            assert 1 <= out["eob"] <= min(out["tx_width"], 32) * min(out["tx_height"], 32) and 1 <= out["cul_level"] <= 63
+            seen["coded"] += 1
+        seen["filter"] += out.get("use_filter_intra", 0)
+    assert seen["coded"] > 100 and seen["DCT_DCT"] and seen["V_DCT"] and seen["IDTX"] and seen["filter"]
+    with pytest.raises(ValueError, match="txb_skip"):
+        coefficients.check({k: v for k, v in ALL.items() if k != "txb_skip"})
+    flat = probe.probe(TILES[5], p | {"coded_lossless": 1}, ALL)
+    assert flat.get("tx_width", 4) == 4
+
+
+def test_geometry():
+    assert [coefficients.block_index(*b) for b in ((0, 0), (1, 1), (5, 5), (0, 2), (4, 2))] == [0, 3, 15, 16, 21]
+    assert coefficients.largest_transform(5, 4) == (6, 6) and coefficients.split_transform(4, 6) == (4, 5) and coefficients.split_transform(3, 3) == (2, 2)
+    assert coefficients.max_depth(0, 0) == 0 and coefficients.max_depth(1, 1) == 1 and coefficients.max_depth(4, 4) == 4
+    for kind in ("2D", "HORIZ", "VERT"):
+        for w, h in ((2, 2), (2, 3), (4, 2), (5, 5)):
+            assert sorted(coefficients.scan(w, h, kind)) == list(range(1 << (w + h)))
+    assert coefficients.scan(2, 2, "2D")[:6] == [0, 1, 4, 8, 5, 2]
+    assert [[coefficients.base_offset(r, c, 2, 2) for c in range(4)] for r in range(4)] == [[0, 1, 6, 6], [1, 6, 6, 21], [6, 6, 21, 21], [6, 21, 21, 21]]
+    assert coefficients.base_offset(1, 3, 2, 3) == 11 and coefficients.base_offset(3, 1, 3, 2) == 16
+
+
+def test_small_readers():
+    assert [coefficients.q_context(q) for q in (0, 20, 21, 60, 61, 120, 121)] == [0, 0, 1, 1, 2, 2, 3]
+    for count in range(1, 9):
+        for ref in range(count):
+            got = [coefficients.neg_deinterleave(d, ref, count) for d in range(count)]
+            assert sorted(got) == list(range(count)) and got[0] == (ref if ref < count - 1 or count == 1 else count - 1)
+    assert coefficients.segment_q(100, [{"enabled": True, "value": -200}], 0) == 0
+    values = {coefficients.delta(Symbols(t), [8192, 16384, 24576, 32768, 0], 1) for t in TILES}
+    assert min(values) < -10 and max(values) > 10 and 0 in values and all(v % 2 == 0 for v in values)
