@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +72,26 @@ def ivf_files(payloads: DataFrame, dims: DataFrame) -> DataFrame:
 def write_tiles(tiles: DataFrame, folder: str) -> None:
     """Tiles with their names, as Parquet; one folder a group of files would not scale, so paths stay a column."""
     tile_file_names(tiles).write.mode("overwrite").parquet(folder)
+
+
+def write_payloads(payloads: DataFrame, folder: str, suffix: str = ".av1") -> DataFrame:
+    """Each payload as a file of its own below ``folder`` (any URI that pyarrow knows); (path, file, bytes) of what was
+    written. A file's name comes from the path it was taken from, and it is written whole under another name first, so a
+    task that runs again does no harm. Call an action on the result to write."""
+    where = re.sub("^file:/(?!/)", "file:///", folder) if "://" in folder or folder.startswith("file:/") else "file://" + folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(where)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            files, sizes = [], []
+            for path, body in zip(batch["path"].to_pylist(), batch["payload"], strict=True):
+                name = f"{base}/{hashlib.sha256(path.encode()).hexdigest()[:32]}{suffix}"
+                with system.open_output_stream(name + ".part", compression=None) as f:
+                    f.write(body.as_buffer())
+                system.move(name + ".part", name)
+                files.append(name)
+                sizes.append(len(body.as_buffer()))
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["path", "file", "bytes"])
+
+    return payloads.where("payload is not null").select("path", "payload").mapInArrow(run, "path string, file string, bytes long")

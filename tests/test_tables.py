@@ -98,7 +98,7 @@ def test_stream_tables_and_reports(spark):
     assert sinks.tile_text(t).where("path = '1tile'").first().line.endswith("[13+4]")
 
 
-def test_text_views(spark):
+def test_text_views(spark, tmp_path):
     f = _files(spark, fx.still(STREAM, pieces=9))
     assert sinks.box_text(tables.boxes(f)).orderBy("box_seq").first().line == "[0+24] ftyp"
     m = tables.MetaTables(f)
@@ -106,6 +106,8 @@ def test_text_views(spark):
     p = tables.payloads(f)
     assert sinks.ivf_files(p, p.selectExpr("path", "64 width", "64 height")).first().ivf[44:] == STREAM
     assert tables.payload_checks(p).first().sequence_headers == 1
+    (written,) = sinks.write_payloads(p, str(tmp_path / "out")).collect()
+    assert open(written.file, "rb").read() == STREAM and written.bytes == len(STREAM)
 
 
 def test_scan_manifest_and_sql(spark, tmp_path):
