@@ -9,13 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
+#: By application, where the session names no folder.
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (local tests) a new one, set for the session."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in local tests, one of our own, which becomes
+    the context's checkpoint folder, too. A master that is not local must name a folder."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        root = _own_roots.get(context.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumenbox-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lumenbox-")
+        context.setCheckpointDir(root)
+    path = context._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is of the default file system
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
