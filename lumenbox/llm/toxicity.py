@@ -91,9 +91,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20,
     if not n or pos == 0 or pos == n:
         rate_ = (pos + 0.5) / (n + 1)
         return Machine(float(np.log(rate_ / (1 - rate_))), index, np.zeros(1), np.zeros((1, rank)))
-    cols, row = _csr(rows)
-    seen = np.bincount(cols, minlength=1 << BITS).astype(float)
-    with_pos = np.bincount(cols, y[row].astype(float), 1 << BITS)
+    seen, with_pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for at in range(0, n, 500):  # some rows at a time, as all of them on end are large
+        part = rows[at : at + 500]
+        seen += np.bincount(np.concatenate(part), minlength=1 << BITS)
+        if len(bad := [x for x, t in zip(part, y[at : at + 500], strict=True) if t]):
+            with_pos += np.bincount(np.concatenate(bad), minlength=1 << BITS)
     expected = seen * pos / n
     chi = (with_pos - expected) ** 2 / np.maximum(expected, 1e-9) + (with_pos - expected) ** 2 / np.maximum(seen - expected, 1e-9)
     chi[seen < least_rows] = 0
@@ -141,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     rows = docs.join(F.broadcast(some), docs[id_col] == some["__id"]).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y")
     got = rows.mapInArrow(_featurize, "x binary, y int").toArrow()
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["x"].to_pylist()], np.array(got["y"].to_pylist(), float))
+    # views of the table that came, without a copy
+    return fit([np.frombuffer(x.as_buffer(), np.int32) for chunk in got["x"].chunks for x in chunk], np.array(got["y"].to_pylist(), float))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
