@@ -109,6 +109,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null text counts as empty and comes back empty. Rows of null id are left whole. Rows repeated with their id
     keep the same chunks, as places of one id; texts that differ under one id are told apart by the chunk's
     hash. An empty table gives no rows; other columns are ignored.
+
+    Texts are shuffled twice, by id, whatever the sizes: both joins are merge joins.
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -116,11 +118,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = save(chunks, "line-chunks")
     repeated = chunks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "no")).alias("owner")).where("c > 1").drop("c")
     places = chunks.join(repeated, "key").select("key", "id", "no", (F.struct("id", "no") == F.col("owner")).alias("own"))
-    marks = save(places.groupBy(F.col("id").alias("mid")).agg(F.collect_set(F.struct("no", "key", "own")).alias("marks")), "line-marks")
-    bodies = save(base.join(marks, base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(_bodies, "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies")
+    marks = places.groupBy(F.col("id").alias("mid")).agg(F.collect_set(F.struct("no", "key", "own")).alias("marks"))
+    bodies = save(base.join(marks.hint("merge"), base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(_bodies, "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies")
     owners = bodies.where("own").select(F.col("key").alias("okey"), F.col("body").alias("obody")).dropDuplicates(["okey"])
     same = bodies.where("not own").join(owners, F.col("key") == F.col("okey")).where(F.col("body") == F.col("obody"))
     gone = same.select("key", F.explode("places").alias("p")).groupBy(F.col("p.id").alias("gid")).agg(F.collect_set(F.struct(F.col("p.no").alias("no"), "key")).alias("gone"))
-    joined = base.join(gone, base["id"] == gone["gid"], "left").select(F.col("id").alias("__row_id"), "text", "gone")
+    joined = base.join(gone.hint("merge"), base["id"] == gone["gid"], "left").select(F.col("id").alias("__row_id"), "text", "gone")
     out = joined.mapInArrow(_cut, "id long, text string, n_removed long, removed array<struct<first_byte:long,end_byte:long>>")
     return out.withColumnRenamed("id", id_col)
