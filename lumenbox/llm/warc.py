@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fsio
-from .store import bounded_batches, new_folder, save
+from .store import bounded_batches, new_folder, save, task_each
 
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_BYTES = 1000
@@ -183,9 +183,10 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     revisits = long.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
     both = rows.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to"))
     both = both.withColumn("bin", bin_of).join(F.broadcast(shards), "bin").drop("bin")  # 4,096 rows at most
-    ordered = both.repartitionByRange("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url", F.xxhash64("html"))
+    n_shards = (shards.agg(F.max("shard")).first()[0] or 0) + 1
+    ordered = both.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url", F.xxhash64("html"))
     written = save(ordered.select("shard", "page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder, file_bytes, prefix), "shard long, serial long, temp string, path string, records long, bytes long, sha256 string"), "warc-written")
-    manifest = written.repartition("path").mapInArrow(_commit, "shard long, serial long, path string, records long, bytes long, sha256 string")
+    manifest = task_each(written).mapInArrow(_commit, "shard long, serial long, path string, records long, bytes long, sha256 string")
     path = f"{folder}/manifest"
     manifest.write.parquet(path)
     return spark.read.schema(manifest.schema).parquet(path)
@@ -217,7 +218,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield _page_batch(rows, with_payload)
 
-    return manifest.select("path", "sha256").repartition("path").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload)
+    return task_each(manifest.select("path", "sha256")).mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload)
 
 
 def _page_batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
