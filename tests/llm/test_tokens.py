@@ -1,6 +1,7 @@
 """Byte-level BPE against tiktoken; grammar files and their ids."""
 
 import base64
+import hashlib
 import zlib
 
 import numpy as np
@@ -62,6 +63,10 @@ def test_encode_table(spark):
     assert rows[None, 0].text == "" and max(rows, key=lambda x: x[1])[0] == 2
     assert next(r for k, r in rows.items() if k[0] == 2).text == "wörter " * 40_000
     assert bpe.encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
+    for r in bpe.round_trip(docs, RANKS, P.PATTERN).collect():
+        ids = ENC.encode_ordinary(rows[r.doc_id, r.n_tokens].text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id, r.n_tokens].text.encode()).hexdigest()
 
 
 @given(st.lists(st.lists(st.integers(0, 6), max_size=40), min_size=1, max_size=8), st.integers(2, 5))
