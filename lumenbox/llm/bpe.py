@@ -51,15 +51,16 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class ChunkEncoder:
     """Encodes texts as chunks between which no match reaches; each different chunk of a batch once.
 
-    ``whole`` does everything; ``bare`` has the model only and takes chunks that are one match as they stand.
+    ``whole`` does everything; its model alone takes chunks that are one match as they stand.
     """
 
     simple = SIMPLE
 
-    def _setup(self, bare, whole, lengths: np.ndarray) -> None:
-        self.bare, self.whole, self.lengths = bare, whole, lengths
+    def _setup(self, whole, lengths: np.ndarray) -> None:
+        self.whole, self.lengths = whole, lengths
         table = byte_table()
         self.names = str.maketrans({chr(b): table[b] for b in range(256)})
+        self.space = table[0x20]
         self.tail = {c: self.whole.encode(c, add_special_tokens=False).ids for c in TAIL}
         if any(len(x) != 1 for x in self.tail.values()):
             self.tail = {}
@@ -70,13 +71,22 @@ class ChunkEncoder:
 
     def _words(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that are one match each, and how many each has: the bytes of ids and words add up alike."""
-        utf8 = [w.encode() for w in words_]
-        named = [b.decode("latin-1").translate(self.names) for b in utf8]
-        ids = [i for e in self.bare.encode_batch_fast([named[i : i + 8192] for i in range(0, len(named), 8192)], is_pretokenized=True, add_special_tokens=False) for i in e.ids]
+        tokenize, names, space = self.whole.model.tokenize, self.names, self.space
+        ids: list[int] = []
+        sizes = []
+        for w in words_:
+            if w.isascii():
+                sizes.append(len(w))
+                w = space + w[1:] if w[0] == " " else w
+            else:
+                utf8 = w.encode()
+                sizes.append(len(utf8))
+                w = utf8.decode("latin-1").translate(names)
+            ids += [t.id for t in tokenize(w)]
         ids = np.array(ids, np.int32)
         if not len(ids):
             return ids, np.zeros(0, np.int64)
-        ends = np.cumsum([len(b) for b in utf8])
+        ends = np.cumsum(sizes)
         return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends), prepend=-1)
 
     def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +155,9 @@ class ByteBPE(ChunkEncoder):
         table = byte_table()
         name = lambda b: "".join(table[x] for x in b)
         model = {"vocab": {name(k): v for k, v in ranks.items()}, "merges": [(name(a), name(b)) for a, b in merges_of(ranks)], "ignore_merges": True}
-        bare, whole = Tokenizer(models.BPE(**model)), Tokenizer(models.BPE(**model))
+        # different words come once each, so the model need not remember them
+        whole = Tokenizer(models.BPE(**model, cache_capacity=0))
+        del model
         whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         reverse = {c: b for b, c in enumerate(table)}
         raw = [b""] * (max(ranks.values()) + 1)
@@ -153,7 +165,7 @@ class ByteBPE(ChunkEncoder):
             raw[i] = bytes(reverse[c] for c in text)  # the byte table, reversed
         self.raw = pa.array(raw, pa.binary())
         self.decimal = pa.array([b"%d," % i for i in range(len(raw))], pa.binary())
-        self._setup(bare, whole, np.array([len(x) for x in raw], np.int64))
+        self._setup(whole, np.array([len(x) for x in raw], np.int64))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.raw.take(pa.array(ids)).buffers()[2].to_pybytes()[: int(self.lengths[ids].sum())] if len(ids) else b""
@@ -248,15 +260,23 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, extended(encoded, decoded="binary", text="string"))
 
 
-def digests(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256 of the decimal ids with commas, decoded_sha256 of the bytes that the ids decode to)."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256 of the decimal ids with commas, decoded_sha256 of the bytes that the ids decode to).
+
+    As ``decode(encode(docs))`` and the digests of both, in one Python step: a second step would have each task hold a
+    second worker with a vocabulary of its own.
+    """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch in batches:
-            rows = [np.frombuffer(x.as_buffer(), "<i4") for x in batch["ids"]]
-            a = [hashlib.sha256(bpe.ids_text(x)).hexdigest() for x in rows]
-            b = [hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in rows]
-            yield pa.RecordBatch.from_arrays([batch[id_col], batch["n_tokens"], pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, a, b = [], [], []
+            for ids in bpe.encode(batch[text_col]):
+                n.append(len(ids))
+                a.append(hashlib.sha256(bpe.ids_text(ids)).hexdigest())
+                b.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, extended(encoded.select(id_col, "n_tokens"), ids_sha256="string", decoded_sha256="string"))
+    base = docs.select(id_col, text_col)
+    return base.mapInArrow(run, extended(base.select(id_col), n_tokens="long", ids_sha256="string", decoded_sha256="string"))

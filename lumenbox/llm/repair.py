@@ -44,7 +44,7 @@ class WordBPE(ChunkEncoder):
         for text, i in spec["model"]["vocab"].items():
             lengths[i] = len(text.removesuffix(end)) or len(text)
         self.size = len(lengths)
-        self._setup(Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []})), Tokenizer.from_file(path), lengths)
+        self._setup(Tokenizer.from_file(path), lengths)
 
     def _trim(self, chunks: pa.Array) -> pa.Array:
         return pc.ascii_trim_whitespace(chunks)
