@@ -1,4 +1,4 @@
-"""Repeated passages: content-defined chunks of lines, removed after the first place that has them."""
+"""Repeated passages: chunks or all two-line windows of lines, removed after the first place that has them."""
 
 from __future__ import annotations
 
@@ -56,22 +56,43 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(text: bytes) -> list[tuple[int, int, int]]:
+    """Each pair of lines that follow one another, blank lines between them included: first byte, end without its
+    break, first byte of the second line. Blank lines alone are no passage, and a text's last line needs no break."""
+    lines, at = [], 0
+    for line in text.split(b"\n"):
+        if line.strip():
+            lines.append((at, at + len(line)))
+        at += len(line) + 1
+    return [(a, d, c) for (a, _), (c, d) in zip(lines, lines[1:], strict=False)]
+
+
+def _pieces(column: pa.Array, whole: bool) -> Iterator[list[tuple[int, int, int, int]]]:
+    """First byte, end, lines and the second line's first byte of what may repeat: windows, or chunks."""
+    if whole:
+        for text in _texts(column):
+            yield [(a, b, 2, c) for a, b, c in windows(text)]
+    else:
+        for bounds in chunk_bounds(column):
+            yield [(a, b, lines, a) for a, b, lines in bounds]
+
+
+def _list(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for i, text, bounds in zip(batch["id"].to_pylist(), _texts(batch["text"]), chunk_bounds(batch["text"]), strict=True):
-            rows += [(_key(text[a:b]), i, no) for no, (a, b, lines) in enumerate(bounds) if lines >= LEAST_LINES]
+        for i, text, bounds in zip(batch["id"].to_pylist(), _texts(batch["text"]), _pieces(batch["text"], whole), strict=True):
+            rows += [(_key(text[a:b]), i, no) for no, (a, b, lines, _) in enumerate(bounds) if lines >= LEAST_LINES]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["key", "id", "no"])
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bodies(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """The bytes of listed chunks; equal bytes of a batch once, with all places."""
     for batch in batches:
         seen: dict[tuple[bytes, bool, bytes], list[tuple[int, int]]] = {}
-        for i, text, bounds, marks in zip(batch["id"].to_pylist(), _texts(batch["text"]), chunk_bounds(batch["text"]), batch["marks"].to_pylist(), strict=True):
+        for i, text, bounds, marks in zip(batch["id"].to_pylist(), _texts(batch["text"]), _pieces(batch["text"], whole), batch["marks"].to_pylist(), strict=True):
             for m in marks:
                 if m["no"] < len(bounds):
-                    a, b, _ = bounds[m["no"]]
+                    a, b, *_ = bounds[m["no"]]
                     if _key(text[a:b]) == m["key"]:
                         seen.setdefault((m["key"], m["own"], text[a:b]), []).append((i, m["no"]))
         places = [[{"id": i, "no": n} for i, n in x] for x in seen.values()]
@@ -81,12 +102,25 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, removed, spans = [], [], []
-        for text, bounds, gone in zip(_texts(batch["text"]), chunk_bounds(batch["text"]), batch["gone"].to_pylist(), strict=True):
+        for text, bounds, gone in zip(_texts(batch["text"]), _pieces(batch["text"], whole), batch["gone"].to_pylist(), strict=True):
             drop = {(g["no"], g["key"]) for g in gone or ()}
-            cut = [(a, b) for no, (a, b, lines) in enumerate(bounds) if drop and lines >= LEAST_LINES and (no, _key(text[a:b])) in drop]
+            cut: list[tuple[int, int]] = []
+            before = (b"", False)
+            for no, (a, b, lines, second) in enumerate(bounds) if drop else ():
+                key = _key(text[a:b])
+                goes = lines >= LEAST_LINES and (no, key) in drop
+                if goes and whole:
+                    if before == (key, False):  # the window before is the one that is kept: its lines stay
+                        a = second
+                    b += text[b : b + 1] == b"\n"
+                if goes and cut and a < cut[-1][1]:
+                    cut[-1] = (cut[-1][0], b)
+                elif goes:
+                    cut.append((a, b))
+                before = (key, goes)
             at, keep = 0, []
             for a, b in cut:
                 keep.append(text[at:a])
@@ -97,10 +131,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["__row_id"], pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())])))], ["id", "text", "n_removed", "removed"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(id, text, n_removed, removed) of every row: text without the chunks of two lines or more that stand
     elsewhere first; removed holds their first and end bytes in the old text.
 
+    ``whole``: not chunks but every pair of lines that follow one another is looked up, and all lines of a pair that
+    stands elsewhere first go, so of a passage of two lines or more nothing is missed; removed holds the runs. Blank lines
+    count with the lines around them only, and a passage may end its text without a line break. Where passages
+    overlap, a line that goes is kept at an earlier place, but maybe beside other lines. What is shared inside lines only stays.
+
     The place with the smallest (id, position) keeps a chunk. Chunks are named by hashes in a table without
     texts; for repeated names the bytes are fetched, once a batch, and only a chunk whose bytes equal those of
     the keeping place goes. A passage that stands in a third of all documents is grouped map-side, and no list
@@ -114,15 +153,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chunks = base.where("id is not null").mapInArrow(_list, "key binary, id long, no int")
+    chunks = base.where("id is not null").mapInArrow(lambda batches: _list(batches, whole), "key binary, id long, no int")
     chunks = save(chunks, "line-chunks")
     repeated = chunks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "no")).alias("owner")).where("c > 1").drop("c")
     places = chunks.join(repeated, "key").select("key", "id", "no", (F.struct("id", "no") == F.col("owner")).alias("own"))
     marks = places.groupBy(F.col("id").alias("mid")).agg(F.collect_set(F.struct("no", "key", "own")).alias("marks"))
-    bodies = save(base.join(marks.hint("merge"), base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(_bodies, "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies")
+    bodies = save(base.join(marks.hint("merge"), base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(lambda batches: _bodies(batches, whole), "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies")
     owners = bodies.where("own").select(F.col("key").alias("okey"), F.col("body").alias("obody")).dropDuplicates(["okey"])
     same = bodies.where("not own").join(owners, F.col("key") == F.col("okey")).where(F.col("body") == F.col("obody"))
     gone = same.select("key", F.explode("places").alias("p")).groupBy(F.col("p.id").alias("gid")).agg(F.collect_set(F.struct(F.col("p.no").alias("no"), "key")).alias("gone"))
     joined = base.join(gone.hint("merge"), base["id"] == gone["gid"], "left").select(F.col("id").alias("__row_id"), "text", "gone")
-    out = joined.mapInArrow(_cut, "id long, text string, n_removed long, removed array<struct<first_byte:long,end_byte:long>>")
+    out = joined.mapInArrow(lambda batches: _cut(batches, whole), "id long, text string, n_removed long, removed array<struct<first_byte:long,end_byte:long>>")
     return out.withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

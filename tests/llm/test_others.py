@@ -198,6 +198,47 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def _without_passages(rows):
+    """By brute force: lines in a pair of lines that stands earlier go, blank lines between them, too."""
+    seen, want = {}, {}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for a, b in zip(full, full[1:]):
+            own = seen.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
+            if own != (i, a, b):
+                gone |= {k for k in range(a, b + 1) if own[0] != i or k > own[2]}
+        parts = [x + "\n" for x in lines[:-1]] + lines[-1:]
+        want[i] = "".join(x for k, x in enumerate(parts) if k not in gone)
+    return want
+
+
+def test_whole_passages(spark):
+    rng = random.Random(5)
+    rows, planted = [], []
+    for n in range(2, 11):
+        for _ in range(12):
+            passage = _lines(rng, n)
+            for _ in range(3):
+                i = len(rows)
+                end = rng.random() < 0.3
+                rows.append((i, _lines(rng, rng.randrange(5)) + (passage[:-1] if end else passage + _lines(rng, 1 + rng.randrange(5)))))
+                planted.append((i, passage.split("\n")[:-1]))
+    rows += [(1000, "a\n\nb\n\n\nc"), (1001, "x\na\n\nb\n\n\nc\ny"), (1002, "\n" * 5), (1003, "\n" * 5), (1004, "e\n" * 5), (1005, "é\nà\n" * 9), (1006, "single\nq"), (1007, "single\nr"), (1008, "e\ne")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert {i: r.text for i, r in got.items()} == _without_passages(rows)
+    for (i, passage), first in zip(planted, [True, False, False] * 108, strict=True):
+        left = set(got[i].text.split("\n"))
+        assert all((x in left) == first for x in passage)  # recall 1, and the first place is whole
+    assert got[1001].text == "x\ny" and got[1003].text == "\n" * 5 and got[1004].text == "e\ne\n" and got[1005].text == "é\nà\n" and got[1007].text == "single\nr" and got[1008].text == ""
+    for i, t in rows:
+        raw, keep, at = t.encode(), b"", 0
+        for s in got[i].removed:
+            keep, at = keep + raw[at : s.first_byte], s.end_byte
+        assert keep + raw[at:] == got[i].text.encode() and got[i].n_removed == len(got[i].removed)
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randrange(40)), rng.choice(["a", "b", "b", "b", "b", "é", "Z", None])) for i in range(4000)]
