@@ -231,6 +231,23 @@ def grid_stream(tiles: list[bytes]) -> bytes:
     return obu(1, sequence(128, 128)) + obu(3, head.bytes()) + obu(4, tile_group(tiles))
 
 
+def columns(n: int) -> int:
+    """Columns of the squarest whole grid of ``n`` tiles that is not higher than wide."""
+    return next(c for c in range(1, n + 1) if n % c == 0 and c * c >= n)
+
+
+def layout_stream(tiles: list[bytes]) -> bytes:
+    """A picture of as many 64x64 tiles as given, in a whole grid of ``columns()``; without tiles no tile group."""
+    cols = columns(len(tiles)) if tiles else 1
+    rows = len(tiles) // cols if tiles else 1
+    if cols > 64:
+        raise ValueError(f"no grid of up to 64 columns holds {len(tiles)} tiles")
+    log = (cols - 1).bit_length() + (rows - 1).bit_length()
+    # tile_info: uniform spacing, as many columns and rows as superblocks, context 0, one byte a size
+    head = frame(tile_bits=((1, 1), *[(1, 1)] * log, *([(0, log), (0, 2)] if log else [])))
+    return obu(1, sequence(64 * cols, 64 * rows)) + obu(3, head.bytes()) + (obu(4, tile_group(tiles, many=len(tiles) > 1)) if tiles else b"")
+
+
 def build(rows: DataFrame, make: Callable[..., bytes], key: str, name: str = "content") -> DataFrame:
     """(path, content): the key column as text and what ``make`` writes from the row's other columns."""
     names = rows.columns

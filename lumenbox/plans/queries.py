@@ -242,6 +242,46 @@ def tile_size_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.tile_size_range(tables.StreamTables(_grids(spark, sf_dir)).tiles).drop("smallest_path")
 
 
+_ALL = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem)"
+
+
+def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream an order, whatever its lines, with tiles as long as their quantities; orders without lines have no tiles."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("lines"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+    return fx.build(orders.join(lines, "l_orderkey", "full"), lambda l_orderkey, lines: fx.layout_stream([bytes([x["q"] % 256]) * x["q"] for x in lines or ()]), "l_orderkey", "payload")
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS c,
+                    coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+             FROM {_ALL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, size)), g AS (
+           SELECT *, list_min([x FOR x IN range(1, c + 1) IF c % x = 0 AND x * x >= c]) AS cols FROM t)
+           SELECT l_orderkey, n AS tile_num, n // cols AS tile_row, n % cols AS tile_col, size, CAST(ahead + least(n + 1, c - 1) AS BIGINT) AS after_first,
+                  CAST(16 * (n % cols) AS INTEGER) AS mi_col_start, CAST(16 * (n // cols) + 16 AS INTEGER) AS mi_row_end FROM g""")
+def tiles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of all orders, in grids of as many tiles as lines; offsets count from the byte after the group's flags, which one tile has not."""
+    t = tables.StreamTables(_layouts(spark, sf_dir)).nested.select("path", "tile_info", "obus", F.when(F.size("tiles") > 1, 1).otherwise(0).alias("flags"), F.explode("tiles").alias("t"))
+    at = F.element_at(F.filter("obus", lambda u: u["obu_type"] == 4), 1)["payload_off"]
+    return t.select(_key("l_orderkey"), "t.tile_num", "t.tile_row", "t.tile_col", "t.size", (F.col("t.offset") - at - F.col("flags")).alias("after_first"), F.element_at("tile_info.mi_col_starts", (F.col("t.tile_col") + 1).cast("int")).alias("mi_col_start"), F.element_at("tile_info.mi_row_starts", (F.col("t.tile_row") + 2).cast("int")).alias("mi_row_end"))
+
+
+@query(f"SELECT CASE WHEN size < 256 THEN '<256' WHEN size < 1024 THEN '<1K' ELSE '<4K' END AS size_class, count(*) AS tiles FROM {_ALL} GROUP BY 1")
+def tile_size_histogram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.tile_size_histogram(tables.StreamTables(_layouts(spark, sf_dir)).tiles)
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS k FROM orders UNION SELECT l_orderkey FROM lineitem), n AS (SELECT k, count(l_orderkey) AS n FROM k LEFT JOIN {_ALL} ON k = l_orderkey GROUP BY 1)
+           SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 16 THEN '5-16' ELSE '>16' END AS count_class, count(*) AS files FROM n GROUP BY 1""")
+def tiles_per_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _layouts(spark, sf_dir)
+    return report.tiles_per_file(g, tables.StreamTables(g).tiles)
+
+
+@query(f"SELECT count(*) AS tiles, CAST(sum(size) AS BIGINT) AS total, min(size) AS smallest, max(size) AS largest FROM {_ALL}")
+def tile_size_range_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.tile_size_range(tables.StreamTables(_layouts(spark, sf_dir)).tiles).drop("smallest_path")
+
+
 @query("""SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 3 AS ok, CASE doc_id % 4 WHEN 1 THEN 'pixi channels != av1C channels' WHEN 2 THEN 'pixi depth != av1C bit depth' END AS reason FROM documents""")
 def pixi_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     depths = ((8, 8, 8), (8,), (8, 10, 8), (10, 10, 10))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenbox import fixtures as fx
 from lumenbox import sql
 from lumenbox.functions import bits
-from lumenbox.operators import containers, tables
+from lumenbox.operators import containers, streams, tables
 from lumenbox.plans import queries, report, sinks
 from lumenbox.sources import files
 from lumenbox.streaming import front
@@ -155,3 +155,20 @@ def test_rollup_and_timings(spark):
     m = spark.createDataFrame([("a", "q", 3, 4), ("z", "q", 1, 1)], "base string, preset string, width int, height int")
     assert {r.base: r.ok for r in report.dims_check(head, m, F.col("b"), F.col("p")).collect()} == {"a": True, "z": None}
     assert containers.av1c(bytes.fromhex("81000c1f"))["ipd_minus_one"] == 15
+
+
+def test_all_orders_are_tiled(spark):
+    """Whole lineitem, of every number of lines, and orders without lines."""
+    lines, orders = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("lineitem", "orders"))
+    assert queries.tiles_whole(spark, DATA).count() == lines.count()
+    n = {r.count_class: r.files for r in queries.tiles_per_file_whole(spark, DATA).collect()}
+    keys = lines.select("l_orderkey").union(orders.select("o_orderkey")).distinct().count()
+    assert sum(n.values()) == keys and {"1", "2-4", "5-16"} <= set(n)
+
+
+def test_layouts_of_any_count():
+    for n in range(18):
+        tiles = [bytes([i + 1]) * (i + 1) for i in range(n)]
+        s = streams.stream(fx.layout_stream(tiles))
+        assert [t["size"] for t in s["tiles"]] == [len(t) for t in tiles]
+        assert s["tile_info"]["tile_cols"] * s["tile_info"]["tile_rows"] == max(n, 1)
