@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -23,7 +24,7 @@ from .store import bounded_batches, new_folder, save, task_each
 
 MAGIC = b"IDPAIRS1"
 SHARD_IDS = 2_000_000
-ROUNDS, RULES_A_ROUND, LEAST = 3, 1024, 12
+RULES_A_ROUND, LEAST = 1024, 12
 _BUCKETS = 20
 
 
@@ -78,18 +79,19 @@ class Grammar:
         return np.concatenate(flat + own), start.astype(np.int64), length.astype(np.int64)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, Grammar]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None = None, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """(symbols, end of each document among the symbols, grammar). ``ends`` are the documents' ends among the ids.
 
     Each round replaces the most frequent pairs, left to right and never across documents; ties go to the
-    smaller pair, so that the same ids give the same file.
+    smaller pair, so that the same ids give the same file. Rounds go on until no pair comes ``least`` times, or for ``rounds``.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
-    for _ in range(rounds):
+    known: dict[int, int] = {}
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2 or first + len(rules) + a_round > 1 << 31:
             break
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
@@ -97,19 +99,23 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         inner = ~last[:-1]
         often = np.bincount(bucket[inner], minlength=1 << _BUCKETS)
         floor = max(least, int(np.partition(often, -a_round)[-a_round]))
-        hot = (often >= floor)[bucket] & inner
-        at = np.flatnonzero(hot)
-        pairs, inverse, times = np.unique(key[at], return_inverse=True, return_counts=True)
-        chosen = np.lexsort((pairs, -times))[:a_round]
-        chosen = chosen[times[chosen] >= least]
+        for floor in (floor, least) if floor > least else (least,):  # a full bucket may hold rare pairs only
+            at = np.flatnonzero((often >= floor)[bucket] & inner)
+            pairs, inverse, times = np.unique(key[at], return_inverse=True, return_counts=True)
+            chosen = np.lexsort((pairs, -times))[:a_round]
+            chosen = chosen[times[chosen] >= least]
+            if len(chosen):
+                break
         if not len(chosen):
             break
         name = np.full(len(pairs), -1, np.int64)
-        name[chosen] = first + len(rules) + np.arange(len(chosen))
-        for p in pairs[chosen]:
-            pair = (int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF)))
-            rules.append(pair)
-            lengths.append(sum(1 if s < first else lengths[s - first] for s in pair))
+        for c, p in zip(chosen.tolist(), pairs[chosen].tolist(), strict=True):
+            if p not in known:  # overlaps may leave matches of an earlier round's pair
+                pair = (p >> 32, p & 0xFFFFFFFF)
+                known[p] = first + len(rules)
+                rules.append(pair)
+                lengths.append(sum(1 if s < first else lengths[s - first] for s in pair))
+            name[c] = known[p]
         named = name[inverse]
         at, named = at[named >= 0], named[named >= 0]
         run = np.cumsum(np.diff(at, prepend=-2) != 1)  # of matches that overlap, every other one counts

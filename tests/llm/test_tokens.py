@@ -83,6 +83,29 @@ def test_grammar(docs, least):
         at = b
 
 
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), min_size=1, max_size=6), st.integers(2, 4))
+@settings(max_examples=100, deadline=None)
+def test_grammar_is_whole(docs, least):
+    ids = np.array([x for d in docs for x in d], np.int32)
+    symbols, bounds, g = repair.compress(ids, np.cumsum([len(d) for d in docs]), 4, a_round=2, least=least)
+    flat, start, length = g.tables()
+    at, pairs = 0, {}
+    for d, b in zip(docs, bounds.tolist(), strict=True):
+        s = symbols[at:b].astype(np.int64).tolist()
+        assert [x for k in s for x in flat[start[k] : start[k] + length[k]]] == d
+        for p in zip(s, s[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+        at = b
+    assert max(pairs.values(), default=0) < least  # no pair is left
+
+
+def test_grammar_of_copies():
+    rng = np.random.default_rng(8)
+    text = rng.integers(0, 40_000, 2000).astype(np.int32)
+    symbols, bounds, g = repair.compress(np.tile(text, 200), np.arange(1, 201) * 2000, 40_000)
+    assert len(symbols) <= 3 * 200  # three rounds left 250 symbols or more a copy
+
+
 def test_shard_random_access():
     rng = np.random.default_rng(3)
     docs = [np.tile(rng.integers(0, 30, 12), 40).astype(np.int32), np.zeros(0, np.int32), np.full(1000, 5, np.int32), rng.integers(0, 30, 3000).astype(np.int32)]
