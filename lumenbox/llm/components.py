@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import save, spread_join
 
 EDGE = "a long, b long"
 
@@ -75,3 +75,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def with_names(comps: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(node, component, ``name``) of the result of ``components``, where ``nodes`` has (node, ``name``): the smallest name in
+    the component, or null where none of its nodes has one."""
+    comps = save(comps, "components")
+    names = comps.join(nodes, "node").groupBy("component").agg(F.min(name).alias(name), F.count("*").alias("__nodes"))
+    return spread_join(comps, save(names, "component-names"), "component", "__nodes", F.xxhash64("node")).select("node", "component", name)

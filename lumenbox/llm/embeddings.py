@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Forest, components
-from .store import bounded_batches, save
+from .components import Forest, components, with_names
+from .store import bounded_batches, save, spread_join
+from .words import mix
 
 #: A pair at the threshold is missed with at most this probability.
 MISS = 1e-6
@@ -20,22 +23,35 @@ BLOCK = 512
 
 
 def table_plan(rows: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits a table, tables): buckets of some 16 rows if they spread evenly, and tables enough that a pair at the
+    """(bits a table, tables): buckets of one row or so if they spread evenly, and tables enough that a pair at the
     threshold agrees in none with probability ``miss`` at most. Holds at every size; only the cost changes."""
-    bits = min(30, max(6, math.ceil(math.log2(max(rows, 1) / 16)) if rows > 16 else 6))
+    bits = min(30, max(6, math.ceil(math.log2(max(rows, 1)))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
 
-def _signatures(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], bits * tables))
-    on = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return (on * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype("<i4")
+@lru_cache(maxsize=8)
+def _planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
+    return np.rint(np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables)) * 1024)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy().astype(np.float64)
-    return flat.reshape(len(column), -1)
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which brings the largest component to 1/2 or more, below 1: exact, and squares stay finite."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+def _keys(labels: list[str], v: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """For each row and table the bucket, as a hash of label, dimensions, table and signs. The signs are those of whole
+    numbers, of which no sum is rounded, so they are the same in whatever batch a row comes."""
+    dim = v.shape[1]
+    on = (np.rint(v * (1 << 20)) @ _planes(dim, bits, tables, seed) > 0).reshape(len(v), tables, bits)
+    sig = (on * (1 << np.arange(bits, dtype=np.uint64))).sum(2).astype(np.uint64)
+    own = np.array([xxhash.xxh3_64_intdigest(f"{dim}:{x}") for x in labels], np.uint64)
+    return mix(own[:, None] ^ mix((np.arange(tables, dtype=np.uint64) << np.uint64(32)) | sig)).view(np.int64)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
 def _spread(bits: int, tables: int, seed: int):
@@ -44,53 +60,52 @@ def _spread(bits: int, tables: int, seed: int):
             dims = np.array(batch["dim"].to_pylist(), np.int64)
             for d in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                v = _matrix(part["v"])
-                sig = _signatures(v / np.sqrt((v * v).sum(1))[:, None], bits, tables, seed)
-                raw = pa.array([s.tobytes() for s in sig], pa.binary())
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [part["label"], part["dim"], pa.array(np.full(len(part), t, np.int32)), pa.array(sig[:, t].astype(np.int32)), part["rid"], part["m"], part["v"], raw],
-                        ["label", "dim", "t", "sig", "rid", "m", "v", "sigs"],
-                    )
+                keys = _keys(part["label"].to_pylist(), _vectors(part["v"]), bits, tables, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part["cid"].to_numpy(), tables))], ["key", "cid"])
 
     return run
 
 
-def _compare(cosine: float):
-    """Rows sorted by bucket and block: all pairs of a block, each in the first table only where its signatures agree.
+def _compare(cosine: float, bits: int, tables: int, seed: int):
+    """Rows sorted by bucket and block: all pairs of a block, each in the first table only in which they share a bucket.
 
     Gives sums of links by class and, of the linked pairs, a forest; not the pairs.
     """
 
     def block(rows: pa.Table, run_of: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rid, m = rows["rid"].to_numpy(), rows["m"].to_numpy()
-        t, two, side = rows["t"].to_numpy(), rows["two"].to_numpy(zero_copy_only=False), rows["side"].to_numpy()
-        sigs = np.stack([np.frombuffer(x, "<i4") for x in rows["sigs"].to_pylist()])
-        vs = rows["v"].combine_chunks()
-        sizes = np.diff(vs.offsets.to_numpy())
-        width = int(sizes.max())
-        v = np.zeros((len(rows), width))
-        v[np.arange(width) < sizes[:, None]] = vs.flatten().to_numpy().astype(np.float64)
+        cid, m, key = rows["cid"].to_numpy(), rows["m"].to_numpy(), rows["key"].to_numpy()
+        two, side = rows["two"].to_numpy(zero_copy_only=False), rows["side"].to_numpy()
+        names = rows["label"].to_pylist()
+        code = {x: i for i, x in enumerate(dict.fromkeys(names))}
+        label = np.array([code[x] for x in names])
+        dims = rows["dim"].to_numpy()
+        column = rows["v"].combine_chunks()
+        v, keys = np.zeros((len(rows), int(dims.max()))), np.zeros((len(rows), tables), np.int64)
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            part = _vectors(column.take(pa.array(at)))
+            v[at, :d] = part
+            keys[at] = _keys([names[i] for i in at], part, bits, tables, seed)
         norm = np.sqrt((v * v).sum(1))
         links, forest = np.zeros(len(rows), np.int64), Forest()
-        earlier = np.arange(sigs.shape[1])
         most = int(np.bincount(run_of).max())
         for d in range(1, most):
             i = np.flatnonzero(run_of[:-d] == run_of[d:])
-            i = i[~two[i] | (side[i] != side[i + d])]
+            i = i[(~two[i] | (side[i] != side[i + d])) & (label[i] == label[i + d]) & (dims[i] == dims[i + d])]
             for a in range(0, len(i), 20_000):
                 x = i[a : a + 20_000]
                 y = x + d
+                first = (keys[x] == keys[y]).argmax(1)
+                here = keys[x, first] == key[x]
+                x, y = x[here], y[here]
                 near = (v[x] * v[y]).sum(1) / (norm[x] * norm[y]) >= cosine
                 x, y = x[near], y[near]
-                first = ~((sigs[x] == sigs[y]) & (earlier < t[x][:, None])).any(1)
-                x, y = x[first], y[first]
                 np.add.at(links, x, m[y])
                 np.add.at(links, y, m[x])
-                for p, q in zip(rid[x].tolist(), rid[y].tolist(), strict=True):
+                for p, q in zip(cid[x].tolist(), cid[y].tolist(), strict=True):
                     forest.join(p, q)
         got = np.flatnonzero(links)
-        who, at = np.unique(rid[got], return_inverse=True)
+        who, at = np.unique(cid[got], return_inverse=True)
         total = np.bincount(at, links[got]).astype(np.int64) if len(got) else np.zeros(0, np.int64)
         edges = [(forest.find(x), x) for x in forest.up]
         edges = [(r, x) for r, x in edges if r != x]
@@ -101,7 +116,7 @@ def _compare(cosine: float):
         n = 0
 
         def keys(rows: pa.Table) -> np.ndarray:
-            return np.stack([rows[k].to_numpy() for k in ("label", "dim", "t", "sig", "i", "j")], 1)
+            return np.stack([rows[k].to_numpy() for k in ("key", "i", "j")], 1)
 
         for batch in batches:
             held.append(batch)
@@ -126,43 +141,43 @@ def _compare(cosine: float):
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, seed: int = 1) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: vectors of equal label link at a cosine of at least ``cosine``,
-    taken in double precision.
+    taken in double precision, whatever their length and however large or small their components.
 
     Equal vectors of a label are one class from the start and count as links of one another. Classes are hashed
-    by the signs of random projections in several tables; a bucket is compared in blocks of about 512 classes,
+    by the signs of random projections in several tables. Of the tables only (bucket, class) is shuffled; vectors are
+    fetched for buckets of two classes or more. A bucket is compared in blocks of about 512 classes,
     a large one block against block, so none is gathered in one task, and no pair leaves its block: blocks give
     counts and forests. Each pair found has been verified; a pair at the threshold is missed with probability
     1e-6 at most, a closer one with less.
 
     A null label, or a vector that is null, empty, zero, or holds null or non-finite numbers links with nothing:
-    n_links 0, its own id. Vectors of different lengths do not link. Rows of null id take part as members
-    without a name: they count as links, component_id is that of their class, kept is false. An empty table gives
-    no rows; other columns are ignored.
+    n_links 0, its own id. Labels of any type are compared as they are written. Vectors of different lengths do not link.
+    Rows of null id take part as members without a name: they count as links and join others; component_id is the
+    smallest id reached, null if there is none, and kept is false. Rows repeated with their id are links of one another.
+    An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    v = F.col(vector_col).cast("array<float>")
+    v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v"), F.coalesce(fine & F.col(label_col).isNotNull(), F.lit(False)).alias("fine"))
-    classes = rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("rid"), F.count("*").alias("m")).withColumn("dim", F.size("v").cast("long"))
-    classes = save(classes.where("rid is not null"), "vector-classes")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine & F.col(label_col).isNotNull(), F.lit(False)).alias("fine"))
+    classes = rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("rid"), F.count("*").alias("m"))
+    classes = save(classes.withColumn("dim", F.size("v").cast("long")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = table_plan(n, cosine)
-    key = ["label", "dim", "t", "sig"]
-    spread = classes.mapInArrow(_spread(bits, tables, seed), "label long, dim long, t int, sig int, rid long, m long, v array<float>, sigs binary")
-    large = spread.groupBy(*key).count().where(F.col("count") > BLOCK).withColumn("c", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    large = save(large, "large-buckets")
-    placed = spread.join(large, key, "left") if not large.isEmpty() else spread.withColumn("c", F.lit(None).cast("int"))
-    placed = placed.withColumn("c", F.coalesce("c", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("rid"), F.col("c")).cast("int"))
+    keyed = save(classes.select("cid", "label", "dim", "v").mapInArrow(_spread(bits, tables, seed), "key long, cid long"), "vector-keys")
+    shared = save(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "vector-buckets")
+    placed = spread_join(keyed, shared, "key", "c", F.xxhash64("cid")).withColumn("c", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("c")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     placed = placed.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).withColumn("two", F.col("i") != F.col("j")).drop("c", "other")
-    placed = placed.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
-    found = save(placed.mapInArrow(_compare(cosine), "a long, b long, links long"), "vector-links")
+    placed = placed.join(classes.select("cid", "label", "dim", "v", "m"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = save(placed.mapInArrow(_compare(cosine, bits, tables, seed), "a long, b long, links long"), "vector-links")
     links = found.where("b is null").groupBy(F.col("a").alias("lid")).agg(F.sum("links").alias("links"))
-    comps = components(found.where("b is not null").select("a", "b"))
-    named = classes.join(links, classes["rid"] == links["lid"], "left").join(comps, classes["rid"] == comps["node"], "left")
-    named = named.select(F.col("label").alias("cl"), F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component"))
-    whole = rows.withColumn("jl", F.when(F.col("fine"), F.col("label"))).withColumn("jv", F.when(F.col("fine"), F.col("v")))
-    out = whole.join(named, (whole["jl"] == named["cl"]) & (whole["jv"] == named["cv"]), "left")
-    component = F.coalesce("component", "id")
+    comps = with_names(components(found.where("b is not null").select("a", "b")), classes.select(F.col("cid").alias("node"), "rid"), "rid").select("node", "component", F.col("rid").alias("name"))
+    named = classes.join(links, classes["cid"] == links["lid"], "left").join(comps, classes["cid"] == comps["node"], "left")
+    own = F.when(F.col("component").isNotNull(), F.col("name")).otherwise(F.col("rid"))
+    named = named.select(F.xxhash64("label", "v").alias("ck"), F.col("label").alias("cl"), F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), own.alias("component"))
+    whole = rows.withColumn("jk", F.when(F.col("fine"), F.xxhash64("label", "v")).otherwise(F.monotonically_increasing_id())).withColumn("jl", F.when(F.col("fine"), F.col("label"))).withColumn("jv", F.when(F.col("fine"), F.col("v")))
+    out = whole.join(named, (whole["jk"] == named["ck"]) & (whole["jl"] == named["cl"]) & (whole["jv"] == named["cv"]), "left")
+    component = F.when(F.col("fine"), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

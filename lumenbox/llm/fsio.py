@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import Any
 
 from pyarrow import fs
@@ -28,6 +29,21 @@ def read(uri: str) -> bytes:
         return f.read()
 
 
+def blocks(uri: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes, some at a time."""
+    system, path = at(uri)
+    with system.open_input_stream(path, compression=None) as f:
+        while data := f.read(size):
+            yield data
+
+
+def remove(uri: str) -> None:
+    """Remove a folder and what is in it, if it is there."""
+    system, path = at(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def move(old: str, new: str) -> None:
     """Rename, once: if it was done by an attempt that got lost, nothing is left to do."""
     system, a = at(old)

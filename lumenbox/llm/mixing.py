@@ -61,15 +61,39 @@ def _copies():
     return F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("long")
 
 
+def _length_class(size):
+    """The measure of a document's inclusion: the binary digits of its words, at least 1, and 63 at most."""
+    return F.length(F.bin(F.greatest(size, F.lit(1))))
+
+
+def _expected(classes: DataFrame, most: int) -> DataFrame:
+    """(source, source_size, target, v, words, lam): the copies that a document of each length class is to have.
+
+    They are in proportion to v, up to ``most``, so that a source's come to its target. The longest class reaches the
+    cap first; the first that stays below it at the level of what is left over gives the level for all after it. A
+    source has 63 classes at most. Sums are integers, and a level is one product and one division.
+    """
+    of = Window.partitionBy("source")
+    order = of.orderBy(F.desc("v"))
+    ahead = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = classes.withColumn("rest", F.col("target") - ahead * most).withColumn("need", F.sum(F.col("v") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    t = t.withColumn("first", F.max(F.when(F.col("rest") * F.col("v") <= F.col("need") * most, F.struct("v", "rest", "need"))).over(of))
+    level = F.when(F.col("first.need") > 0, F.col("first.rest") * F.col("v") / F.col("first.need").cast("double")).otherwise(0.0)
+    return t.withColumn("lam", F.when(F.col("v") <= F.col("first.v"), level).otherwise(F.lit(float(most)))).select("source", "source_size", "target", "v", "words", "lam")
+
+
 def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(s, source_size, target, whole, pi, left, edge, edge_in): one row a source, from (source, size, u) of all rows."""
-    plan = source_targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.least(F.floor(ratio), F.lit(most)).cast("long")).withColumn("pi", ratio - F.col("whole")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    """(s, c, source_size, target, whole, pi, left, edge, edge_in): one row a source and length class c, from
+    (source, size, v, u) of all rows."""
+    classes = save(each.groupBy("source", "v").agg(F.sum("size").alias("words")), "classes")
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("source", "t")
+    plan = _expected(classes.join(targets, classes["source"].eqNullSafe(targets["t"])).drop("t"), most)
+    plan = plan.withColumn("whole", F.least(F.floor("lam"), F.lit(most)).cast("long")).withColumn("pi", F.col("lam") - F.col("whole"))
+    plan = plan.withColumn("left", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))).drop("words", "lam")
     plan = save(plan, "plan")
 
-    p = plan.where("pi > 0 and pi < 1").withColumnRenamed("source", "s")
-    ranked = each.join(p, each["source"].eqNullSafe(p["s"])).select("source", "size", "left", _rank_key().alias("key"))
+    p = plan.where("pi > 0 and pi < 1").select(F.col("source").alias("s"), F.col("v").alias("c"), "pi", "left")
+    ranked = each.join(p, each["source"].eqNullSafe(p["s"]) & (each["v"] == p["c"])).select("source", "size", "left", _rank_key().alias("key"))
     # (source, at: the bits found so far, before: words ranked ahead of them)
     found = None
     for done in range(0, KEY_BITS, STEP):
@@ -88,7 +112,7 @@ def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
         found = save(found, f"rank{done}")
     include = F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("left") - F.col("before"))
     edge = found.select(F.col("source").alias("e_source"), F.col("at").alias("edge"), include.alias("edge_in"))
-    return save(plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s"), "decisions")
+    return save(plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s").withColumnRenamed("v", "c"), "decisions")
 
 
 def mix(
@@ -97,12 +121,13 @@ def mix(
 ) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row of ``docs``.
 
-    A document's expected number of copies is its source's target over its size. The whole part is certain;
-    for the remainder, documents are ranked by their random odds over their inclusion odds (Pareto order
-    sampling) and taken in that order up to the words that are left, the last one if that comes nearer. The
-    last rank taken is found by histograms over the bits of the rank, one map-side-combined aggregate of at
-    most 4,096 bins a source each, so no source is ever sorted or gathered in a task. Inclusion differs between
-    sources and is equal for the documents of one, so each word of a source is equally likely.
+    The expected copies of a source's documents are in proportion to the binary digits of their length, up to
+    ``most``, and come to its target: a longer document is likelier, one of 1,000 words (10 digits) twice as likely as
+    one of 20 (5 digits). The whole part is certain; for the remainder, a source's documents are ranked by their random
+    odds over their inclusion odds (Pareto order sampling) and taken in that order up to the words that are left, the
+    last one if that comes nearer, so a sample's size is fixed. The last rank taken is found by histograms over the
+    bits of the rank, one map-side-combined aggregate of at most 4,096 bins a source each, so no source is ever sorted
+    or gathered in a task.
 
     size is the number of runs of other than ASCII white space in the text, 0 for null. Sources are grouped by
     equal string, null being one of its own. Rows that repeat an id share one fate if their source is the same.
@@ -110,9 +135,9 @@ def mix(
     chance comes from the id.
     """
     each = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _measured(text_col).alias("size"), _random(id_col, text_col, seed).alias("u"))
-    each = save(each, "mix")
+    each = save(each.withColumn("v", _length_class(F.col("size"))), "mix")
     d = _decisions(each, weights, most)
-    out = each.join(d, each["source"].eqNullSafe(d["s"])).withColumn("key", _rank_key()).withColumn("copies", _copies())
+    out = each.join(d, each["source"].eqNullSafe(d["s"]) & (each["v"] == d["c"])).withColumn("key", _rank_key()).withColumn("copies", _copies())
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -120,13 +145,14 @@ def mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:",
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it. A row's own chance and its source's decision are all that
-    is needed, so texts are not shuffled."""
-    each = save(docs.select(F.col(source_col).cast("string").alias("source"), _measured(text_col).alias("size"), _random(id_col, text_col, seed).alias("u")), "mix")
-    d = _decisions(each, weights, most).select("s", "whole", "pi", "edge", "edge_in")
+    """The rows of ``docs``, each as often as ``mix`` takes it, with the same rules for nulls, empties, repeated rows and
+    empty tables. A row's own chance and its source's decision are all that is needed, so texts are not shuffled."""
+    each = docs.select(F.col(source_col).cast("string").alias("source"), _measured(text_col).alias("size"), _random(id_col, text_col, seed).alias("u"))
+    each = save(each.withColumn("v", _length_class(F.col("size"))), "mix")
+    d = _decisions(each, weights, most).select("s", "c", "whole", "pi", "edge", "edge_in")
     d = d.select(*[F.col(c).alias(f"__{c}") for c in d.columns])
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
-    rows = docs.select(row, F.col(source_col).cast("string").alias("__source"), _random(id_col, text_col, seed).alias("__u"))
-    with_all = rows.join(d, rows["__source"].eqNullSafe(d["__s"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(row, F.col(source_col).cast("string").alias("__source"), _length_class(_measured(text_col)).alias("__v"), _random(id_col, text_col, seed).alias("__u"))
+    with_all = rows.join(d, rows["__source"].eqNullSafe(d["__s"]) & (rows["__v"] == d["__c"]))
     named = with_all.select("__row", *[F.col(f"__{c}").alias(c) for c in ("u", "whole", "pi", "edge", "edge_in")]).withColumn("key", _rank_key())
     return named.where(_copies() > 0).select("__row", F.explode(F.sequence(F.lit(1), _copies().cast("int"))).alias("__n")).select("__row.*")

@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .components import Forest, components
-from .store import bounded_batches, save
+from .components import Forest, components, with_names
+from .store import bounded_batches, save, spread_join
 
 U64 = np.uint64
 FLUSH = 1_000_000
 SHARED_HERE = 65535
 HUBS = 3
 #: A token's list of so many documents is compared pair by pair; those of longer ones in blocks of BLOCK, COLUMNS tokens at a time.
-LONG_LIST, BLOCK, COLUMNS = 16, 512, 4096
+LONG_LIST, BLOCK, COLUMNS = 16, 256, 4096
+#: Tokens of the first filter that one task sorts, more or less.
+RANGE_TOKENS = 4_000_000
 
 
 def _least(n, num: int, den: int):
@@ -61,6 +63,7 @@ def _profile(k: int, num: int, den: int, ranges_log2: int):
         ids: list = []
         size: list[int] = []
         digest: list[bytes] = []
+        texts: list[int] = []
         prefix: list[np.ndarray] = []
         held = 0
 
@@ -87,14 +90,15 @@ def _profile(k: int, num: int, den: int, ranges_log2: int):
             who = who.astype(np.uint16)
             rows = [(batch, 1, int(part[a]), low[a:b].tobytes(), who[a:b].tobytes(), None) for a, b in _runs(part)]
             head = json.dumps(ids).encode()
-            rows.append((batch, 0, None, n.tobytes() + here.astype(np.int64).tobytes(), head, b"".join(digest)))
-            ids.clear(), size.clear(), digest.clear(), prefix.clear()
+            rows.append((batch, 0, None, n.tobytes() + here.astype(np.int64).tobytes() + np.array(texts, np.int64).tobytes(), head, b"".join(digest)))
+            ids.clear(), size.clear(), digest.clear(), texts.clear(), prefix.clear()
             held = 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["batch", "kind", "part", "x", "y", "z"])
 
         for batch in batches:
-            for i, s in zip(batch["id"].to_pylist(), words.shingle_sets(batch["text"], k), strict=True):
+            for i, th, s in zip(batch["id"].to_pylist(), batch["th"].to_pylist(), words.shingle_sets(batch["text"], k), strict=True):
                 ids.append(i)
+                texts.append(th)
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 p = s[: int(_long_prefix(len(s), num, den))] if len(s) else s
@@ -131,12 +135,12 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
 
 def _settle(num: int, den: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        n = here = ids = digest = None
+        n = here = ids = digest = texts = None
         counts = []
         for kind, x, y, z in zip(table["kind"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist(), table["z"].to_pylist(), strict=True):
             if kind == 0:
-                both = np.frombuffer(x, np.int64)
-                n, here = both[: len(both) // 2], both[len(both) // 2 :].copy()
+                n, here, texts = np.frombuffer(x, np.int64).reshape(3, -1)
+                here = here.copy()
                 ids, digest = json.loads(y), z
             else:
                 counts.append((np.frombuffer(y, np.uint16), np.frombuffer(z, np.uint32)))
@@ -144,7 +148,7 @@ def _settle(num: int, den: int):
             np.add.at(here, who, times)
         need = np.maximum(1, _needed(n, num, den))
         return pa.table(
-            {"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "digest": pa.array([digest[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), "alive": pa.array((n > 0) & (here >= need), pa.bool_())}
+            {"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "digest": pa.array([digest[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), "th": pa.array(texts, pa.int64()), "alive": pa.array((n > 0) & (here >= need), pa.bool_())}
         )
 
     return run
@@ -159,7 +163,7 @@ def _sets(k: int):
                     keep.append(i)
                     rows.append(s)
             yield pa.RecordBatch.from_arrays(
-                [batch["rid"].take(pa.array(keep, pa.int64())), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], ["rid", "n", "s"]
+                [batch["cid"].take(pa.array(keep, pa.int64())), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary())], ["cid", "n", "s"]
             )
 
     return run
@@ -172,7 +176,24 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = rows[a : a + 64]
             sizes = [len(x) for x in part]
             token = np.concatenate(part)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(batch["rid"].to_numpy()[a : a + 64], sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes))], ["token", "rid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(batch["cid"].to_numpy()[a : a + 64], sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes))], ["token", "cid", "n"])
+
+
+def _prefixes(num: int, den: int, second: bool):
+    """(family, token, cid) for the shortest prefix of each set in hash order, or in the second one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_prefix(np.frombuffer(x.as_buffer(), U64), num, den, second) for x in batch["s"]]
+            sizes = [len(x) for x in rows]
+            token = np.concatenate(rows) if rows else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["family"].to_numpy(), sizes)), pa.array(token.view(np.int64)), pa.array(np.repeat(batch["cid"].to_numpy(), sizes))], ["family", "token", "cid"])
+
+    return run
+
+
+def _prefix(s: np.ndarray, num: int, den: int, second: bool) -> np.ndarray:
+    return (np.sort(_second(s)) if second else s)[: len(s) - _least(len(s), num, den) + 1]
 
 
 def _verify(num: int, den: int):
@@ -183,12 +204,7 @@ def _verify(num: int, den: int):
             ok = []
             for x, y in zip(batch["s"], batch["s2"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                p, q = len(x) - _least(len(x), num, den) + 1, len(y) - _least(len(y), num, den) + 1
-                if not _meet(x[:p], y[:q]):
-                    ok.append(False)
-                    continue
-                x2, y2 = np.sort(_second(x)), np.sort(_second(y))
-                if not _meet(x2[:p], y2[:q]):
+                if not all(_meet(_prefix(x, num, den, second), _prefix(y, num, den, second)) for second in (False, True)):
                     ok.append(False)
                     continue
                 both = np.sort(np.concatenate([x, y]), kind="stable")
@@ -204,61 +220,96 @@ def _meet(x: np.ndarray, y: np.ndarray) -> bool:
     return bool((both[1:] == both[:-1]).any())
 
 
-def _families(sets: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
+def _narrowed(family: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Families (cid, family) cut to those whose documents also share, one with the next, prefix tokens in hash order, and
+    then in the second hash order. Linked documents share one in each order, so they stay together."""
+    for second in (False, True):
+        rows = family.join(sets.select("cid", "s"), "cid").select("cid", "family", "s")
+        tokens = rows.mapInArrow(_prefixes(num, den, second), "family long, token long, cid long").select(F.xxhash64("family", "token").alias("key"), "cid")
+        heads = save(tokens.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("k")).where("k > 1"), "heads")
+        links = spread_join(tokens, heads, "key", "k", F.xxhash64("cid")).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+        family = save(components(links).select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
+    return family
+
+
+def _families(sets: DataFrame, lists: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) within families, as forests of blocks.
 
     A family's documents are dealt into classes of size so that linked ones are of the same class or neighbours,
     and each class into blocks of about BLOCK documents; a document goes to the pairs of blocks that may hold
-    partners, so the copies made grow with a family's size over BLOCK.
+    partners, so the copies made grow with a family's size over BLOCK. ``lists`` has the prefixes in order of document
+    frequency: in a block, pairs are compared only if they share prefix tokens in all three orders.
     """
     step = math.log(den / num)
-    rows = family.join(sets, family["fid"] == sets["rid"]).select("family", "rid", "n", "s", F.floor(F.log("n") / step).cast("long").alias("size"))
+    prefix = lists.join(family.select("cid"), "cid").groupBy("cid").agg(F.collect_list("token").alias("p"))
+    rows = family.join(sets, "cid").join(prefix, "cid", "left").select("family", "cid", "n", "s", "p", F.floor(F.log("n") / step).cast("long").alias("size"))
+    rows = save(rows, "family-sets")
     blocks = save(rows.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks")
     at = lambda d, name: blocks.select(F.col("family").alias(f"f{name}"), (F.col("size") + d).alias(f"s{name}"), F.col("blocks").alias(name))
     for d, name in ((0, "own"), (-1, "next"), (1, "before")):  # the blocks of this class, the one above and the one below
         other = at(d, name)
         rows = rows.join(other, (rows["family"] == other[f"f{name}"]) & (rows["size"] == other[f"s{name}"]), "left").drop(f"f{name}", f"s{name}")
-    block = F.pmod(F.xxhash64("rid"), F.col("own"))
+    block = F.pmod(F.xxhash64("cid"), F.col("own"))
     to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     none = F.array().cast("array<struct<size:bigint,i:bigint,up:boolean,j:bigint,first:boolean>>")
     key = lambda size, i, up, j, first: F.struct(size.alias("size"), i.alias("i"), F.lit(up).alias("up"), j.alias("j"), F.lit(first).alias("first") if isinstance(first, bool) else first.alias("first"))
     own = F.transform(to(F.col("own")), lambda t: key(F.col("size"), F.least(F.col("block"), t), False, F.greatest(F.col("block"), t), F.col("block") <= t))
     above = F.when(F.col("next").isNotNull(), F.transform(to(F.col("next")), lambda t: key(F.col("size"), F.col("block"), True, t, True))).otherwise(none)
     below = F.when(F.col("before").isNotNull(), F.transform(to(F.col("before")), lambda t: key(F.col("size") - 1, t, True, F.col("block"), False))).otherwise(none)
-    dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.concat(own, above, below))).select("family", "k.size", "k.i", "k.up", "k.j", "k.first", "rid", "s")
+    dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.concat(own, above, below))).select("family", "k.size", "k.i", "k.up", "k.j", "k.first", "cid", "s", "p")
     return dealt.groupBy("family", "size", "i", "up", "j").applyInArrow(_block_links(num, den), "a long, b long")
 
 
+def _common(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many numbers each row of ``left`` shares with each of ``right``."""
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    _, col, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    many = times > 1  # a token of one document is in no intersection
+    place = np.cumsum(many) - 1
+    keep = many[col]
+    row, col = row[keep], place[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(many.sum()), COLUMNS):
+        a, b = np.searchsorted(col, [c, c + COLUMNS])
+        m = np.zeros((len(parts), min(COLUMNS, int(many.sum()) - c)), np.float32)
+        m[row[a:b], col[a:b] - c] = 1
+        common += m[left] @ m[right].T
+    return common.astype(np.int64)
+
+
+def block_pairs(parts: list[np.ndarray], known: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates, linked) as matrices of left by right: candidates share tokens of ``known``, their prefixes by document
+    frequency, and prefix tokens in both hash orders; linked ones were compared whole."""
+    sizes = np.array([len(p) for p in parts])
+    small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
+    candidates = den * small >= num * large
+    for order in (known, *([_prefix(p, num, den, second) for p in parts] for second in (False, True))):
+        if candidates.any():
+            candidates &= _common(order, left, right) > 0
+    linked = np.zeros_like(candidates)
+    x, y = candidates.any(1), candidates.any(0)
+    if x.any():
+        common = _common(parts, left[x], right[y])
+        linked[np.ix_(x, y)] = den * common >= num * (sizes[left[x]][:, None] + sizes[right[y]][None, :] - common)
+    return candidates, linked & candidates
+
+
 def _block_links(num: int, den: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         within = not key[3].as_py() and key[2].as_py() == key[4].as_py()
-        rid = np.array(table["rid"].to_pylist(), np.int64)
+        cid = np.array(table["cid"].to_pylist(), np.int64)
         side = np.array(table["first"].to_pylist(), bool)
-        left = np.flatnonzero(side) if not within else np.arange(len(rid))
+        left = np.flatnonzero(side) if not within else np.arange(len(cid))
         right = np.flatnonzero(~side) if not within else left
         forest = Forest()
-        if len(left) and len(right) and len(rid) > 1:
+        if len(left) and len(right) and len(cid) > 1:
             parts = [np.frombuffer(x.as_buffer(), U64) for chunk in table["s"].chunks for x in chunk]
-            sizes = np.array([len(p) for p in parts])
-            row = np.repeat(np.arange(len(parts)), sizes)
-            _, col, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            many = times > 1  # a token of one document is in no intersection
-            place = np.cumsum(many) - 1
-            keep = many[col]
-            row, col = row[keep], place[col[keep]]
-            order = np.argsort(col, kind="stable")
-            row, col = row[order], col[order]
-            common = np.zeros((len(left), len(right)), np.float32)
-            for c in range(0, int(many.sum()), COLUMNS):
-                a, b = np.searchsorted(col, [c, c + COLUMNS])
-                m = np.zeros((len(parts), COLUMNS), np.float32)
-                m[row[a:b], col[a:b] - c] = 1
-                common += m[left] @ m[right].T
-            common = common.astype(np.int64)
-            linked = den * common >= num * (sizes[left][:, None] + sizes[right][None, :] - common)
-            for i, j in np.argwhere(linked):
+            known = [np.array(x or [], np.int64) for x in table["p"].to_pylist()]
+            for i, j in np.argwhere(block_pairs(parts, known, left, right, num, den)[1]):
                 if left[i] != right[j]:
-                    forest.join(int(rid[left[i]]), int(rid[right[j]]))
+                    forest.join(int(cid[left[i]]), int(cid[right[j]]))
         edges = [(forest.find(x), x) for x in forest.up]
         edges = [(r, x) for r, x in edges if r != x]
         return pa.table({"a": pa.array([r for r, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
@@ -272,76 +323,89 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Equal sets are one class from the start, so copies cost nothing later. 2. A filter in hash order: linked
     sets share at least so many tokens of their long prefixes; the tokens go to ranges as sorted 32-bit
-    remainders, packed, at most one a token and batch, and only counts come back. Documents without enough
-    shared tokens link with nothing. 3. For the rest, tokens ordered by document frequency: documents are
-    candidates when they share a token of the shortest prefix in that order. Each list of documents of a token
-    is first joined to three hubs only; what verification links is merged. The lists that still hold several
-    components are gone through whole: short ones pair by pair, and the documents of long ones as families in
-    blocks that give forests, so a group of thousands of near copies is never expanded, and no pair is skipped. 4. Before a pair is verified it must also share a prefix token in hash order and in a
-    second hash order.
+    remainders, packed, at most one a token and batch, and only counts come back. There are as many ranges as the
+    length of all texts asks for. Documents without enough shared tokens link with nothing. 3. For the rest, tokens
+    ordered by document frequency: documents are candidates when they share a token of the shortest prefix in that order.
+    Each list of documents of a token is first joined to three hubs only; what verification links is merged. The lists that
+    still hold several components are gone through whole: short ones pair by pair; the documents of long ones are families,
+    which are cut by the prefixes in hash order and in a second hash order and compared in blocks that give forests, so a
+    group of thousands of near copies is never expanded, and no pair is skipped. 4. Whichever way a pair came, it is
+    compared whole only if it shares prefix tokens in all three orders. Frequent tokens are spread over all tasks.
 
     The result is exact (64-bit hashes stand for shingles). Null and empty texts have no shingles and link with
-    nothing; a null id has a null component and takes no part; repeated rows share their class. An empty table
-    gives no rows; other columns are ignored.
+    nothing; a null id has a null component and takes no part; repeated rows share their class, and rows that repeat an id
+    with other texts are compared by each of their texts. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    if ranges is None:
+        letters = base.agg(F.sum(F.length("text"))).first()[0] or 0  # some six a word, and a third of the tokens are of prefixes
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), letters // (18 * RANGE_TOKENS))
     log2 = max(0, (ranges - 1).bit_length())
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = "batch long, kind int, part long, x binary, y binary, z binary"
     profile = save(base.mapInArrow(_profile(k, num, den, log2), out), "profile")
     counts = profile.where("kind = 1").select("part", "batch", "x", "y").groupBy("part").applyInArrow(_count, "batch long, y binary, z binary")
     heads = profile.where("kind = 0").select("batch", "kind", "x", "y", "z")
     settled = heads.unionByName(counts.select("batch", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("x"), "y", "z"))
-    meta = save(settled.groupBy("batch").applyInArrow(_settle(num, den), "doc_id long, n long, digest binary, alive boolean"), "meta")
-
-    classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rid"), F.max("alive").alias("alive"))
-    classes = save(classes, "classes")
-    live = classes.where("alive").select("rid", "digest")
-    sets = save(base.join(live, base["id"] == live["rid"]).select("rid", "digest", "text").mapInArrow(_sets(k), "rid long, n long, s binary"), "sets")
-    if not sets.groupBy("rid").count().where("count > 1").isEmpty():  # rows that repeat an id
-        sets = save(sets.dropDuplicates(["rid"]), "sets")
-
-    tokens = sets.mapInArrow(_tokens, "token long, rid long, n long")
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(common, "token")
+    meta = save(settled.groupBy("batch").applyInArrow(_settle(num, den), "doc_id long, n long, digest binary, th long, alive boolean"), "meta")
+
+    classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.max("alive").alias("alive"))
+    classes = save(classes.select("n", "digest", "alive", F.col("one.doc_id").alias("rid"), F.col("one.th").alias("rth")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    live = classes.where("alive").select("cid", "rid", "rth", "digest")
+    sets = base.join(live, (base["id"] == live["rid"]) & (base["th"] == live["rth"])).select("cid", "digest", "text").mapInArrow(_sets(k), "cid long, n long, s binary")
+    sets = save(sets, "sets")
+    if not sets.groupBy("cid").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
+        sets = save(sets.dropDuplicates(["cid"]), "sets")
+
+    tokens = sets.mapInArrow(_tokens, "token long, cid long, n long")
+    common = save(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    known = spread_join(tokens, common, "token", "df", F.xxhash64("cid"))
     least = F.expr(f"-floor(-{num} * n / {den})").cast("long")
-    whole = Window.partitionBy("rid")
+    whole = Window.partitionBy("cid")
     ranked = known.withColumn("own", F.count("*").over(whole)).withColumn("at", F.row_number().over(whole.orderBy("df", "token")))
     # tokens that no other set has come first in this order, and count
-    lists = ranked.where(F.col("at") <= F.col("n") - least + 1 - (F.col("n") - F.col("own"))).select("token", "rid", "n")
+    lists = ranked.where(F.col("at") <= F.col("n") - least + 1 - (F.col("n") - F.col("own"))).select("token", "cid", "n")
     lists = save(lists, "lists")
 
-    hubs = lists.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("rid", F.lit(h)), "rid", "n")).alias(f"h{h}") for h in range(HUBS)], F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"h{h}.rid", f"h{h}.n") for h in range(HUBS)]))).alias("hub")).select("token", F.col("hub.rid").alias("h"), F.col("hub.n").alias("hn"))
+    hubs = lists.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("cid", F.lit(h)), "cid", "n")).alias(f"h{h}") for h in range(HUBS)], F.count("*").alias("c")).where("c > 1")
+    hubs = save(hubs.select("token", F.array_distinct(F.array(*[F.struct(f"h{h}.cid", f"h{h}.n") for h in range(HUBS)])).alias("hubs"), "c"), "hubs")
     near = lambda x, y: (F.greatest(x, y) * num <= F.least(x, y) * den)
-    pairs = lists.join(hubs, "token").where((F.col("rid") != F.col("h")) & near(F.col("n"), F.col("hn")))
-    pairs = save(pairs.select(F.least("rid", "h").alias("a"), F.greatest("rid", "h").alias("b")).distinct(), "pairs")
+    met = spread_join(lists, hubs, "token", "c", F.xxhash64("cid")).select("cid", "n", F.explode("hubs").alias("hub"))
+    met = met.where((F.col("cid") != F.col("hub.cid")) & near(F.col("n"), F.col("hub.n")))
+    pairs = save(met.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct(), "pairs")
 
     def verified(p: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("rid").alias("a"), "s")
-        right = sets.select(F.col("rid").alias("b"), F.col("s").alias("s2"))
+        left = sets.select(F.col("cid").alias("a"), "s")
+        right = sets.select(F.col("cid").alias("b"), F.col("s").alias("s2"))
         return save(p.join(left, "a").join(right, "b").select("a", "b", "s", "s2").mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
 
     links = verified(pairs, "links1").where("linked").select("a", "b")
     comps = components(links)
-    placed = lists.join(comps, lists["rid"] == comps["node"], "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min("rid").alias("head")).where("lo <> hi").select("token", "k", "head")
-    rest = save(placed.join(mixed, "token"), "rest")
+    placed = lists.join(comps, lists["cid"] == comps["node"], "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("c"))
+    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min("cid").alias("head")).where("lo <> hi").select("token", "k", "head")
+    mixed = save(mixed, "mixed")
+    rest = save(spread_join(placed, mixed, "token", "k", F.xxhash64("cid")), "rest")
     # documents that share tokens of long lists are families: compared in blocks, no pair leaves its block
-    kin = components(rest.where(F.col("k") > LONG_LIST).select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct())
-    family = save(kin.select(F.col("node").alias("fid"), F.col("component").alias("family")), "families")
-    short = rest.where(F.col("k") <= LONG_LIST).join(family, F.col("rid") == F.col("fid"), "left").select("token", "rid", "n", "c", "family")
-    r2 = short.select("token", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("family").alias("family2"))
+    kin = components(rest.where(F.col("k") > LONG_LIST).select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct())
+    family = save(kin.select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
+    some = not family.isEmpty()
+    if some:
+        family = _narrowed(family, sets, num, den)
+    in_family = family.select(F.col("cid").alias("fid"), "family")
+    short = rest.where(F.col("k") <= LONG_LIST).join(in_family, F.col("cid") == F.col("fid"), "left").select("token", "cid", "n", "c", "family")
+    r2 = short.select("token", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("family").alias("family2"))
     apart = F.col("family").isNull() | F.col("family2").isNull() | (F.col("family") != F.col("family2"))
-    more = short.join(r2, "token").where((F.col("rid") < F.col("rid2")) & (F.col("c") != F.col("c2")) & apart & near(F.col("n"), F.col("n2")))
-    more = more.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links2 = verified(more, "links2").where("linked").select("a", "b").union(_families(sets, family, num, den))
-    links2 = save(links2, "links3")
+    more = short.join(r2, "token").where((F.col("cid") < F.col("cid2")) & (F.col("c") != F.col("c2")) & apart & near(F.col("n"), F.col("n2")))
+    more = more.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    links2 = verified(more, "links2").where("linked").select("a", "b")
+    if some:
+        links2 = save(links2.union(_families(sets, lists, family, num, den)), "links3")
+    nodes = classes.select(F.col("cid").alias("node"), "rid")
+    stars = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     if not links2.isEmpty():
-        stars = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         comps = components(stars.union(links2))
-    of_class = classes.join(comps, classes["rid"] == comps["node"], "left").select(F.col("n").alias("cn"), F.col("digest").alias("cd"), F.coalesce("component", "rid").alias("component"))
+    comps = with_names(comps, nodes, "rid").select("node", F.col("rid").alias("name"))
+    of_class = classes.join(comps, classes["cid"] == comps["node"], "left").select(F.col("n").alias("cn"), F.col("digest").alias("cd"), F.coalesce("name", "rid").alias("component"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return meta.join(of_class, (meta["n"] == of_class["cn"]) & (meta["digest"] == of_class["cd"]), "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -10,13 +10,16 @@ ROUNDS = 10
 #: In this order; what one finds the later ones do not look at.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{1,4}){1,5}(?![0-9])"
+    r"|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9.-])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|[.-][0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
 }
+#: Country calling codes: fixed values of the international numbering plan, by their first digits.
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -87,10 +90,21 @@ def _card(m: Column, key: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    country, bban = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m) - 4)
-    valid = (_mod97(F.concat(bban, F.substring(m, 1, 4))) == 1) & (F.length(_digits(bban)) >= 2)
-    new = _refill(bban, permute_digits(_digits(bban), key, F.concat(F.lit("iban"), country)))
-    return F.when(valid, _let(new, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)))
+    """Of a number in printed groups the groups at the end may be words of what follows: the longest valid beginning counts."""
+    cut = lambda x: F.regexp_replace(x, " [A-Z0-9]+$", "")
+
+    def valid(p: Column) -> Column:
+        c = F.replace(p, F.lit(" "), F.lit(""))
+        bban = F.substring(c, F.lit(5), F.length(c) - 4)
+        return F.length(c).between(15, 34) & (_mod97(F.concat(bban, F.substring(c, 1, 4))) == 1) & (F.length(_digits(bban)) >= 2)
+
+    def written(p: Column) -> Column:
+        country, rest = F.substring(p, 1, 2), F.substring(p, F.lit(5), F.length(p) - 4)
+        new = _refill(rest, permute_digits(_digits(rest), key, F.concat(F.lit("iban"), country)))
+        check = lambda b: F.lpad((98 - _mod97(F.concat(F.replace(b, F.lit(" "), F.lit("")), country, F.lit("00")))).cast("string"), 2, "0")
+        return _let(new, lambda b: F.concat(country, check(b), b, F.substring(m, F.length(p) + 1, F.length(m))))
+
+    return _let(F.try_element_at(F.filter(F.array(m, cut(m), cut(cut(m))), valid), F.lit(1)), lambda p: F.when(p.isNotNull(), written(p)))
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -115,12 +129,40 @@ def _ip(m: Column, key: Column) -> Column:
     return F.when(valid, _let(mixed, lambda x: F.concat_ws(".", F.floor(x["l"] / 256).cast("string"), (x["l"] % 256).cast("string"), F.floor(x["r"] / 256).cast("string"), (x["r"] % 256).cast("string"))))
 
 
+def _area(a: Column) -> Column:
+    """(index, count, usable) of an area code: those that can be dialled are 2 to 9 and two digits, but not 11."""
+    h, r = F.floor(a / 100), a % 100
+    usable = (a >= 200) & (r != 11)
+    other = F.when(a < 200, a).otherwise(198 + h)
+    return F.struct(F.when(usable, (h - 2) * 99 + r - (r > 11).cast("int")).otherwise(other).alias("i"), F.when(usable, 792).otherwise(208).alias("n"), usable.alias("ok"))
+
+
+def _north_american(d: Column, key: Column) -> Column:
+    """Ten digits; area codes and exchanges that can be dialled stay such."""
+    area, exchange, line = (F.substring(d, a, n).cast("int") for a, n in ((1, 3), (4, 3), (7, 4)))
+    good = exchange >= 200
+    right, size = F.when(good, exchange - 200).otherwise(exchange) * 10_000 + line, F.when(good, 8_000_000).otherwise(2_000_000)
+
+    def permuted(x: Column) -> Column:
+        mixed = feistel(x["i"], right, x["n"], size, key, F.concat(F.lit("phone+1:"), x["n"].cast("string"), F.lit(":"), size.cast("string")))
+
+        def written(y: Column) -> Column:
+            h, r = F.floor(y["l"] / 99), y["l"] % 99
+            a = F.when(x["ok"], (h + 2) * 100 + r + (r >= 11).cast("int")).when(y["l"] < 200, y["l"]).otherwise((y["l"] - 198) * 100 + 11)
+            return F.concat(F.lpad(a.cast("string"), 3, "0"), F.lpad((y["r"] + F.when(good, 2_000_000).otherwise(0)).cast("string"), 7, "0"))
+
+        return _let(mixed, written)
+
+    return _let(_area(area), permuted)
+
+
 def _phone(m: Column, key: Column) -> Column:
-    d = _digits(m)
-    valid = F.length(d).between(8, 15)
-    code = F.when(m.startswith("+"), F.regexp_extract(m, r"^\+[0-9]{1,3}?(?=[ .(-]|$)", 0)).otherwise(F.lit(""))
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.when(valid, F.concat(code, _refill(rest, permute_digits(_digits(rest), key, F.concat(F.lit("phone"), code)))))
+    """A number's digits after its calling code are permuted, however it is written; without a code it is North American."""
+    d, plus = _digits(m), m.startswith("+")
+    code = F.when(plus, F.regexp_extract(d, CALLING_CODE, 0)).otherwise(F.lit("1"))
+    rest = F.when(plus, F.substring(d, F.length(code) + 1, F.length(d))).otherwise(d)
+    new = F.when((code == "1") & (F.length(rest) == 10), _north_american(rest, key)).otherwise(permute_digits(rest, key, F.concat(F.lit("phone+"), code)))
+    return F.when(F.length(d).between(8, 15) & (F.length(rest) >= 4), _refill(m, F.concat(F.when(plus, code).otherwise(F.lit("")), new)))
 
 
 def _date(m: Column, key: Column) -> Column:
@@ -152,7 +194,7 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def _email(m: Column, key: Column) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(m)), 256), 1, 12), F.substring(m, F.instr(m, "@"), F.length(m)))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(m)), 256), 1, 32), F.substring(m, F.instr(m, "@"), F.length(m)))
 
 
 _NEW = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
@@ -175,20 +217,25 @@ def _pseudonym(m: Column, key: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_replaced, kinds) of every row: valid personal numbers and dates replaced within their format.
 
-    Cards that pass the Luhn test keep length, separators and first digit and pass it again; IBANs keep country
-    and letters and pass mod 97; social security numbers stay in the valid ranges; IPv4 addresses, phone numbers
-    (the country code stays) and calendar dates (in their century, written the same way) stay valid. Each is a
-    keyed Feistel permutation of its format, so equal values are equal again in all documents, different values
-    stay different, and who has the key can go back. E-mail addresses have no such format: the local part becomes
-    a keyed hash, the domain stays. What looks like a number of a kind and is not valid is left alone.
+    Cards that pass the Luhn test keep length, separators and first digit and pass it again; IBANs, in one run or in
+    groups, keep country and letters and pass mod 97; social security numbers stay in the valid ranges; IPv4 addresses,
+    phone numbers (the calling code stays, and an area code that can be dialled becomes another) and calendar dates (in
+    their century, written the same way) stay valid. Each is a keyed Feistel permutation of its format, so equal values are
+    equal again in all documents, however they are spaced, different values stay different, and who has the key can go back.
+    E-mail addresses have no such format: the local part becomes 128 bits of a keyed hash, the domain stays. What looks like
+    a number of a kind and is not valid is left alone, and so are IPv6 addresses, phone numbers of blanks only without a
+    calling code ("555 123 4567"), and dates with names of months.
+
+    The key comes as a one-row subquery: it is no literal of the plan, so neither plans nor event logs show it.
 
     Whole texts, narrow, no shuffle. Null text gives null text and 0 replaced, empty text stays empty; ids go
     through, null or repeated; an empty table gives no rows; other columns are ignored. kinds holds the kind of
     each replacement in the order of the text.
     """
-    secret = F.lit(key)
+    secret = F.col("__key")
     t = F.col("__t")
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    held = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), held.alias("__key"))
     found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
     marked = base.withColumn("__m", found).withColumn("__n", F.transform("__m", lambda m: _pseudonym(m, secret)))
     gaps = F.split(t, PATTERN)

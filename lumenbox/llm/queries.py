@@ -133,14 +133,26 @@ ORACLES = {
         ), plan AS (
             SELECT t.source, source_size, CASE WHEN t.n >= f.n THEN CAST(w * f.rest AS DOUBLE) / CAST(f.w_rest AS DOUBLE) ELSE CAST(cap AS DOUBLE) END AS target
             FROM t LEFT JOIN f ON true
-        ), p AS (
-            SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM plan
+        ), g AS (
+            SELECT source, length(bin(greatest(size, 1))) AS v, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2
+        ), h AS (
+            SELECT g.source, v, words, source_size, target,
+                   target - CAST(3 * coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rest,
+                   CAST(sum(v * words) OVER (PARTITION BY g.source ORDER BY v DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS need
+            FROM g JOIN plan ON g.source IS NOT DISTINCT FROM plan.source
+        ), i AS (
+            SELECT source, max(v) AS v0, arg_max(rest, v) AS rest, arg_max(need, v) AS need FROM h WHERE rest * v <= 3 * need GROUP BY source
+        ), j AS (
+            SELECT h.source, v, words, source_size, target,
+                   CASE WHEN v > v0 THEN 3 WHEN i.need > 0 THEN i.rest * v / i.need ELSE 0 END AS lam
+            FROM h JOIN i ON h.source IS NOT DISTINCT FROM i.source
         ), q AS (
-            SELECT *, CAST(least(floor(ratio), 3) AS BIGINT) AS whole, ratio - least(floor(ratio), 3) AS pi, target - least(floor(ratio), 3) * source_size AS words_left FROM p
+            SELECT *, CAST(least(floor(lam), 3) AS BIGINT) AS whole, lam - least(floor(lam), 3) AS pi,
+                   target - CAST(sum(CAST(least(floor(lam), 3) AS BIGINT) * words) OVER (PARTITION BY source) AS DOUBLE) AS words_left FROM j
         ), k AS (
             SELECT doc_id, d.source, size, source_size, target, whole, pi, words_left,
                    CASE WHEN pi > 0 AND pi < 1 THEN least(CAST(floor((u / (1 - u)) / (pi / (1 - pi)) / (1 + (u / (1 - u)) / (pi / (1 - pi))) * CAST(281474976710656 AS DOUBLE)) AS BIGINT), 281474976710655) END AS key
-            FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+            FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND length(bin(greatest(d.size, 1))) = q.v
         ), c AS (
             SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
                    sum(size) OVER (PARTITION BY source, key) AS words FROM k

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
@@ -53,6 +54,27 @@ def task_each(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return rows.repartition(max(1, min(most, rows.count())))
 
 
+#: A key is hot if it holds more than one in so many of all rows, so there are fewer hot keys than that.
+HOT_KEYS = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt: Column) -> DataFrame:
+    """Inner join on a key of type long, whichever keys are hot. ``right`` is a saved table of one row a key, with ``weight``, the
+    number of rows that ``left`` has of it. The rows of hot keys, fewer than HOT_KEYS, are broadcast; the left rows that they meet
+    go by ``salt``, a long that tells rows apart, and so to all tasks."""
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    cut = max(1000, (total or 0) // HOT_KEYS)
+    more = [c for c in right.columns if c != key]
+    if (most or 0) <= cut:
+        return left.join(right, key).select(*left.columns, *more)
+    side = right.select(F.col(key).alias("__key"), F.struct(*more).alias("__more"))
+    hot = side.where(F.col("__more")[weight] > cut).select(F.col("__key").alias("__hot_key"), F.col("__more").alias("__hot"))
+    met = left.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn("__to", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(salt))
+    cold = side.where(F.col("__more")[weight] <= cut)
+    both = met.join(cold, (F.col("__to") == F.col("__key")) & F.col("__hot").isNull(), "left").withColumn("__got", F.coalesce("__hot", "__more"))
+    return both.where(F.col("__got").isNotNull()).select(*left.columns, *[F.col(f"__got.{c}").alias(c) for c in more])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

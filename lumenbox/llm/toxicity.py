@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import words
 from .store import bounded_batches, extended
 
 BITS = 20
-#: At most this many labelled rows are fitted, those of the smallest hashes of their ids.
-FIT_ROWS = 20_000
+#: At most this many labelled rows are fitted, those of the smallest hashes of their ids, up to so many terms in all.
+FIT_ROWS, FIT_TERMS = 20_000, 12_000_000
 FOLDS = 5
 STEMS = (4, 5)
 
@@ -80,51 +81,42 @@ def _raw(bias: float, weight: np.ndarray, factors: np.ndarray, cols: np.ndarray,
     return out, sums
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20, rate: float = 0.3, least_rows: int = 3, keep: int = 3_000, seed: int = 7) -> Machine:
-    """Logistic loss by AdaGrad over mini-batches, with shrinkage.
-
-    Terms seen in fewer than ``least_rows`` rows are left out, and of the others the ``keep`` with the largest
-    chi-square against the label stay: most words say nothing of toxicity, and a long text holds many.
-    """
+def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 8, rate: float = 0.3, least_rows: int = 3, seed: int = 7) -> Machine:
+    """Logistic loss by AdaGrad over mini-batches, with shrinkage. Every term of at least ``least_rows`` rows has a weight
+    and factors, whether or not it says anything of the label by itself: the sample alone bounds them."""
     n, pos = len(rows), float(y.sum())
     index = np.full(1 << BITS, -1, np.int64)
     if not n or pos == 0 or pos == n:
         rate_ = (pos + 0.5) / (n + 1)
         return Machine(float(np.log(rate_ / (1 - rate_))), index, np.zeros(1), np.zeros((1, rank)))
-    seen, with_pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for at in range(0, n, 500):  # some rows at a time, as all of them on end are large
-        part = rows[at : at + 500]
-        seen += np.bincount(np.concatenate(part), minlength=1 << BITS)
-        if len(bad := [x for x, t in zip(part, y[at : at + 500], strict=True) if t]):
-            with_pos += np.bincount(np.concatenate(bad), minlength=1 << BITS)
-    expected = seen * pos / n
-    chi = (with_pos - expected) ** 2 / np.maximum(expected, 1e-9) + (with_pos - expected) ** 2 / np.maximum(seen - expected, 1e-9)
-    chi[seen < least_rows] = 0
-    chosen = np.argsort(-chi, kind="stable")[:keep]
-    chosen = np.sort(chosen[chi[chosen] > 6.6])
+    seen = np.zeros(1 << BITS, np.int64)
+    for x in rows:
+        seen[x] += 1  # a row's buckets are distinct
+    chosen = np.flatnonzero(seen >= least_rows)
     index[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(seed)
     m = max(1, len(chosen))
     w, v, b = np.zeros(m), rng.normal(0, 0.02, (m, rank)), float(np.log(pos / (n - pos)))
     gw, gv, gb = np.full(m, 1e-3), np.full((m, rank), 1e-2), 1e-3
-    known = [(i := index[x])[i >= 0] for x in rows]
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 256):
             pick = order[at : at + 256]
-            c, r = _csr([known[i] for i in pick])
+            known = [(i := index[rows[k]])[i >= 0] for k in pick]
+            c, r = _csr(known)
             raw, sums = _raw(b, w, v, c, r, len(pick))
             g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[pick]) / len(pick)
             gb += (d := g.sum()) ** 2
             b -= rate * d / np.sqrt(gb)
-            u, inv = np.unique(c, return_inverse=True)
+            u = np.flatnonzero(np.bincount(c, minlength=m))
             if not len(u):
                 continue
-            dw = np.bincount(inv, g[r], len(u)) + 1e-5 * w[u]
+            each = g[r]
+            dw = np.bincount(c, each, m)[u] + 1e-5 * w[u]
             gw[u] += dw**2
             w[u] -= rate * dw / np.sqrt(gw[u])
             for f in range(rank):
-                dv = np.bincount(inv, g[r] * (sums[r, f] - v[c, f]), len(u)) + 1e-4 * v[u, f]
+                dv = np.bincount(c, each * (sums[r, f] - v[c, f]), m)[u] + 1e-4 * v[u, f]
                 gv[u, f] += dv**2
                 v[u, f] -= 0.3 * rate * dv / np.sqrt(gv[u, f])
     return Machine(b, index, w, v)
@@ -132,37 +124,50 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 20,
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [x.astype(np.int32).tobytes() for x in features(batch["text"])]
-        yield pa.RecordBatch.from_pydict({"x": pa.array(got, pa.binary()), "y": batch["y"]})
+        got = [x.astype("<i4").tobytes() for x in features(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(got, pa.binary()), batch["y"]], ["id", "h", "x", "y"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
-    """Fit on at most ``fit_rows`` labelled rows outside the held-out fold; that bound also bounds the broadcast of
-    the chosen labels and what reaches the driver (bucket ids of those rows)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERMS) -> Machine:
+    """Fit on at most ``fit_rows`` labelled rows outside the held-out fold, in the order of the hashes of their ids, up to
+    ``fit_terms`` terms in all; those bounds also bound the broadcast of the chosen labels and what reaches the driver.
+
+    Null ids and null labels are not learnt from, nor ids whose labels contradict each other. Of rows that repeat an id
+    one is learnt from, the one with the smallest hash of its text. The machine is the same however the rows are dealt
+    to partitions. Empty tables give a machine of the bias alone.
+    """
     bounded_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
-    some = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    rows = docs.join(F.broadcast(some), docs[id_col] == some["__id"]).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y")
-    got = rows.mapInArrow(_featurize, "x binary, y int").toArrow()
+    each = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    known = each.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select(F.col("id").alias("label_id"), "y")
+    some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.join(F.broadcast(some), rows["id"] == some["label_id"]).select("id", "h", "text", "y")
+    parts = rows.mapInArrow(_featurize, StructType([rows.schema["id"], *_parse_datatype_string("h long, x binary, y int").fields]))
+    one = parts.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select(F.xxhash64("id").alias("at"), "id", "r.x", "r.y")  # fit_rows rows at most
+    upto = F.sum(F.length("x") / 4).over(Window.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = one.withColumn("upto", upto).where(F.col("upto") <= fit_terms).orderBy("at", "id").select("x", "y").toArrow()
     # views of the table that came, without a copy
-    return fit([np.frombuffer(x.as_buffer(), np.int32) for chunk in got["x"].chunks for x in chunk], np.array(got["y"].to_pylist(), float))
+    return fit([np.frombuffer(x.as_buffer(), "<i4") for chunk in got["x"].chunks for x in chunk], np.array(got["y"].to_pylist(), float))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` that came, with ``score`` (0 to 1) and ``predicted``; columns so named are replaced."""
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """The columns of ``docs``, with ``score_col`` (0 to 1) and ``predicted_col`` (1 from 0.5 on); columns of those names
+    are replaced, so a caller whose table has them gives other names. Null texts count as empty and get the score of the
+    bias, repeated rows equal scores; an empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (score_col, predicted_col)], F.col(text_col).alias("__scored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            rows = list(features(batch[text_col]))
+            rows = list(features(batch["__scored"]))
             s = model.score(rows) if rows else np.zeros(0)
-            keep = [c for c in batch.schema.names if c not in ("score", "predicted")]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
+            keep = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*keep, score_col, predicted_col])
 
-    base = docs.drop("score", "predicted")
-    return base.mapInArrow(run, extended(base, score="double", predicted="int"))
+    return base.mapInArrow(run, extended(base.drop("__scored"), **{score_col: "double", predicted_col: "int"}))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +175,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null texts count as empty and get the score of the bias. A null id is never learnt from and held_out is
     false for it; repeated rows get equal scores; an empty table gives no rows. Without labels of both kinds
-    the score is their share, smoothed. Nothing but the text is an input of a score.
+    the score is their share, smoothed. Nothing but the text is an input of a score; other columns are ignored.
     """
-    got = score(docs.select(id_col, text_col), train(docs, labels, id_col, text_col), id_col, text_col)
-    return got.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score", "predicted")
+    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    got = score(each, train(docs, labels, id_col, text_col), "id", "text")
+    return got.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -47,7 +49,39 @@ def test_trie(entries, largest):
         trie.insert(key, owner)
         want.setdefault(key, []).append(owner)
     best = lambda v: (max if largest else min)([x for x in v if x is not None], default=None)
-    assert {k: (o, n) for k, o, n in trie.items()} == {k: (best(v), len(v)) for k, v in want.items()}
+    assert {k: (o, n) for k, o, n, _ in trie.items()} == {k: (best(v), len(v)) for k, v in want.items()}
+    assert trie.strings == len(want)
+
+
+@given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 99)), max_size=60), st.integers(1, 9))
+def test_trie_hands_over_complete_subtrees(entries, every):
+    """In byte order, what is handed over early is what a trie of everything holds, and only the last string stays."""
+    entries = sorted(entries)
+    trie, whole, got = exact_dedup.PatriciaTrie(), exact_dedup.PatriciaTrie(), []
+    for i, (key, owner) in enumerate(entries):
+        trie.insert(key, owner)
+        whole.insert(key, owner)
+        if i % every == 0:
+            got += trie.complete(key)
+            assert trie.strings == 1 and not trie.forks
+    assert sorted(x[:3] for x in [*got, *trie.items()]) == sorted(x[:3] for x in whole.items())
+
+
+def test_tries_hold_many_strings(spark, monkeypatch):
+    """A partition's strings share one trie, and a small bound on its bytes changes nothing."""
+    held = []
+    own = exact_dedup._own(False, False, 1 << 20)
+    body = sorted([f"a common beginning of many texts, then {i:03d}".encode() for i in range(300)])
+    batch = pa.RecordBatch.from_pydict({"body": pa.array(body, pa.binary()), "owner": pa.array(range(300), pa.int64()), "n": pa.array([1] * 300, pa.int64())})
+    monkeypatch.setattr(exact_dedup.PatriciaTrie, "items", lambda self, items=exact_dedup.PatriciaTrie.items: held.append((self.strings, self.forks)) or items(self))
+    assert sum(len(b) for b in own(iter([batch]))) == 300
+    assert held[-1][0] == 300 and held[-1][1] > 20
+    monkeypatch.undo()
+    docs = _docs(spark, [(i, f"text {i % 70}" + "x" * (i % 7)) for i in range(400)])
+    whole = {tuple(r) for r in exact_dedup.owners(docs).collect()}
+    assert whole == {tuple(r) for r in exact_dedup.owners(docs, trie_bytes=500).collect()} and len(whole) == 70
+    stay = {tuple(r) for r in exact_dedup.drop_exact_duplicates(docs).collect()}
+    assert stay == {tuple(r) for r in docs.where("doc_id < 70").collect()} == {tuple(r) for r in exact_dedup.drop_exact_duplicates(docs, trie_bytes=500).collect()}
 
 
 @pytest.mark.parametrize("keep", ["min", "max"])
@@ -87,6 +121,45 @@ def test_join_against_brute_force(spark):
         assert got == want
 
 
+def test_families_pass_all_orders():
+    """In a block, candidates are the pairs that share prefix tokens in every order, and no linked pair is missed."""
+    rng = np.random.default_rng(8)
+    base = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    parts, df = [], {}
+    for i in range(60):
+        fresh = rng.integers(0, 1 << 63, int(rng.integers(1, 200))).astype(np.uint64)
+        keep = rng.random(400) > rng.choice([0.02, 0.1, 0.5])
+        parts.append(np.unique(np.concatenate([base[keep], fresh])))
+    for p in parts:
+        for t in p.tolist():
+            df[t] = df.get(t, 0) + 1
+    num, den = 80, 100
+    short = lambda p: len(p) - ngram_join._least(len(p), num, den) + 1
+    known = [np.array(sorted(p.tolist(), key=lambda t: (df[t], t))[: short(p)], np.uint64).view(np.int64) for p in parts]
+    every = np.arange(60)
+    candidates, linked = ngram_join.block_pairs(parts, known, every, every, num, den)
+    for i in every:
+        for j in every[every != i]:
+            x, y = set(parts[i].tolist()), set(parts[j].tolist())
+            assert linked[i, j] == (den * len(x & y) >= num * len(x | y))
+            orders = [set(known[i]) & set(known[j])]
+            for f in (lambda t: t, lambda t: int(ngram_join._second(np.array([t], np.uint64))[0])):
+                orders.append(set(sorted(x, key=f)[: short(parts[i])]) & set(sorted(y, key=f)[: short(parts[j])]))
+            assert candidates[i, j] == (all(orders) and den * min(len(x), len(y)) >= num * max(len(x), len(y)))
+    assert linked.sum() > 100 and candidates.sum() < 60 * 60
+
+
+def test_join_with_repeated_ids(spark):
+    """Rows that repeat an id with other texts are compared by each text; ranges and blocks do not change the result."""
+    rng = random.Random(3)
+    a, b, c = (rng.sample([f"w{i}" for i in range(900)], 60) for _ in range(3))
+    near = lambda w: " ".join([*w[:-2], "x"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (9, " ".join(c)), (3, near(c)), (None, " ".join(c))]
+    for ranges in (None, 1, 50):
+        got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.ngram_join(_docs(spark, rows), ranges=ranges).collect())
+        assert got == [(0, 0), (3, 3), (5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 3)]
+
+
 def test_join_edges(spark):
     assert ngram_join.ngram_join(_docs(spark, [])).count() == 0
     rows = [(7, "a b c d e f g"), (7, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (9, "p q r s t u"), (9, "v w x y z a")]

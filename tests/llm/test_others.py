@@ -2,7 +2,9 @@
 
 import datetime
 import hashlib
+import itertools
 import math
+import os
 import random
 import zlib
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbox.llm import embeddings, fsio, line_dedup, mixing, pii, toxicity, warc
+from lumenbox.llm import embeddings, fsio, line_dedup, mixing, pii, store, toxicity, warc
 
 KEY = "k"
 
@@ -67,7 +69,7 @@ def test_formats(spark):
     assert int("".join(str(int(c, 36)) for c in iban.text[4:] + iban.text[:4])) % 97 == 1 and iban.text != texts[1] and iban.text[:2] == "DE"
     assert ssn.kinds == ["ssn"] and ssn.text.endswith(" 666-12-1234 000-12-1234") and not ssn.text.startswith("078-05-1120")
     assert ip.kinds == ["ip"] and all(0 <= int(x) <= 255 for x in ip.text.split(" ")[0].rstrip(".").split(".")) and ip.text.endswith(". 999.1.1.1 01.2.3.4")
-    rest = _digits("4595557415", "phone+1")
+    rest = _north_american("4595557415")
     assert phone.text == f"+1 ({rest[:3]}) {rest[3:6]}-{rest[6:]}"
     iso, dots, us, bad = date.text.split()
     assert datetime.date.fromisoformat(iso).strftime("%d.%m.%Y") == dots and bad == "1985-02-30" and date.kinds == ["date"] * 3
@@ -75,6 +77,73 @@ def test_formats(spark):
     assert (clean.text, clean.n_replaced) == (texts[-1], 0)
 
 
+def _north_american(d):
+    """Plainly: area codes that can be dialled, and those that cannot, are listed and permuted among themselves."""
+    usable = [a for a in range(200, 1000) if a % 100 != 11]
+    areas = usable if int(d[:3]) in usable else [a for a in range(1000) if a not in usable]
+    low, size = (200, 8_000_000) if int(d[3:6]) >= 200 else (0, 2_000_000)
+    a, r = _feistel(areas.index(int(d[:3])), int(d[3:]) - low * 10_000, len(areas), size, f"phone+1:{len(areas)}:{size}")
+    return f"{areas[a]:03d}{r + low * 10_000:07d}"
+
+
+def test_phones_in_one_form(spark):
+    """However a number is written, its pseudonym is the same, written in that way."""
+    new = _north_american("5551234567")
+    a, b, c = new[:3], new[3:6], new[6:]
+    one, other, bad, tail = _replaced(spark, "+15551234567 +1 555 123 4567 (555) 123-4567 555-123-4567 555.123.4567", "+33 1 23 45 67 89, +33123456789, +3531234567", "+1 211-123-4567 and 011-555-1234", "+1 459 555 7415 12 apples")
+    assert one.text == f"+1{a}{b}{c} +1 {a} {b} {c} ({a}) {b}-{c} {a}-{b}-{c} {a}.{b}.{c}" and one.kinds == ["phone"] * 5
+    fr = _digits("123456789", "phone+33")
+    assert other.text == f"+33 {fr[0]} {fr[1:3]} {fr[3:5]} {fr[5:7]} {fr[7:]}, +33{fr}, +353{_digits('1234567', 'phone+353')}"
+    x, y = _north_american("2111234567"), _north_american("0115551234")
+    assert bad.text == f"+1 {x[:3]}-{x[3:6]}-{x[6:]} and {y[:3]}-{y[3:6]}-{y[6:]}"
+    z = _north_american("4595557415")
+    assert tail.text == f"+1 {z[:3]} {z[3:6]} {z[6:]} 12 apples"
+    seen = {_north_american(f"{a:03d}{e}0000") for a in range(1000) for e in (100, 199, 200, 999)}
+    assert len(seen) == 4000
+
+
+def _iban(bban, country):
+    number = "".join(str(int(c, 36)) for c in bban + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{bban}"
+
+
+def test_every_kind_against_a_plain_version(spark):
+    rng = random.Random(12)
+    texts, want = [], []
+    for _ in range(60):
+        bban = "".join(rng.choices("0123456789", k=18))
+        whole, new = _iban(bban, "DE"), _iban(_digits(bban, "ibanDE"), "DE")
+        spaced = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+        texts.append(f"{whole}; {spaced(whole)}; {spaced(whole)} AND 12AB")
+        want.append(f"{new}; {spaced(new)}; {spaced(new)} AND 12AB")
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randrange(1, 100), rng.randrange(1, 10000)
+        areas = [*range(1, 666), *range(667, 900)]
+        left, right = _feistel(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        texts.append(f"{area:03d}-{group:02d}-{serial:04d}")
+        want.append(f"{areas[left // 99]:03d}-{left % 99 + 1:02d}-{right + 1:04d}")
+        p = [rng.randrange(256) for _ in range(4)]
+        left, right = _feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        texts.append(".".join(map(str, p)))
+        want.append(f"{left // 256}.{left % 256}.{right // 256}.{right % 256}")
+        name = f"User.{rng.randrange(99)}@Mail.example.org"
+        texts.append(name)
+        want.append("u" + hashlib.sha256(f"{KEY}|email|{name.lower()}".encode()).hexdigest()[:32] + "@Mail.example.org")
+    got = _replaced(spark, *texts)
+    assert [r.text for r in got] == want and sum(r.n_replaced for r in got) == 60 * 6
+
+
+def test_pii_edges(spark):
+    """Null and repeated ids, an empty table, a very long text, names that clash; and the key is not in the plan."""
+    long = "call 555-123-4567 now " * 20_000
+    docs = spark.createDataFrame([(None, "10.20.30.40", "a", "b"), (None, None, "a", "b"), (3, "", "a", "b"), (3, long, "a", "b"), (3, long, "a", "b")], "doc_id long, text string, key string, __key string")
+    got = pii.pseudonymize(docs, "very secret")
+    rows = got.collect()
+    assert got.columns == ["doc_id", "text", "n_replaced", "kinds"] and sorted(r.n_replaced for r in rows) == [0, 0, 1, 20_000, 20_000]
+    a, b = (r.text for r in rows if r.n_replaced == 20_000)
+    assert a == b and len(a) == len(long) and "very secret" not in got._jdf.queryExecution().toString()
+    assert pii.pseudonymize(docs.limit(0), "k").count() == 0
+
+
 def test_dates_are_permuted(spark):
     first = datetime.date(2000, 1, 1)
     days = spark.range(36525).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit(first), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
@@ -100,7 +169,7 @@ def test_warc_round_trip(spark, tmp_path):
         m = warc.write_warc(pages.repartition(parts), f"file://{tmp_path}/{k}", shard_bytes=20_000, file_bytes=500)
         out.append({r.path.rpartition("/")[2]: r.sha256 for r in m.collect()})
     assert out[0] == out[1] and len(out[0]) > 5  # the same names and bytes, however the rows came
-    assert not [p for p in (tmp_path / "0" / ".temporary").iterdir()]
+    assert not (tmp_path / "0" / ".temporary").exists()
     got = warc.read_warc(m).collect()
     last = {}
     for i, _, h in PAGES:
@@ -121,6 +190,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_odd_ids(spark, tmp_path):
+    """The smallest and largest ids, one far away from all others, and one that holds most rows: shards are even in bytes."""
+    rows = [(i, None, f"page {i} " * 300) for i in range(400)] + [(i, None, "x" * 50) for i in (-(1 << 63), (1 << 63) - 1, 1 << 60)] + [(77, f"http://e/{i}", f"other {i} " * 300) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    m = warc.write_warc(pages, f"file://{tmp_path}/odd", shard_bytes=100_000, file_bytes=50_000)
+    each = m.groupBy("shard").agg(F.sum("records").alias("n")).collect()
+    assert len(each) > 10 and max(r.n for r in each) < 150 and sum(r.n for r in each) == len(rows)
+    got = sorted((r.page_id, r.payload_digest, r.record_type) for r in warc.read_warc(m).collect())
+    assert got == sorted((i, hashlib.sha1(h.encode()).hexdigest(), "response") for i, _, h in rows)
+    paths = [r.path.rpartition("/")[2] for r in m.orderBy("shard", "serial").collect()]
+    assert paths == sorted(paths) and not os.path.exists(tmp_path / "odd" / ".temporary")
+
+
+def test_records_in_blocks():
+    records = [warc.page_record(i, None, bytes([i]) * (i * 997), None, False) for i in range(40)]
+    data = b"".join(records)
+    for size in (1, 700, 1 << 14, len(data)):
+        got = list(warc.records(data[a : a + size] for a in range(0, len(data), size)))
+        assert [r.payload for r in got] == [bytes([i]) * (i * 997) for i in range(40)]
+    assert list(warc.records(b"")) == [] and [r.payload for r in warc.records(data)] == [r.payload for r in got]
+
+
 def _vectors(rng):
     rows, n = [], 0
     for label in (0, 1, None):
@@ -162,6 +253,30 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_odd_vectors(spark):
+    """Components beyond single precision, classes of null ids, labels of text, repeated ids, clashing column names."""
+    near, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(0, [1e39, 1e39], "a"), (1, [1e39, 1e39], "a"), (2, [1e-60, 2e-60], "a"), (3, [1e-60, 2e-60], "a"), (4, [1e300, 1e300], "a"), (5, [1e-300, 2e-300], "a")]
+    rows += [(10, near, "b"), (None, [1.0, 0.01, 0.0], "b"), (None, [1.0, 0.01, 0.0], "b"), (11, [1.0, 0.02, 0.0], "b"), (None, far, "b"), (None, [0.0, 1.0, 0.01], "b")]
+    rows += [(20, near, "c"), (20, near, "c"), (21, far, "c"), (21, near, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, label string, cid int, key int, m int")
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1, r.kept) for r in embeddings.near_vectors(df).collect())
+    # 0, 1 and 4 are of one direction, 2, 3 and 5 of another, and 0.9487 apart
+    want = [(0, 2, 0, True), (1, 2, 0, False), (4, 2, 0, False), (2, 2, 2, True), (3, 2, 2, False), (5, 2, 2, False)]
+    want += [(10, 3, 10, True), (-1, 3, 10, False), (-1, 3, 10, False), (11, 3, 10, False), (-1, 1, -1, False), (-1, 1, -1, False)]
+    want += [(20, 1, 20, True), (20, 1, 20, True), (21, 0, 21, True), (21, 0, 21, True)]
+    assert got == sorted(want)
+
+
+def test_spread_join(spark):
+    """Hot keys and the others, against the plain join."""
+    left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("key"), "id")
+    right = store.save(left.groupBy("key").agg(F.count("*").alias("n")).where("key % 2 = 1"), "right")
+    got = store.spread_join(left, right, "key", "n", F.xxhash64("id"))
+    assert got.columns == ["key", "id", "n"] and "Broadcast" in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
+
+
 def test_table_plan():
     for n in (0, 10, 1000, 10**6, 10**10):
         bits, tables = embeddings.table_plan(n, 0.98)
@@ -239,6 +354,46 @@ def test_whole_passages(spark):
         assert keep + raw[at:] == got[i].text.encode() and got[i].n_removed == len(got[i].removed)
 
 
+def _pareto(rows, target):
+    """(id, size, copies), plainly: levels by bisection, one sort by random odds over inclusion odds a source."""
+    out = []
+    for s, words in target.items():
+        own = []
+        for i, t, source in rows:
+            if source == s:
+                name = str(i) if i is not None else hashlib.md5((t or "").encode()).hexdigest()
+                u = (int(hashlib.md5(("mix:" + name).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                own.append((i, len((t or "").split()), u))
+        lo, hi = 0.0, 4.0
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(3, c * max(1, n).bit_length()) * n for _, n, _ in own) < words else (lo, c)
+        ranked, left = [], words
+        for i, n, u in own:
+            lam = min(3, hi * max(1, n).bit_length())
+            lam = round(lam) if abs(lam - round(lam)) < 1e-9 else lam
+            whole = int(lam)
+            left -= whole * n
+            pi = lam - whole
+            ranked.append((u / (1 - u) / (pi / (1 - pi)) if pi else math.inf, i, n, whole))
+        taken = 0
+        for q, group in itertools.groupby(sorted(ranked, key=lambda r: r[0]), key=lambda r: r[0]):
+            group = list(group)
+            n = sum(r[2] for r in group)
+            drawn = q < math.inf and taken < left and abs(taken + n - left) <= abs(left - taken) or taken + n < left and q < math.inf
+            taken += n
+            out += [(i if i else -1, size, whole + drawn) for _, i, size, whole in group]
+    return out
+
+
+def test_longer_documents_are_likelier(spark):
+    """Inclusion differs within a source, and the rank is not the random number alone."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (3 if i % 2 else 200)), "ab"[i % 3 == 0]) for i in range(6000)], "doc_id long, text string, source string")
+    copies = {(r.source, r.size): r.c / r.n for r in mixing.mix(docs).groupBy("source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).collect()}
+    for s in "ab":
+        assert copies[s, 200] / copies[s, 3] == pytest.approx(8 / 2, rel=0.1) or copies[s, 200] == 3
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randrange(40)), rng.choice(["a", "b", "b", "b", "b", "é", "Z", None])) for i in range(4000)]
@@ -266,6 +421,7 @@ def test_mixing(spark):
     assert len(got) == len(rows)
     for s in order:
         assert abs(taken[s] - target[s]) <= 20 or sizes[s] < 5
+    assert sorted((r.doc_id or -1, r.size, r.copies) for r in got) == sorted(_pareto(rows, target))
     again = sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs.repartition(7)).collect())
     assert again == sorted((r.doc_id or -1, r.size, r.taken) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
@@ -288,6 +444,45 @@ def test_pairs_are_learnt(spark):
     assert ((m.score(rows[2400:]) >= 0.5) == y[2400:]).mean() > 0.95
 
 
+def test_score_is_the_sum_over_pairs():
+    """The machine's score against a plain double loop over pairs of terms."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 1 << toxicity.BITS, rng.integers(0, 30))) for _ in range(40)] + [np.zeros(0, np.int64)]
+    used = np.unique(np.concatenate(rows))
+    index = np.full(1 << toxicity.BITS, -1, np.int64)
+    index[used[::2]] = np.arange(len(used[::2]))  # every other term is unknown
+    m = toxicity.Machine(-0.3, index, rng.normal(size=len(used)), rng.normal(size=(len(used), 3)))
+    got = m.score(rows)
+    for x, s in zip(rows, got, strict=True):
+        k = [index[t] for t in x if index[t] >= 0]
+        raw = m.bias + sum(m.weight[i] for i in k)
+        for a in range(len(k)):
+            for b in range(a):
+                raw += sum(m.factors[k[a], f] * m.factors[k[b], f] for f in range(3))
+        assert s == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i % 900, " ".join([f"w{rng.randrange(80)}" for _ in range(12)] + ["scum"] * (i % 3 == 0)), 1.0 * i, 777.0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y double, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)] + [(5, 1), (5, 0)] * 50, "doc_id long, toxic int")
+    got = [sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs.repartition(n), labels.repartition(n)).collect()) for n in (2, 7)]
+    assert got[0] == got[1]
+    many = docs.union(spark.createDataFrame([(1, f"one id {i}", 0.0, 0.0) for i in range(3000)], docs.schema))
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda rows, y, **k: seen.append((len(rows), sum(map(len, rows)))) or fit(rows, y, **k)
+        toxicity.train(many, labels, fit_rows=100)
+        toxicity.train(many, labels, fit_terms=500)
+    finally:
+        toxicity.fit = fit
+    assert seen[0][0] <= 100 and 0 < seen[1][1] <= 500 and seen[1][0] < 100
+    kept = toxicity.score(docs, toxicity.train(docs, labels), score_col="__s", predicted_col="__p")
+    assert kept.columns == [*docs.columns, "__s", "__p"] and kept.agg(F.min("score"), F.max("score")).first() == (777.0, 777.0)
+
+
 def test_toxicity_table(spark):
     rng = random.Random(2)
     bad = ["scum", "moron"]
