@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import struct
@@ -24,7 +23,7 @@ from .store import bounded_batches, new_folder, save, task_each
 
 MAGIC = b"IDPAIRS1"
 SHARD_IDS = 2_000_000
-RULES_A_ROUND, LEAST = 1024, 12
+RULES_A_ROUND, LEAST = 4096, 12
 _BUCKETS = 20
 
 
@@ -79,6 +78,10 @@ class Grammar:
         return np.concatenate(flat + own), start.astype(np.int64), length.astype(np.int64)
 
 
+def _bucket(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None = None, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """(symbols, end of each document among the symbols, grammar). ``ends`` are the documents' ends among the ids.
 
@@ -88,45 +91,62 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None =
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
+    new = np.zeros(len(seq), bool)
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     known: dict[int, int] = {}
-    for _ in itertools.count() if rounds is None else range(rounds):
-        if len(seq) < 2 or first + len(rules) + a_round > 1 << 31:
-            break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        inner = ~last[:-1]
-        often = np.bincount(bucket[inner], minlength=1 << _BUCKETS)
-        floor = max(least, int(np.partition(often, -a_round)[-a_round]))
+    full, done = True, 0
+    while (rounds is None or done < rounds) and len(seq) > 1 and first + len(rules) + a_round <= 1 << 31:
+        # when no frequent pair waits, only pairs with a symbol of the last round can have become frequent; the end is found by looking at all
+        at = np.flatnonzero(~last[:-1] if full else ~last[:-1] & (new[:-1] | new[1:]))
+        here = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        bucket = _bucket(here)
+        often = np.bincount(bucket, minlength=1 << _BUCKETS)
+        above = np.cumsum(np.bincount(np.minimum(often, 4095))[::-1])[::-1]  # buckets with so many pairs or more
+        floor = max(least, int(np.flatnonzero(above >= a_round)[-1]) if above[0] >= a_round else 0)
         for floor in (floor, least) if floor > least else (least,):  # a full bucket may hold rare pairs only
-            at = np.flatnonzero((often >= floor)[bucket] & inner)
-            pairs, inverse, times = np.unique(key[at], return_inverse=True, return_counts=True)
-            chosen = np.lexsort((pairs, -times))[:a_round]
-            chosen = chosen[times[chosen] >= least]
-            if len(chosen):
+            pick = np.flatnonzero((often >= floor)[bucket])
+            ordered = np.sort(here[pick])
+            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else pick
+            times = np.diff(begin, append=len(ordered))
+            begin, times = begin[times >= least], times[times >= least]
+            if len(begin):
+                break
+        if not len(begin):
+            if full:
                 break
-        if not len(chosen):
-            break
-        name = np.full(len(pairs), -1, np.int64)
-        for c, p in zip(chosen.tolist(), pairs[chosen].tolist(), strict=True):
+            full = True
+            continue
+        pairs = ordered[begin]
+        chosen = pairs[np.lexsort((pairs, -times))[:a_round]]
+        full = len(pairs) > len(chosen) or floor > least
+        name = np.empty(len(chosen), np.int64)
+        for c, p in enumerate(chosen.tolist()):
             if p not in known:  # overlaps may leave matches of an earlier round's pair
                 pair = (p >> 32, p & 0xFFFFFFFF)
                 known[p] = first + len(rules)
                 rules.append(pair)
                 lengths.append(sum(1 if s < first else lengths[s - first] for s in pair))
             name[c] = known[p]
-        named = name[inverse]
-        at, named = at[named >= 0], named[named >= 0]
+        table = np.full(1 << _BUCKETS, -1, np.int32)
+        table[_bucket(chosen)[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)  # where two meet, the rarer one waits
+        full |= int((table >= 0).sum()) < len(chosen)
+        place = table[bucket[pick]]
+        hit = np.flatnonzero(place >= 0)
+        hit = hit[chosen[place[hit]] == here[pick[hit]]]
+        at, named = at[pick[hit]], name[place[hit]]
         run = np.cumsum(np.diff(at, prepend=-2) != 1)  # of matches that overlap, every other one counts
         begin = np.flatnonzero(np.diff(run, prepend=0))
         take = (np.arange(len(at)) - begin[run - 1]) % 2 == 0
         at, named = at[take], named[take]
         seq[at] = named
         last[at] = last[at + 1]
+        new[:] = False
+        new[at] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, new = seq[keep], last[keep], new[keep]
+        done += 1
     done = np.flatnonzero(last) + 1
     bounds = np.zeros(len(ends), np.int64)
     full = np.diff(ends, prepend=0) > 0

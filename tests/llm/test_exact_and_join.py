@@ -126,8 +126,8 @@ def test_families_pass_all_orders():
     rng = np.random.default_rng(8)
     base = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
     parts, df = [], {}
-    for i in range(60):
-        fresh = rng.integers(0, 1 << 63, int(rng.integers(1, 200))).astype(np.uint64)
+    for i in range(30):
+        fresh = rng.integers(0, 1 << 63, int(rng.integers(1, 60))).astype(np.uint64)
         keep = rng.random(400) > rng.choice([0.02, 0.1, 0.5])
         parts.append(np.unique(np.concatenate([base[keep], fresh])))
     for p in parts:
@@ -136,7 +136,7 @@ def test_families_pass_all_orders():
     num, den = 80, 100
     short = lambda p: len(p) - ngram_join._least(len(p), num, den) + 1
     known = [np.array(sorted(p.tolist(), key=lambda t: (df[t], t))[: short(p)], np.uint64).view(np.int64) for p in parts]
-    every = np.arange(60)
+    every = np.arange(30)
     candidates, linked = ngram_join.block_pairs(parts, known, every, every, num, den)
     for i in every:
         for j in every[every != i]:
@@ -146,7 +146,7 @@ def test_families_pass_all_orders():
             for f in (lambda t: t, lambda t: int(ngram_join._second(np.array([t], np.uint64))[0])):
                 orders.append(set(sorted(x, key=f)[: short(parts[i])]) & set(sorted(y, key=f)[: short(parts[j])]))
             assert candidates[i, j] == (all(orders) and den * min(len(x), len(y)) >= num * max(len(x), len(y)))
-    assert linked.sum() > 100 and candidates.sum() < 60 * 60
+    assert (linked & (every[:, None] != every)).sum() > 20 and candidates.sum() < 30 * 30
 
 
 def test_join_with_repeated_ids(spark):
