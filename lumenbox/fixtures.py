@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .operators.coefficients import BLOCK_TABLES, COEFF_TABLES
+from .operators.syntax import MODE_TABLES, PARTITION_CDFS
+from .operators.syntax import SKIP_CDFS as SKIP
+
+#: The distributions of the specification that the engine has built in.
+PARTITION_32, PARTITION_64 = PARTITION_CDFS[2], PARTITION_CDFS[3]
 
 class BitWriter:
     def __init__(self) -> None:
@@ -182,7 +190,7 @@ def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool
     return b.f(grain, 1).trailing()
 
 
-def frame(reduced: bool = True, override: tuple[int, int] | None = None, denom: int | None = None, superres: bool = False, render: tuple[int, int] | None = None, tile_bits: tuple[tuple[int, int], ...] = ((1, 1),), bits: int = 16, tail: bool = False) -> BitWriter:
+def frame(reduced: bool = True, override: tuple[int, int] | None = None, denom: int | None = None, superres: bool = False, render: tuple[int, int] | None = None, tile_bits: tuple[tuple[int, int], ...] = ((1, 1),), bits: int = 16, tail: bool = False, mono: bool = False) -> BitWriter:
     """A key frame's header up to tile_info(), whose bits are given; ``tail``: the rest as well, quantizer 100."""
     b = BitWriter()
     if not reduced:
@@ -204,7 +212,7 @@ def frame(reduced: bool = True, override: tuple[int, int] | None = None, denom:
     for value, n in tile_bits:
         b.f(value, n)
     if tail:
-        b.f(100, 8).f(0, 1).f(0, 2).f(0, 1)  # base_q_idx, no deltas, no qmatrix
+        b.f(100, 8).f(0, 1).f(0, 0 if mono else 2).f(0, 1)  # base_q_idx, no deltas, no qmatrix
         b.f(0, 1).f(0, 1)  # no segmentation, no delta q
         b.f(0, 12).f(0, 3).f(0, 1)  # loop filter off
         b.f(1, 1).f(0, 1)  # tx_mode_select, reduced_tx_set
@@ -248,6 +256,126 @@ def layout_stream(tiles: list[bytes]) -> bytes:
     return obu(1, sequence(64 * cols, 64 * rows)) + obu(3, head.bytes()) + (obu(4, tile_group(tiles, many=len(tiles) > 1)) if tiles else b"")
 
 
+class SymbolWriter:
+    """The arithmetic coder of AV1 symbols, on whole numbers: what a decoder takes off its value is summed up, and the bits
+    follow when all is known."""
+
+    def __init__(self) -> None:
+        self.off, self.range, self.shifted = 0, 1 << 15, 0
+
+    def symbol(self, value: int, cdf: Sequence[int]) -> SymbolWriter:
+        n = len(cdf)
+        step = lambda i: ((self.range >> 8) * ((32768 - cdf[i]) >> 6) >> 1) + 4 * (n - i - 1)
+        high = step(value - 1) if value else self.range
+        low = step(value)
+        bits = 16 - (high - low).bit_length()
+        self.off, self.range, self.shifted = (self.off + low) << bits, (high - low) << bits, self.shifted + bits
+        return self
+
+    def literal(self, value: int, n: int) -> SymbolWriter:
+        for i in range(n - 1, -1, -1):
+            self.symbol(value >> i & 1, (16384, 32768))
+        return self
+
+    def bytes(self) -> bytes:
+        """The symbols, a one, and zeros to the end of the byte."""
+        most = (1 << (15 + self.shifted)) - 1 - self.off
+        word = most - (most - (1 << 14)) % (1 << 15)  # ends in a one and 14 zeros, and is within the range
+        size = (self.shifted + 8) // 8
+        total = word << 8 * size >> 15 + self.shifted if 15 + self.shifted < 8 * size else word >> (15 + self.shifted - 8 * size)
+        return total.to_bytes(size, "big")
+
+
+def distribution(name: str, row: tuple[int, ...], symbols: int) -> list[int]:
+    """Cumulative values by a rule, other ones for each context: no symbol is rare, no two rows are alike."""
+    weights = [1 + zlib.crc32(f"{name}{row}{i}".encode()) % 9 for i in range(symbols)]
+    total = sum(weights)
+    return [32768 * sum(weights[: i + 1]) // total for i in range(symbols)]
+
+
+@lru_cache(maxsize=1)
+def distributions() -> dict[str, Any]:
+    """A full set of tables for the tile syntax, by that rule."""
+
+    def nest(name: str, dims: tuple[int, ...], symbols: int, row: tuple[int, ...] = ()) -> list:
+        return [nest(name, dims[1:], symbols, (*row, i)) for i in range(dims[0])] if dims else distribution(name, row, symbols)
+
+    shapes = {k: ((rows,), n) for k, (rows, n) in MODE_TABLES.items()} | BLOCK_TABLES | COEFF_TABLES
+    return {name: nest(name, dims, n) for name, (dims, n) in shapes.items()}
+
+
+def quarters_tile(blocks: list[dict[str, int]]) -> bytes:
+    """A tile of 64x64 luma samples as four blocks of 32x32, one transform each, in the order of coding. A block has skip,
+    y_mode, angle (-3 to 3) and dc (0: no coefficient), and quantizer class q. Distributions are those of distributions()."""
+    w, t = SymbolWriter(), distributions()
+    w.symbol(3, PARTITION_64[0])
+    skipped: dict[tuple[int, int], int] = {}
+    sign: dict[tuple[str, int], int] = {}
+    for i, b in enumerate(blocks):
+        r, c = divmod(i, 2)
+        w.symbol(0, PARTITION_32[0])
+        w.symbol(b["skip"], SKIP[skipped.get((r - 1, c), 0) + skipped.get((r, c - 1), 0)])
+        skipped[r, c] = b["skip"]
+        w.symbol(b["y_mode"], t["y_mode"][3])
+        if b["skip"]:
+            continue
+        if 1 <= b["y_mode"] <= 8:
+            w.symbol(b["angle"] + 3, t["angle_delta"][b["y_mode"] - 1])
+        w.symbol(0, t["tx_depth_32"][0])
+        q, size = b["q"], abs(b["dc"])
+        w.symbol(int(size == 0), t["txb_skip"][q][3][0])
+        if size:
+            w.symbol(0, t["eob_pt_1024"][q][0])
+            w.symbol(min(size, 3) - 1, t["coeff_base_eob"][q][3][0][0])
+            left = min(size, 15) - 3
+            while left >= 0 and size > 2:
+                w.symbol(min(left, 3), t["coeff_br"][q][3][0][0])
+                left -= 3
+                if left < 0 or min(size, 15) - 3 - left > 11:
+                    break
+            balance = sign.get(("above", c), 0) + sign.get(("left", r), 0)
+            w.symbol(int(b["dc"] < 0), t["dc_sign"][q][0][0 if not balance else 1 if balance < 0 else 2])
+            if size > 14:
+                n = (size - 14).bit_length()
+                w.literal(1, n)
+                w.literal(size - 14 - (1 << n - 1), n - 1)
+            sign["above", c] = sign["left", r] = -1 if b["dc"] < 0 else 1
+    return w.bytes()
+
+
+#: How a 32x32 area may be divided: its symbol and the blocks' row, column, width and height in units of four samples.
+DIVISIONS = (
+    (0, ((0, 0, 8, 8),)), (1, ((0, 0, 8, 4), (4, 0, 8, 4))), (2, ((0, 0, 4, 8), (0, 4, 4, 8))), (4, ((0, 0, 4, 4), (0, 4, 4, 4), (4, 0, 8, 4))), (5, ((0, 0, 8, 4), (4, 0, 4, 4), (4, 4, 4, 4))),
+    (6, ((0, 0, 4, 4), (4, 0, 4, 4), (0, 4, 4, 8))), (7, ((0, 0, 4, 8), (0, 4, 4, 4), (4, 4, 4, 4))), (8, tuple((i, 0, 8, 2) for i in (0, 2, 4, 6))), (9, tuple((0, i, 2, 8) for i in (0, 2, 4, 6))),
+)
+
+
+def divided_tile(kinds: list[int], first_mode: int) -> bytes:
+    """A tile of 64x64 samples whose quarters are divided as DIVISIONS says; all blocks are skipped, with modes that count up."""
+    w, t = SymbolWriter(), distributions()
+    w.symbol(3, PARTITION_64[0])
+    at: dict[tuple[int, int], tuple[int, int]] = {}  # sides of the block that holds a unit
+    mode = first_mode
+    for i, kind in enumerate(kinds):
+        r, c = 8 * (i // 2), 8 * (i % 2)
+        ctx = int(at.get((r - 1, c), (8, 8))[0] < 8) + 2 * int(at.get((r, c - 1), (8, 8))[1] < 8)
+        symbol, blocks = DIVISIONS[kind]
+        w.symbol(symbol, PARTITION_32[ctx])
+        for y, x, wide, high in blocks:
+            top, left = (r + y - 1, c + x) in at, (r + y, c + x - 1) in at
+            w.symbol(1, SKIP[top + left])
+            w.symbol(mode % 13, t["y_mode"][{2: 1, 4: 2, 8: 3}[min(wide, high)]])
+            mode += 1
+            at |= {(r + y + a, c + x + b): (wide, high) for a in range(high) for b in range(wide)}
+    return w.bytes()
+
+
+def syntax_stream(tile: bytes) -> bytes:
+    """A 64x64 picture without chroma of one tile, quantizer 100, transform sizes selected by block."""
+    head = frame(tail=True, mono=True)
+    return obu(1, sequence(64, 64, mono=1)) + obu(6, head.bytes() + tile)
+
+
 def build(rows: DataFrame, make: Callable[..., bytes], key: str, name: str = "content") -> DataFrame:
     """(path, content): the key column as text and what ``make`` writes from the row's other columns."""
     names = rows.columns

@@ -1,17 +1,17 @@
-"""How the first block of a tile goes on after its modes: palette and filter flags, transform size and type, and the
-coefficients of its first luma transform block. All distributions come as a parameter."""
+"""Transform geometry, the coefficients of a transform block, and the readers of segment ids and of quantizer and filter
+changes. All distributions come as a parameter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from typing import Any
 
-from ..bitio import Malformed, Unsupported
+from ..bitio import Malformed
 from .entropy import Symbols
 
 #: Shape of each table: the dimensions before the symbols, then the number of symbols. The last group has four sets first.
 BLOCK_TABLES = {
-    "palette_y_mode": ((7, 3), 2), "palette_uv_mode": ((2,), 2), "filter_intra": ((22,), 2), "filter_intra_mode": ((), 5), "tx_depth_8": ((3,), 2), "tx_depth_16": ((3,), 3), "tx_depth_32": ((3,), 3), "tx_depth_64": ((3,), 3),
+    "palette_y_mode": ((7, 3), 2), "palette_uv_mode": ((2,), 2), "palette_y_size": ((7,), 7), "palette_uv_size": ((7,), 7), "segment_id": ((3,), 8), "filter_intra": ((22,), 2), "filter_intra_mode": ((), 5), "tx_depth_8": ((3,), 2), "tx_depth_16": ((3,), 3), "tx_depth_32": ((3,), 3), "tx_depth_64": ((3,), 3),
     "intra_tx_set1": ((2, 13), 7), "intra_tx_set2": ((3, 13), 5),
 }
 COEFF_TABLES = {
@@ -74,10 +74,13 @@ def delta(s: Symbols, cdf: list[int], scale: int) -> int:
     return (-size if size and s.literal(1) else size) << scale
 
 
+#: Block sizes in the order of the AV1 specification. Fixed values.
+BLOCK_SIZES = ((0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (3, 4), (4, 3), (4, 4), (4, 5), (5, 4), (5, 5), (0, 2), (2, 0), (1, 3), (3, 1), (2, 4), (4, 2))
+
+
 def block_index(w: int, h: int) -> int:
     """Place of a block among the 22 sizes, from log2 of its sides in units of four samples."""
-    order = [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (3, 4), (4, 3), (4, 4), (4, 5), (5, 4), (5, 5), (0, 2), (2, 0), (1, 3), (3, 1), (2, 4), (4, 2)]
-    return order.index((w, h))
+    return BLOCK_SIZES.index((w, h))
 
 
 def largest_transform(w: int, h: int) -> tuple[int, int]:
@@ -113,7 +116,8 @@ def scan(w: int, h: int, kind: str) -> list[int]:
 
 
 def base_offset(row: int, col: int, w: int, h: int) -> int:
-    """What the place of a coefficient adds to its context: by diagonal, and by rows or columns first if it isn't square."""
+    """What the place of a coefficient adds to its context: by diagonal, and by rows or columns first if it isn't square.
+    This stands for the specification's table of offsets by transform size, row and column."""
     row, col = min(row, 4), min(col, 4)
     if not row + col:
         return 0
@@ -124,25 +128,24 @@ def base_offset(row: int, col: int, w: int, h: int) -> int:
     return (1 if row + col < 2 else 6 if row + col < 4 else 21) if w == h else 6 if row + col < 4 else 21
 
 
-def first_coefficients(s: Symbols, w: int, h: int, block: tuple[int, int], kind: str, get: Callable[..., list[int]], out: dict[str, Any]) -> None:
-    """The coefficients of a luma transform block of 2^w x 2^h with nothing above or left. get(name, *row): distribution."""
-    short, long = min(w, h), max(w, h)
-    size = min(4, (short - 2 + long - 2 + 1) >> 1)
-    out["all_zero"] = s.symbol(get("txb_skip", size, 0 if (block[0] + 2, block[1] + 2) == (w, h) else 1))
-    if out["all_zero"]:
-        return
+def block_coefficients(s: Symbols, size: tuple[int, int], large: int, plane_type: int, kind: str, get: Callable[..., list[int]], sign_context: Callable[[], int], out: dict[str, Any], cut: str | bool = False) -> None:
+    """The coefficients of a transform block that has some. ``size``: log2 of its sides in samples; ``large``: its class of
+    size; get(name, *row): distribution. ``cut``: "eob" ends after the last coefficient's base level, "first" after the
+    level of the first one."""
+    w, h = size
     cw, ch = min(w, 5), min(h, 5)
     cls = "VERT" if kind.startswith("V_") else "HORIZ" if kind.startswith("H_") else "2D"
     many = 16 << (cw + ch - 4)
-    row = (0,) if many >= 512 else (0, 0 if cls == "2D" else 1)
+    row = (plane_type,) if many >= 512 else (plane_type, 0 if cls == "2D" else 1)
     point = s.symbol(get(f"eob_pt_{many}", *row)) + 1
     eob = point if point < 2 else (1 << (point - 2)) + 1
     if point >= 3:
         shift = point - 3
-        if s.symbol(get("eob_extra", size, 0, shift)):
+        if s.symbol(get("eob_extra", large, plane_type, shift)):
             eob += 1 << shift
         for i in range(shift - 1, -1, -1):
             eob += s.literal(1) << i
+    out["eob"] = eob
     order, cols, rows = scan(cw, ch, cls), 1 << cw, 1 << ch
     level = [0] * (cols * rows)
 
@@ -154,29 +157,35 @@ def first_coefficients(s: Symbols, w: int, h: int, block: tuple[int, int], kind:
         r, c = divmod(at, cols)
         if i == eob - 1:
             ctx = 0 if not i else 1 if i <= cols * rows // 8 else 2 if i <= cols * rows // 4 else 3
-            x = s.symbol(get("coeff_base_eob", size, 0, ctx)) + 1
+            x = s.symbol(get("coeff_base_eob", large, plane_type, ctx)) + 1
+            if cut == "eob" or (cut == "first" and not i):
+                out["base_level"] = x
+                return
         else:
             ctx = min((around(r, c, BASE_NEIGHBOURS[cls], 3) + 1) >> 1, 4)
             if cls == "2D":
                 ctx = 0 if not at else ctx + base_offset(r, c, w, h)
             else:
                 ctx += 26 + 5 * min(r if cls == "VERT" else c, 2)
-            x = s.symbol(get("coeff_base", size, 0, ctx))
+            x = s.symbol(get("coeff_base", large, plane_type, ctx))
         if x > 2:
             ctx = min((around(r, c, BR_NEIGHBOURS[cls], 15) + 1) >> 1, 6)
             close = (r < 2 and c < 2) if cls == "2D" else not (c if cls == "HORIZ" else r)
             ctx += 0 if not at else 7 if close else 14
             for _ in range(4):
-                more = s.symbol(get("coeff_br", min(size, 3), 0, ctx))
+                more = s.symbol(get("coeff_br", min(large, 3), plane_type, ctx))
                 x += more
                 if more < 3:
                     break
         level[at] = x
+    if cut == "first":
+        out["base_level"] = level[order[0]]
+        return
     total = 0
     for i in range(eob):
         at = order[i]
         if level[at]:
-            negative = s.symbol(get("dc_sign", 0, 0)) if not i else s.literal(1)
+            negative = s.symbol(get("dc_sign", plane_type, sign_context())) if not i else s.literal(1)
             if level[at] > 14:
                 zeros = 0
                 while not s.literal(1):
@@ -187,46 +196,4 @@ def first_coefficients(s: Symbols, w: int, h: int, block: tuple[int, int], kind:
             total += level[at]
             if not at:
                 out["dc"] = -level[0] if negative else level[0]
-    out |= {"eob": eob, "cul_level": min(63, total)}
-
-
-def block_rest(s: Symbols, w: int, h: int, p: dict[str, Any], tables: dict[str, Any], out: dict[str, Any]) -> None:
-    """From the palette flags to the end of the first luma transform block. ``tables`` are a tile's own copy."""
-
-    def get(name: str, *row: int) -> list[int]:
-        t = tables[name]
-        for i in row:
-            t = t[i]
-        if len(t) == (BLOCK_TABLES | COEFF_TABLES)[name][1]:
-            t.append(0)  # the count of uses
-        return t
-
-    q = q_context(p["base_q_idx"])
-    small = max(w, h) <= 4 and min(w, h) >= 1
-    if p.get("allow_screen_content_tools") and small:
-        if out["y_mode"] == 0:
-            out["has_palette_y"] = s.symbol(get("palette_y_mode", w + h - 2, 0))
-            if out["has_palette_y"]:
-                raise Unsupported("unsupported: palette")
-        if out.get("uv_mode") == 0 and s.symbol(get("palette_uv_mode", 0)):
-            raise Unsupported("unsupported: palette")
-    if p.get("enable_filter_intra") and out["y_mode"] == 0 and max(w, h) <= 3:
-        out["use_filter_intra"] = s.symbol(get("filter_intra", block_index(w, h)))
-        if out["use_filter_intra"]:
-            out["filter_intra_mode"] = s.symbol(get("filter_intra_mode"))
-    tw, th = (2, 2) if p.get("coded_lossless") else largest_transform(w, h)
-    if not p.get("coded_lossless") and p.get("tx_mode") == 2 and (w or h):
-        side = max(tw, th)
-        out["tx_depth"] = s.symbol(get(f"tx_depth_{1 << side}", 0))
-        for _ in range(min(out["tx_depth"], max_depth(w, h))):
-            tw, th = split_transform(tw, th)
-    out |= {"tx_width": 1 << tw, "tx_height": 1 << th}
-    kind, longest = "DCT_DCT", max(tw, th)
-    if longest < 5 and p["base_q_idx"] > 0 and not p.get("coded_lossless"):
-        mode = FILTER_DIRECTIONS[out["filter_intra_mode"]] if out.get("use_filter_intra") else out["y_mode"]
-        if p.get("reduced_tx_set") or min(tw, th) == 4:
-            kind = TX_SET_2[s.symbol(get("intra_tx_set2", min(2, min(tw, th) - 2), mode))]
-        else:
-            kind = TX_SET_1[s.symbol(get("intra_tx_set1", min(1, min(tw, th) - 2), mode))]
-    out["tx_type"] = kind
-    first_coefficients(s, tw, th, (w, h), kind, lambda name, *row: get(name, q, *row), out)
+    out["cul_level"] = min(63, total)

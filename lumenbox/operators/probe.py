@@ -1,60 +1,36 @@
-"""A look into a tile's syntax: the way to the first block of its first superblock, and how that block is coded.
-
-What comes out is for statistics on streams and tells whether a tile starts as it should; it is not a decoded image.
-"""
+"""The walk through a tile's syntax as a table function, and the distributions that it takes."""
 
 from __future__ import annotations
 
-import copy
 import json
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..bitio import Malformed, Unsupported
 from . import coefficients
-from .entropy import Symbols
-
-PARTITIONS = ("NONE", "HORZ", "VERT", "SPLIT", "HORZ_A", "HORZ_B", "VERT_A", "VERT_B", "HORZ_4", "VERT_4")
-#: Partition types that divide horizontally or vertically, among which a choice is left at the picture's edge.
-SPLITS_DOWN = ("VERT", "SPLIT", "HORZ_A", "VERT_A", "VERT_B", "VERT_4")
-SPLITS_ACROSS = ("HORZ", "SPLIT", "HORZ_A", "HORZ_B", "VERT_A", "HORZ_4")
-#: Log2 of width and height, in units of four samples, that the first block of a partition loses.
-FIRST_BLOCK = {"NONE": (0, 0), "HORZ": (0, 1), "VERT": (1, 0), "HORZ_A": (1, 1), "HORZ_B": (0, 1), "VERT_A": (1, 1), "VERT_B": (1, 0), "HORZ_4": (0, 2), "VERT_4": (2, 0)}
-
-#: Default distributions of the AV1 specification: partitions of 8x8 to 128x128 by context, then skip by context. Fixed values.
-PARTITION_CDFS = (
-    ((19132, 25510, 30392, 32768), (13928, 19855, 28540, 32768), (12522, 23679, 28629, 32768), (9896, 18783, 25853, 32768)),
-    (
-        (15597, 20929, 24571, 26706, 27664, 28821, 29601, 30571, 31902, 32768), (7925, 11043, 16785, 22470, 23971, 25043, 26651, 28701, 29834, 32768),
-        (5414, 13269, 15111, 20488, 22360, 24500, 25537, 26336, 32117, 32768), (2662, 6362, 8614, 20860, 23053, 24778, 26436, 27829, 31171, 32768),
-    ),
-    (
-        (18462, 20920, 23124, 27647, 28227, 29049, 29519, 30178, 31544, 32768), (7689, 9060, 12056, 24992, 25660, 26182, 26951, 28041, 29052, 32768),
-        (6015, 9009, 10062, 24544, 25409, 26545, 27071, 27526, 32047, 32768), (1394, 2208, 2796, 28614, 29061, 29466, 29840, 30185, 31899, 32768),
-    ),
-    (
-        (20137, 21547, 23078, 29566, 29837, 30261, 30524, 30892, 31724, 32768), (6732, 7490, 9497, 27944, 28250, 28515, 28969, 29630, 30104, 32768),
-        (5945, 7663, 8348, 28683, 29117, 29749, 30064, 30298, 32238, 32768), (870, 1212, 1487, 31198, 31394, 31574, 31743, 31881, 32332, 32768),
-    ),
-    (
-        (27899, 28219, 28529, 32484, 32539, 32619, 32639, 32768), (6607, 6990, 8268, 32060, 32219, 32338, 32371, 32768),
-        (5429, 6676, 7122, 32027, 32227, 32531, 32582, 32768), (711, 966, 1172, 32448, 32538, 32617, 32664, 32768),
-    ),
+from .syntax import MODE_TABLES, probe
+
+#: A transform block; base_level is there where a block was read as far as that only.
+TRANSFORM = "plane int, x4 int, y4 int, skip_ctx int, all_zero int, eob int, base_level int, dc int, cul_level int"
+_STATED = "skip_ctx int, skip int, segment_id int, qindex int, lossless boolean, cdef int, current_qindex int, filter array<int>, y_mode_ctx int, y_mode int, angle_delta_y int, uv_mode int, cfl_signs int, cfl_alpha_u int, cfl_alpha_v int, angle_delta_uv int, "
+_STATED += "has_palette_y int, palette_size_y int, has_palette_uv int, palette_size_uv int, use_filter_intra int, filter_intra_mode int, tx_depth int, tx_width int, tx_height int, tx_type string"
+BLOCK = f"r int, c int, wlog2 int, hlog2 int, {_STATED}, tx array<struct<{TRANSFORM}>>"
+#: The tile's counters, its first partition, and its first block with the first luma transform block.
+PROBE = f"status string, reason string, partition_symbols long, forced_splits long, leaf_blocks long, blocks_decoded long, partition string, partition_ctx int, forced boolean, depth int, wlog2 int, hlog2 int, {_STATED}, all_zero int, eob int, dc int, cul_level int"
+
+_SEQUENCE = ("use_128x128_superblock", "monochrome", "subsampling_x", "subsampling_y", "enable_filter_intra", "enable_cdef")
+_FRAME = (
+    "disable_cdf_update", "allow_screen_content_tools", "allow_intrabc", "coded_lossless", "base_q_idx", "delta_q_y_dc", "delta_q_u_dc", "delta_q_u_ac", "delta_q_v_dc", "delta_q_v_ac", "tx_mode", "reduced_tx_set",
+    "segmentation_enabled", "seg_id_pre_skip", "last_active_seg_id", "alt_q", "delta_q_present", "delta_q_res", "delta_lf_present", "delta_lf_res", "delta_lf_multi", "cdef_bits",
 )
-SKIP_CDFS = ((31671, 32768), (16515, 32768), (4576, 32768))
-
-#: Distributions that come as a parameter, with the shape of each: contexts, then symbols.
-MODE_TABLES = {"y_mode": (4, 13), "angle_delta": (8, 7), "uv_mode_cfl": (13, 14), "uv_mode_no_cfl": (13, 13), "cfl_sign": (1, 8), "cfl_alpha": (6, 16)}
-
-PROBE = "status string, reason string, partition string, partition_ctx int, forced boolean, depth int, wlog2 int, hlog2 int, skip int, y_mode_ctx int, y_mode int, angle_delta_y int, uv_mode int, cfl_signs int, cfl_alpha_u int, cfl_alpha_v int, angle_delta_uv int, "
-PROBE += "has_palette_y int, use_filter_intra int, filter_intra_mode int, tx_depth int, tx_width int, tx_height int, tx_type string, all_zero int, eob int, dc int, cul_level int"
 
 
-def load_tables(text: str) -> dict[str, list[list[int]]]:
+def load_tables(text: str) -> dict[str, Any]:
     """Distributions from JSON (name: nested rows of cumulative values that end in 32768), checked: those of the modes,
     and all or none of those of the block's rest."""
     got = json.loads(text)
@@ -66,119 +42,33 @@ def load_tables(text: str) -> dict[str, list[list[int]]]:
     return {k: got[k] for k in MODE_TABLES} | ({k: v for k, v in coefficients.check(got).items() if k in more} if set(more) & set(got) else {})
 
 
-def edge_cdf(cdf: tuple[int, ...], names: tuple[str, ...]) -> list[int]:
-    """The choice between dividing once and splitting, where only one is possible otherwise: its mass is that of all
-    types that divide the other way, too."""
-    mass = [b - a for a, b in zip((0, *cdf), cdf, strict=False)]
-    split = sum(m for m, n in zip(mass, PARTITIONS, strict=False) if n in names)
-    return [32768 - split, 32768, 0]
-
-
-def size_group(wlog2: int, hlog2: int) -> int:
-    """Blocks by their smaller side: below 8, 16, 32 samples, and from there."""
-    return min(3, min(wlog2, hlog2))
-
-
-def directional(mode: int) -> int | None:
-    """Which of eight directions a mode is of, the vertical one first."""
-    return mode - 1 if 1 <= mode <= 8 else None
-
-
-def first_block(s: Symbols, rows: int, cols: int, use_128: bool, out: dict[str, Any]) -> tuple[int, int]:
-    """Go down from the first superblock of a tile of rows x cols units to its first block; (wlog2, hlog2)."""
-    bsl = 5 if use_128 else 4
-    top = bsl
-    while bsl > 0:
-        half = 1 << (bsl - 1)
-        has_rows, has_cols = half < rows, half < cols
-        cdf = PARTITION_CDFS[bsl - 1][0]  # nothing is above or left of the first block
-        forced = not (has_rows or has_cols)
-        if forced:
-            kind = "SPLIT"
-        elif has_rows and has_cols:
-            kind = PARTITIONS[s.symbol([*cdf, 0])]
-        elif bsl == 1:
-            raise Unsupported(f"unsupported: split_or_{'horz' if has_cols else 'vert'} with bsl=1")
-        else:
-            once, names = ("HORZ", SPLITS_DOWN) if has_cols else ("VERT", SPLITS_ACROSS)
-            kind = "SPLIT" if s.symbol(edge_cdf(cdf, names)) else once
-        if bsl == top:
-            out |= {"partition": kind, "partition_ctx": 0, "forced": forced}
-        out["depth"] = top - bsl
-        if kind != "SPLIT":
-            w, h = FIRST_BLOCK[kind]
-            return bsl - w, bsl - h
-        bsl -= 1
-    out["depth"] = top
-    return 0, 0
-
-
-def block_modes(s: Symbols, w: int, h: int, p: dict[str, Any], t: dict[str, list[list[int]]], out: dict[str, Any]) -> None:
-    def read(name: str, row: int) -> int:
-        t[name][row] = cdf = t[name][row] if len(t[name][row]) > MODE_TABLES[name][1] else [*t[name][row], 0]
-        return s.symbol(cdf)
-
-    out["y_mode_ctx"] = size_group(w, h)
-    out["y_mode"] = y = read("y_mode", out["y_mode_ctx"])
-    if out["skip"]:
-        return
-    if (d := directional(y)) is not None:
-        out["angle_delta_y"] = read("angle_delta", d) - 3
-    if p["monochrome"]:
-        return
-    if p.get("coded_lossless"):
-        cfl = max(4, (4 << w) >> p["subsampling_x"]) == 4 and max(4, (4 << h) >> p["subsampling_y"]) == 4
-    else:
-        cfl = max(4 << w, 4 << h) <= 32
-    out["uv_mode"] = uv = read("uv_mode_cfl" if cfl else "uv_mode_no_cfl", y)
-    if cfl and uv == 13:
-        joint = read("cfl_sign", 0)
-        u, v = divmod(joint + 1, 3)  # 0: none, 1: negative, 2: positive
-        size = lambda sign, ctx: (read("cfl_alpha", ctx) + 1) * (1 if sign == 2 else -1) if sign else 0
-        out |= {"cfl_signs": joint, "cfl_alpha_u": size(u, (u - 1) * 3 + v), "cfl_alpha_v": size(v, (v - 1) * 3 + u)}
-    if (d := directional(uv)) is not None:
-        out["angle_delta_uv"] = read("angle_delta", d) - 3
-
-
-def probe(tile: bytes, p: dict[str, Any], tables: dict[str, list[list[int]]] | None = None) -> dict[str, Any]:
-    """PROBE fields of a tile. p: mi_rows, mi_cols (of the tile), use_128x128_superblock, disable_cdf_update, monochrome,
-    subsampling_x, subsampling_y, coded_lossless and, for the block's rest, base_q_idx, tx_mode, reduced_tx_set, enable_filter_intra,
-    allow_screen_content_tools. A probe ends as UNSUPPORTED, with the point it came to, or as ERROR."""
-    out: dict[str, Any] = {}
-    try:
-        if not tile:
-            raise Malformed("invalid tile payload")
-        if p["mi_rows"] <= 0 or p["mi_cols"] <= 0:
-            raise Malformed("invalid tile MI bounds")
-        s = Symbols(tile, adapt=not p["disable_cdf_update"])
-        out["wlog2"], out["hlog2"] = first_block(s, p["mi_rows"], p["mi_cols"], bool(p["use_128x128_superblock"]), out)
-        out["skip"] = s.symbol([*SKIP_CDFS[0], 0])
-        if tables is None:
-            raise Unsupported("unsupported: mode distributions were not given")
-        own = copy.deepcopy(tables)
-        block_modes(s, out["wlog2"], out["hlog2"], p, own, out)
-        if out["skip"] or "txb_skip" not in own:
-            raise Unsupported("unsupported: " + ("what follows a skipped block" if out["skip"] else "coefficient distributions were not given"))
-        coefficients.block_rest(s, out["wlog2"], out["hlog2"], p, own, out)
-        raise Unsupported("unsupported: what follows the first luma transform block")
-    except Malformed as e:
-        return out | {"status": e.severity, "reason": str(e)}
-
-
-def tile_probe(streams, tables: dict[str, list[list[int]]] | None = None) -> DataFrame:
-    """(path, tg_index, tile_num, PROBE) of the tiles of StreamTables that keep their bytes; a narrow step over tiles."""
-    t = streams.tiles
-    headers = streams.nested.select("path", "sequence_header.use_128x128_superblock", "sequence_header.monochrome", "sequence_header.subsampling_x", "sequence_header.subsampling_y", "sequence_header.enable_filter_intra", *[f"frame_header.{c}" for c in ("disable_cdf_update", "coded_lossless", "base_q_idx", "tx_mode", "reduced_tx_set", "allow_screen_content_tools")])
-    rows = t.join(headers, "path").selectExpr("path", "tg_index", "tile_num", "payload", "mi_row_end - mi_row_start AS mi_rows", "mi_col_end - mi_col_start AS mi_cols", *[c for c in headers.columns if c != "path"])
-    kind = _parse_datatype_string(PROBE)
-    keys = ["path", "tg_index", "tile_num"]
-    from pyspark.sql.pandas.types import to_arrow_type
+def tile_probe(streams, tables: dict[str, Any] | None = None, whole: bool = False, blocks: bool = False) -> DataFrame:
+    """(path, tg_index, tile_num, PROBE) of the tiles of StreamTables that keep their bytes; a narrow step over tiles.
 
+    ``whole``: each tile is read to its end, which gives OK if its padding is right; otherwise two blocks at most are read
+    and the status is UNSUPPORTED, with the point that was reached, or ERROR. ``blocks``: all blocks come along as an array,
+    for ``mi_blocks`` and ``transforms``. An empty tile is an ERROR; what a header lacks counts as 0."""
+    rows = streams.tiles_with(*[F.col(f"sequence_header.{c}") for c in _SEQUENCE], *[F.col(f"frame_header.{c}") for c in _FRAME])
+    rows = rows.selectExpr("path", "tg_index", "tile_num", "payload", "mi_row_end - mi_row_start AS mi_rows", "mi_col_end - mi_col_start AS mi_cols", *_SEQUENCE, *_FRAME)
+    kind = _parse_datatype_string(PROBE + f", blocks array<struct<{BLOCK}>>" * blocks)
+    keys = ["path", "tg_index", "tile_num"]
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [probe(r["payload"], r | {"base_q_idx": r["base_q_idx"] or 0}, tables) for r in batch.to_pylist()]
+            got = [probe(r["payload"], r, tables, whole) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array([g.get(n) for g in got], a) for n, a in arrow)], [*keys, *(n for n, _ in arrow)])
 
     return rows.mapInArrow(run, StructType([*rows.select(*keys).schema.fields, *kind.fields]))
+
+
+def mi_blocks(probed: DataFrame) -> DataFrame:
+    """(path, tg_index, tile_num, block_no, BLOCK without transforms): a row a block, in the order of coding."""
+    each = probed.select("path", "tg_index", "tile_num", F.posexplode("blocks").alias("block_no", "b"))
+    return each.select("path", "tg_index", "tile_num", "block_no", *[f"b.{f.name}" for f in _parse_datatype_string(BLOCK) if f.name != "tx"])
+
+
+def transforms(probed: DataFrame) -> DataFrame:
+    """(path, tg_index, tile_num, block_no, tx_no, TRANSFORM): a row a transform block."""
+    each = probed.select("path", "tg_index", "tile_num", F.posexplode("blocks").alias("block_no", "b"))
+    return each.select("path", "tg_index", "tile_num", "block_no", F.posexplode("b.tx").alias("tx_no", "t")).select("path", "tg_index", "tile_num", "block_no", "tx_no", "t.*")

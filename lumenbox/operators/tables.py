@@ -10,7 +10,7 @@ from functools import cached_property
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -247,10 +247,15 @@ class StreamTables:
     @cached_property
     def tiles(self) -> DataFrame:
         """Tiles, with their bounds in units of 4x4; with ``keep_content`` also their bytes."""
-        t = self.nested.select("path", "tile_info", *[self.content] * (self.content in self.nested.columns), F.explode("tiles").alias("t"))
+        return self.tiles_with()
+
+    def tiles_with(self, *more: Column) -> DataFrame:
+        """``tiles`` and columns of the row that they come from, such as header fields: nothing is joined."""
+        t = self.nested.select("path", "tile_info", *[self.content] * (self.content in self.nested.columns), F.explode("tiles").alias("t"), *more)
+        names = t.columns[len(t.columns) - len(more) :]
         at = lambda name, i: F.element_at(f"tile_info.{name}", (i + 1).cast("int"))
         body = [F.substring(F.col(self.content), F.col("t.offset").cast("int") + 1, F.col("t.size").cast("int")).alias("payload")] if self.content in t.columns else []
-        return t.select("path", "t.*", at("mi_col_starts", F.col("t.tile_col")).alias("mi_col_start"), at("mi_col_starts", F.col("t.tile_col") + 1).alias("mi_col_end"), at("mi_row_starts", F.col("t.tile_row")).alias("mi_row_start"), at("mi_row_starts", F.col("t.tile_row") + 1).alias("mi_row_end"), *body)
+        return t.select("path", "t.*", at("mi_col_starts", F.col("t.tile_col")).alias("mi_col_start"), at("mi_col_starts", F.col("t.tile_col") + 1).alias("mi_col_end"), at("mi_row_starts", F.col("t.tile_row")).alias("mi_row_start"), at("mi_row_starts", F.col("t.tile_row") + 1).alias("mi_row_end"), *body, *names)
 
 
 def tile_checks(tiles: DataFrame, check: str = "exit", bools: int = 0) -> DataFrame:
