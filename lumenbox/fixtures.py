@@ -151,7 +151,7 @@ def obu(kind: int, payload: bytes) -> bytes:
     return bytes([kind << 3 | 2]) + leb128(len(payload)) + payload
 
 
-def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool = True, high: int = 0, twelve: int = 0, mono: int = 0, sx: int = 1, sy: int = 1, use_128: int = 0, superres: int = 0, bits: int = 16, screen: int = 0, grain: int = 0) -> bytes:
+def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool = True, high: int = 0, twelve: int = 0, mono: int = 0, sx: int = 1, sy: int = 1, use_128: int = 0, superres: int = 0, bits: int = 16, screen: int = 0, grain: int = 0, separate: int = 0) -> bytes:
     """The payload of a sequence header."""
     b = BitWriter().f(profile, 3).f(1, 1).f(int(reduced), 1)
     if reduced:
@@ -186,7 +186,7 @@ def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool
             sx, sy = ((1, 1), (0, 0), (1, 0))[profile]
         if sx and sy:
             b.f(0, 2)
-        b.f(0, 1)
+        b.f(separate, 1)
     return b.f(grain, 1).trailing()
 
 
@@ -244,16 +244,80 @@ def columns(n: int) -> int:
     return next(c for c in range(1, n + 1) if n % c == 0 and c * c >= n)
 
 
-def layout_stream(tiles: list[bytes]) -> bytes:
+def layout_stream(tiles: list[bytes], size_bytes: int = 1) -> bytes:
     """A picture of as many 64x64 tiles as given, in a whole grid of ``columns()``; without tiles no tile group."""
     cols = columns(len(tiles)) if tiles else 1
     rows = len(tiles) // cols if tiles else 1
     if cols > 64:
         raise ValueError(f"no grid of up to 64 columns holds {len(tiles)} tiles")
     log = (cols - 1).bit_length() + (rows - 1).bit_length()
-    # tile_info: uniform spacing, as many columns and rows as superblocks, context 0, one byte a size
-    head = frame(tile_bits=((1, 1), *[(1, 1)] * log, *([(0, log), (0, 2)] if log else [])))
-    return obu(1, sequence(64 * cols, 64 * rows)) + obu(3, head.bytes()) + (obu(4, tile_group(tiles, many=len(tiles) > 1)) if tiles else b"")
+    # tile_info: uniform spacing, as many columns and rows as superblocks, context 0, so many bytes a size
+    head = frame(tile_bits=((1, 1), *[(1, 1)] * log, *([(0, log), (size_bytes - 1, 2)] if log else [])))
+    return obu(1, sequence(64 * cols, 64 * rows)) + obu(3, head.bytes()) + (obu(4, tile_group(tiles, size_bytes, many=len(tiles) > 1)) if tiles else b"")
+
+
+def uneven_stream(widths: list[int]) -> bytes:
+    """A picture of one row of tiles that are as many 64x64 superblocks wide as given, of one byte each."""
+    total = sum(widths)
+    b = frame(tile_bits=((0, 1),))
+    left = total
+    for w in widths:
+        b.ns(w - 1, min(left, 64))
+        left -= w
+    b.ns(0, 1)
+    log = (len(widths) - 1).bit_length()
+    if log:
+        b.f(0, log).f(0, 2)
+    return obu(1, sequence(64 * total, 64)) + obu(3, b.bytes()) + obu(4, tile_group([bytes([i + 1]) for i in range(len(widths))], many=len(widths) > 1))
+
+
+def tail_stream(q: int, deltas: tuple[int, int, int, int, int], alt_q: dict[int, int], preskip: bool, delta_q: int | None, delta_lf: tuple[int, int] | None, tx_select: bool, reduced_tx: bool, grain: tuple[int, int, int] | None) -> bytes:
+    """A 64x64 picture whose header has, after tile_info(): quantizer, its five deltas (apart for v), a change of the quantizer
+    for some segments, resolutions of delta q and delta lf, and film grain as (points of luma, chroma from luma, lag)."""
+    b = frame()
+    b.f(q, 8)
+    for i, d in enumerate(deltas):
+        if i == 1:
+            b.f(1, 1)  # v has deltas of its own
+        b.f(int(d != 0), 1)
+        if d:
+            b.f(d, 7)
+    b.f(0, 1).f(int(bool(alt_q)), 1)
+    for i in range(8) if alt_q else ():
+        b.f(int(i in alt_q), 1)
+        if i in alt_q:
+            b.f(alt_q[i], 9)
+        b.f(0, 4).f(int(preskip), 1)
+        if preskip:
+            b.f(0, 3)  # a reference frame
+        b.f(0, 2)
+    if q:
+        b.f(int(delta_q is not None), 1)
+        if delta_q is not None:
+            b.f(delta_q, 2).f(int(delta_lf is not None), 1)
+            if delta_lf is not None:
+                b.f(delta_lf[0], 2).f(delta_lf[1], 1)
+    flat = not any(deltas)
+    if not (flat and all(min(255, max(0, q + alt_q.get(i, 0))) == 0 for i in range(8))):
+        b.f(9, 6).f(0, 6).f(0, 12).f(0, 3).f(1, 1).f(0, 1)  # loop filter levels, sharpness, deltas not updated
+        b.f(int(tx_select), 1)
+    b.f(int(reduced_tx), 1)
+    b.f(int(grain is not None), 1)
+    if grain is not None:
+        points, from_luma, lag = grain
+        b.f(77, 16).f(points, 4)
+        for i in range(points):
+            b.f(i, 8).f(i, 8)
+        b.f(from_luma, 1)
+        if points and not from_luma:
+            b.f(0, 4).f(0, 4)
+        b.f(0, 2).f(lag, 2)
+        n = 2 * lag * (lag + 1)
+        for count in (n if points else 0, *(n + bool(points) if from_luma else 0 for _ in range(2))):
+            for _ in range(count):
+                b.f(128, 8)
+        b.f(0, 4).f(0, 2)
+    return obu(1, sequence(64, 64, grain=1, separate=1)) + obu(6, b.bytes() + b"\x80")
 
 
 class SymbolWriter:
@@ -350,18 +414,20 @@ DIVISIONS = (
 )
 
 
-def divided_tile(kinds: list[int], first_mode: int) -> bytes:
-    """A tile of 64x64 samples whose quarters are divided as DIVISIONS says; all blocks are skipped, with modes that count up."""
+def divided_tile(kinds: list[int], first_mode: int, first_only: bool = False) -> bytes:
+    """A tile of 64x64 samples whose quarters are divided as DIVISIONS says; all blocks are skipped, with modes that count up.
+    ``first_only``: of each quarter only the first block is written, as a look at the first blocks takes it."""
     w, t = SymbolWriter(), distributions()
     w.symbol(3, PARTITION_64[0])
     at: dict[tuple[int, int], tuple[int, int]] = {}  # sides of the block that holds a unit
     mode = first_mode
     for i, kind in enumerate(kinds):
         r, c = 8 * (i // 2), 8 * (i % 2)
-        ctx = int(at.get((r - 1, c), (8, 8))[0] < 8) + 2 * int(at.get((r, c - 1), (8, 8))[1] < 8)
+        none = lambda outside: (8, 8) if outside else (0, 0)  # noqa: E731  a unit that was left out counts as small
+        ctx = int(at.get((r - 1, c), none(r == 0))[0] < 8) + 2 * int(at.get((r, c - 1), none(c == 0))[1] < 8)
         symbol, blocks = DIVISIONS[kind]
         w.symbol(symbol, PARTITION_32[ctx])
-        for y, x, wide, high in blocks:
+        for y, x, wide, high in blocks[:1] if first_only else blocks:
             top, left = (r + y - 1, c + x) in at, (r + y, c + x - 1) in at
             w.symbol(1, SKIP[top + left])
             w.symbol(mode % 13, t["y_mode"][{2: 1, 4: 2, 8: 3}[min(wide, high)]])

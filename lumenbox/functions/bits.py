@@ -123,8 +123,10 @@ def av1c_struct(b: Column) -> Column:
     return F.struct(*[f(bit, n).alias(k) for k, bit, n in names], F.when(f(27, 1) == 1, f(28, 4)).alias("ipd_minus_one"))
 
 
-def av1c_bit_depth(c: Column) -> Column:
-    return F.when(c["high_bitdepth"] == 0, 8).when((c["profile"] == 2) & (c["twelve_bit"] == 1), 12).otherwise(10)
+def av1c_bit_depth(c: Column, by_profile: bool = True) -> Column:
+    """Twelve bits are for profile 2; without ``by_profile`` the flag alone says so."""
+    twelve = c["twelve_bit"] == 1
+    return F.when(c["high_bitdepth"] == 0, 8).when((c["profile"] == 2) & twelve if by_profile else twelve, 12).otherwise(10)
 
 
 def av1c_channels(c: Column) -> Column:
@@ -144,6 +146,11 @@ def mi_size(x: Column) -> Column:
     return (F.floor((x + 7) / 8) * 2).cast("long")
 
 
+def shown_size(upscaled_width: Column, coded_width: Column, coded_height: Column) -> Column:
+    """struct(width, height) of the picture that is shown: as wide as before it was coded narrower, where that is known."""
+    return F.struct(F.coalesce(upscaled_width, coded_width).alias("width"), coded_height.alias("height"))
+
+
 def sb_count(mi: Column, use_128: Column) -> Column:
     return F.when(use_128 == 1, ceil_div(mi, 32)).otherwise(ceil_div(mi, 16))
 

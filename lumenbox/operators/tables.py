@@ -66,20 +66,21 @@ def _plain(value: Any, kind: pa.DataType) -> Any:
     return value
 
 
-def per_file(files: DataFrame, parse: Callable[[bytes], dict[str, Any]], schema: str, key: str = "path", content: str = "content", keep_content: bool = False) -> DataFrame:
-    """One row a file: its key, what ``parse`` makes of its bytes (null: of none) and, if asked for, the bytes."""
+def per_file(files: DataFrame, parse: Callable[[bytes], dict[str, Any]], schema: str, key: str = "path", content: str = "content", keep_content: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a file: its key, the columns to ``carry``, what ``parse`` makes of its bytes (null: of none) and, if asked for,
+    the bytes. What earlier steps found of a file comes along and need not be joined."""
     kind: StructType = _parse_datatype_string(schema)
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kind]
-    base = files.select(key, content)
+    base = files.select(key, content, *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [parse(x.as_py() or b"") for x in batch[content]]
             cols = [pa.array([_plain(r.get(n), t) for r in rows], t) for n, t in arrow]
-            names = [key, *(n for n, _ in arrow), *[content] * keep_content]
-            yield pa.RecordBatch.from_arrays([batch[key], *cols, *[batch[content]] * keep_content], names)
+            names = [key, *carry, *(n for n, _ in arrow), *[content] * keep_content]
+            yield pa.RecordBatch.from_arrays([batch[key], *(batch[c] for c in carry), *cols, *[batch[content]] * keep_content], names)
 
-    out = StructType([base.schema[key], *kind.fields, *[base.schema[content]] * keep_content])
+    out = StructType([base.schema[key], *(base.schema[c] for c in carry), *kind.fields, *[base.schema[content]] * keep_content])
     return base.mapInArrow(run, out)
 
 
@@ -108,8 +109,8 @@ def boxes(files: DataFrame, max_depth: int = containers.MAX_DEPTH, mode: str = P
     return _moded(box_trees(files, max_depth), mode).select("path", F.inline("boxes"))
 
 
-def box_trees(files: DataFrame, max_depth: int = containers.MAX_DEPTH) -> DataFrame:
-    return per_file(files, _parse_boxes(max_depth), f"boxes array<struct<{BOX}>>, diagnostics array<struct<{DIAGNOSTIC}>>")
+def box_trees(files: DataFrame, max_depth: int = containers.MAX_DEPTH, keep_content: bool = False) -> DataFrame:
+    return per_file(files, _parse_boxes(max_depth), f"boxes array<struct<{BOX}>>, diagnostics array<struct<{DIAGNOSTIC}>>", keep_content=keep_content)
 
 
 def box_diagnostics(files: DataFrame, max_depth: int = containers.MAX_DEPTH) -> DataFrame:
@@ -119,9 +120,9 @@ def box_diagnostics(files: DataFrame, max_depth: int = containers.MAX_DEPTH) ->
 class MetaTables:
     """Item metadata of container files, parsed once: a row a file with nested arrays, and the flat tables of it."""
 
-    def __init__(self, files: DataFrame, mode: str = PERMISSIVE, keep_content: bool = False) -> None:
+    def __init__(self, files: DataFrame, mode: str = PERMISSIVE, keep_content: bool = False, carry: tuple[str, ...] = ()) -> None:
         schema = f"meta struct<{META}>, items array<struct<{ITEM}>>, properties array<struct<{PROPERTY}>>, diagnostics array<struct<{DIAGNOSTIC}>>"
-        self.nested = _moded(per_file(files, containers.meta, schema, keep_content=keep_content), mode)
+        self.nested = _moded(per_file(files, containers.meta, schema, keep_content=keep_content, carry=carry), mode)
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -157,13 +158,13 @@ class MetaTables:
         return p.withColumn("q", named).select("path", "item_no", "item_id", "item_type", "a.assoc_no", "a.prop_index", "a.essential", F.col("q.type").alias("type"), F.col("q.ispe").alias("ispe"), F.col("q.pixi").alias("pixi"), F.col("q.av1c").alias("av1c"))
 
 
-def payloads(files: DataFrame, compat: str = "m1") -> DataFrame:
-    """(path, item_id, total_bytes, payload, status, reason) of each file's primary item.
+def payloads(files: DataFrame, compat: str = "m1", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, the columns to ``carry``, item_id, total_bytes, payload, status, reason) of each file's primary item.
 
     Extents are sliced out of the file's own bytes in the row and put together in order. The first predicate that
     fails gives the reason, in the order in which they are listed. ``compat="m2"`` takes extents that have an index.
     """
-    m = MetaTables(files, keep_content=True).nested
+    m = MetaTables(files, keep_content=True, carry=carry).nested
     p = m.withColumn("item", F.when(F.col("meta.status") == "OK", F.try_element_at(F.filter("items", lambda i: i["item_id"] == F.col("meta.primary_item_id")), F.lit(1)))).drop("items", "properties")
     i, method, size = F.col("item"), F.col("item.construction_method"), F.length("content").cast("decimal(20,0)")
     idat = F.col("meta.idat_len").cast("decimal(20,0)")
@@ -197,7 +198,7 @@ def payloads(files: DataFrame, compat: str = "m1") -> DataFrame:
     unsupported = F.col("reason").contains("unsupported") | F.col("reason").contains("not a coded")
     p = p.withColumn("reason", reason).withColumn("payload", F.when(F.col("reason").isNull(), whole))
     status = F.when(F.col("reason").isNull(), "OK").when(unsupported, "UNSUPPORTED").otherwise("ERROR")
-    return p.select("path", F.col("meta.primary_item_id").alias("item_id"), F.length("payload").cast("long").alias("total_bytes"), "payload", status.alias("status"), "reason")
+    return p.select("path", *carry, F.col("meta.primary_item_id").alias("item_id"), F.length("payload").cast("long").alias("total_bytes"), "payload", status.alias("status"), "reason")
 
 
 def _one_header(units: list[dict[str, Any]], notes: list[dict[str, Any]]) -> str | None:
@@ -227,9 +228,9 @@ def obus(payloads_: DataFrame, types: tuple[int, ...] | None = None, first_only:
 class StreamTables:
     """Headers and tiles of AV1 payloads, parsed once."""
 
-    def __init__(self, payloads_: DataFrame, content: str = "payload", mode: str = PERMISSIVE, keep_content: bool = False) -> None:
+    def __init__(self, payloads_: DataFrame, content: str = "payload", mode: str = PERMISSIVE, keep_content: bool = False, carry: tuple[str, ...] = ()) -> None:
         self.content = content
-        self.nested = _moded(per_file(payloads_, streams.stream, STREAM, content=content, keep_content=keep_content), mode)
+        self.nested = _moded(per_file(payloads_, streams.stream, STREAM, content=content, keep_content=keep_content, carry=carry), mode)
 
     def _struct(self, name: str) -> DataFrame:
         return self.nested.where(F.col(name).isNotNull()).select("path", f"{name}.*")

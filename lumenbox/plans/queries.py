@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import bits
-from ..operators import entropy, streams, tables
+from ..operators import entropy, probe, streams, tables
+from ..sources import files as source_files
 from ..sources.files import from_table
-from . import report
+from . import report, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -205,81 +206,170 @@ def frame_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(_key("doc_id"), *f, F.size("tiles").cast("long").alias("tiles"))
 
 
-_FOUR = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 4))"
+_ALL = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem)"
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream an order of four lines, with tiles as long as their quantities."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("lines")).where("size(lines) = 4")
-    return fx.build(lines, lambda l_orderkey, lines: fx.grid_stream([bytes([x["q"] % 256]) * x["q"] for x in lines]), "l_orderkey", "payload")
+def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream an order, whatever its lines, with tiles as long as their quantities; orders without lines have no tiles."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("lines"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+    return fx.build(orders.join(lines, "l_orderkey", "full"), lambda l_orderkey, lines: fx.layout_stream([bytes([x["q"] % 256]) * x["q"] for x in lines or ()]), "l_orderkey", "payload")
 
 
-@query(f"""WITH t AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-             FROM {_FOUR} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, size))
-           SELECT l_orderkey, n AS tile_num, n // 2 AS tile_row, n % 2 AS tile_col, size, CAST(ahead + least(n + 1, 3) AS BIGINT) AS after_first,
-                  CAST(16 * (n % 2) AS INTEGER) AS mi_col_start, CAST(16 * (n // 2) + 16 AS INTEGER) AS mi_row_end FROM t""")
+_GRID = f"""t AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS c,
+                    coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+             FROM {_ALL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, size)), g AS (
+           SELECT *, list_min([x FOR x IN range(1, c + 1) IF c % x = 0 AND x * x >= c]) AS cols FROM t)"""
+
+
+@query(f"""WITH {_GRID}
+           SELECT l_orderkey, n AS tile_num, n // cols AS tile_row, n % cols AS tile_col, size, CAST(ahead + least(n + 1, c - 1) AS BIGINT) AS after_first,
+                  CAST(16 * (n % cols) AS INTEGER) AS mi_col_start, CAST(16 * (n // cols) + 16 AS INTEGER) AS mi_row_end FROM g""")
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of two by two grids; offsets count from the byte after the group's flags."""
-    s = tables.StreamTables(_grids(spark, sf_dir))
-    t = s.nested.select("path", "tile_info", "obus", F.explode("tiles").alias("t"))
+    """Tiles of all orders, in grids of as many tiles as lines; offsets count from the byte after the group's flags, which one tile has not."""
+    t = tables.StreamTables(_layouts(spark, sf_dir)).nested.select("path", "tile_info", "obus", F.when(F.size("tiles") > 1, 1).otherwise(0).alias("flags"), F.explode("tiles").alias("t"))
     at = F.element_at(F.filter("obus", lambda u: u["obu_type"] == 4), 1)["payload_off"]
-    return t.select(_key("l_orderkey"), "t.tile_num", "t.tile_row", "t.tile_col", "t.size", (F.col("t.offset") - at - 1).alias("after_first"), F.element_at("tile_info.mi_col_starts", (F.col("t.tile_col") + 1).cast("int")).alias("mi_col_start"), F.element_at("tile_info.mi_row_starts", (F.col("t.tile_row") + 2).cast("int")).alias("mi_row_end"))
+    return t.select(_key("l_orderkey"), "t.tile_num", "t.tile_row", "t.tile_col", "t.size", (F.col("t.offset") - at - F.col("flags")).alias("after_first"), F.element_at("tile_info.mi_col_starts", (F.col("t.tile_col") + 1).cast("int")).alias("mi_col_start"), F.element_at("tile_info.mi_row_starts", (F.col("t.tile_row") + 2).cast("int")).alias("mi_row_end"))
+
+
+@query(f"SELECT 'offset' AS check, count(*) AS passed, CAST(0 AS BIGINT) AS failed, count(*) AS total FROM {_ALL} UNION ALL SELECT NULL, count(*), 0, count(*) FROM {_ALL}")
+def tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each tile begins where the one before it ended, as totals."""
+    s = tables.StreamTables(_layouts(spark, sf_dir))
+    at = F.element_at(F.filter("obus", lambda u: u["obu_type"] == 4), 1)["payload_off"] + F.when(F.size("tiles") > 1, 1).otherwise(0)
+    checked = report.offset_check(s.tiles, s.nested.where("size(tiles) > 0").select("path", F.lit(1).cast("long").alias("tg_index"), at.alias("first")), 1)
+    return report.totals(checked.select(F.lit("offset").alias("check"), "ok"))
+
+
+@query(f"""WITH {_GRID}
+           SELECT l_orderkey, n AS tile_num, 'tg1_tile' || n || '_r' || (n // cols) || '_c' || (n % cols) || '.bin' AS file_name, n // cols AS tile_row, n % cols AS tile_col, size FROM g""")
+def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of tiles; rows, columns and sizes as they are read back from the lines of text."""
+    t = tables.StreamTables(_layouts(spark, sf_dir)).tiles
+    text = sinks.tile_file_names(t).select("path", "file_name", F.format_string("tg%d tile %d r%d c%d @ [%d+%d]", "tg_index", "tile_num", "tile_row", "tile_col", "offset", "size").alias("line"))
+    return source_files.tile_lines(text).select(_key("l_orderkey"), "tile_num", "file_name", "tile_row", "tile_col", "size")
 
 
-@query(f"SELECT CASE WHEN size < 256 THEN '<256' WHEN size < 1024 THEN '<1K' ELSE '<4K' END AS size_class, count(*) AS tiles FROM {_FOUR} GROUP BY 1")
+#: Sizes of tiles that reach every class, from the part and the quantity of a line.
+_SIZED = """(SELECT l_orderkey, l_linenumber, CASE l_partkey % 1000 WHEN 0 THEN 65536 WHEN 1 THEN 16384 WHEN 2 THEN 4096 WHEN 3 THEN 1024 WHEN 4 THEN 256 ELSE 0 END + CAST(l_quantity AS BIGINT) AS size FROM lineitem)"""
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = {0: 65536, 1: 16384, 2: 4096, 3: 1024, 4: 256}
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").cast("long").alias("p")))).alias("lines"))
+    return fx.build(lines, lambda l_orderkey, lines: fx.layout_stream([b"t" * (x["q"] + step.get(x["p"] % 1000, 0)) for x in lines], 3), "l_orderkey", "payload")
+
+
+@query(f"""SELECT CASE WHEN size < 256 THEN '<256' WHEN size < 1024 THEN '<1K' WHEN size < 4096 THEN '<4K' WHEN size < 16384 THEN '<16K' WHEN size < 65536 THEN '<64K' ELSE '>=64K' END AS size_class, count(*) AS tiles
+           FROM {_SIZED} GROUP BY 1""")
 def tile_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tile_size_histogram(tables.StreamTables(_grids(spark, sf_dir)).tiles)
+    return report.tile_size_histogram(tables.StreamTables(_sized(spark, sf_dir)).tiles)
 
 
-@query(f"SELECT '2-4' AS count_class, count(DISTINCT l_orderkey) AS files FROM {_FOUR}")
+@query("""SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 16 THEN '5-16' ELSE '>16' END AS count_class, count(*) AS files FROM (SELECT p_partkey % 30 AS n FROM part) GROUP BY 1""")
 def tiles_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _grids(spark, sf_dir)
+    """Files of no tile to 29 tiles."""
+    g = fx.build(_table(spark, sf_dir, "part").select("p_partkey"), lambda p_partkey: fx.layout_stream([b"t"] * (p_partkey % 30)), "p_partkey", "payload")
     return report.tiles_per_file(g, tables.StreamTables(g).tiles)
 
 
-@query(f"SELECT count(*) AS tiles, CAST(sum(size) AS BIGINT) AS total, min(size) AS smallest, max(size) AS largest FROM {_FOUR}")
+@query(f"SELECT count(*) AS tiles, CAST(sum(size) AS BIGINT) AS total, min(size) AS smallest, CAST(arg_min(l_orderkey, [size, l_orderkey]) AS VARCHAR) AS smallest_path, max(size) AS largest FROM (SELECT size, l_orderkey FROM {_SIZED}) WHERE true".replace("arg_min(l_orderkey, [size, l_orderkey])", "arg_min(CAST(l_orderkey AS VARCHAR), struct_pack(s := size, k := CAST(l_orderkey AS VARCHAR)))"))
 def tile_size_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tile_size_range(tables.StreamTables(_grids(spark, sf_dir)).tiles).drop("smallest_path")
+    """The smallest tile names its file: of equal ones the first by path."""
+    return report.tile_size_range(tables.StreamTables(_sized(spark, sf_dir)).tiles)
 
 
-_ALL = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem)"
+@query("""SELECT s_suppkey, i AS tile_num, CAST(16 * (CASE i WHEN 0 THEN 0 WHEN 1 THEN a WHEN 2 THEN a + b END) AS INTEGER) AS mi_col_start, CAST(16 * (CASE i WHEN 0 THEN a WHEN 1 THEN a + b WHEN 2 THEN a + b + c END) AS INTEGER) AS mi_col_end
+           FROM (SELECT s_suppkey, 1 + s_suppkey % 5 AS a, 1 + s_suppkey % 7 AS b, 1 + s_suppkey % 3 AS c FROM supplier), unnest(range(3)) AS u(i)""")
+def uneven_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of tiles whose widths are listed in the header."""
+    g = fx.build(_table(spark, sf_dir, "supplier").select("s_suppkey"), lambda s_suppkey: fx.uneven_stream([1 + s_suppkey % 5, 1 + s_suppkey % 7, 1 + s_suppkey % 3]), "s_suppkey", "payload")
+    return tables.StreamTables(g).tiles.select(_key("s_suppkey"), "tile_num", "mi_col_start", "mi_col_end")
 
 
-def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream an order, whatever its lines, with tiles as long as their quantities; orders without lines have no tiles."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("lines"))
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct()
-    return fx.build(orders.join(lines, "l_orderkey", "full"), lambda l_orderkey, lines: fx.layout_stream([bytes([x["q"] % 256]) * x["q"] for x in lines or ()]), "l_orderkey", "payload")
+def _tail(p_partkey: int) -> bytes:
+    k = p_partkey
+    q = k % 256 if k % 5 else 0
+    return fx.tail_stream(
+        q, ((k % 7) - 3, 0, (k % 5) - 2, 0, 0) if k % 3 else (0,) * 5, {i: (k % 41) - 20 + i for i in range(k % 4)}, k % 2 == 1, k % 4 if k % 3 == 0 else None, (k % 4, k // 4 % 2) if k % 2 else None, k % 2 == 0, k % 11 == 0,
+        (k % 4, k // 4 % 2, k % 4) if k % 13 else None,
+    )
 
 
-@query(f"""WITH t AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS c,
-                    coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-             FROM {_ALL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, size)), g AS (
-           SELECT *, list_min([x FOR x IN range(1, c + 1) IF c % x = 0 AND x * x >= c]) AS cols FROM t)
-           SELECT l_orderkey, n AS tile_num, n // cols AS tile_row, n % cols AS tile_col, size, CAST(ahead + least(n + 1, c - 1) AS BIGINT) AS after_first,
-                  CAST(16 * (n % cols) AS INTEGER) AS mi_col_start, CAST(16 * (n // cols) + 16 AS INTEGER) AS mi_row_end FROM g""")
-def tiles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of all orders, in grids of as many tiles as lines; offsets count from the byte after the group's flags, which one tile has not."""
-    t = tables.StreamTables(_layouts(spark, sf_dir)).nested.select("path", "tile_info", "obus", F.when(F.size("tiles") > 1, 1).otherwise(0).alias("flags"), F.explode("tiles").alias("t"))
-    at = F.element_at(F.filter("obus", lambda u: u["obu_type"] == 4), 1)["payload_off"]
-    return t.select(_key("l_orderkey"), "t.tile_num", "t.tile_row", "t.tile_col", "t.size", (F.col("t.offset") - at - F.col("flags")).alias("after_first"), F.element_at("tile_info.mi_col_starts", (F.col("t.tile_col") + 1).cast("int")).alias("mi_col_start"), F.element_at("tile_info.mi_row_starts", (F.col("t.tile_row") + 2).cast("int")).alias("mi_row_end"))
+@query("""WITH k AS (SELECT p_partkey, p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 256 END AS q FROM part), s AS (
+            SELECT *, k % 4 AS n, CASE WHEN k % 3 > 0 THEN k % 7 - 3 ELSE 0 END AS y, CASE WHEN k % 3 > 0 THEN k % 5 - 2 ELSE 0 END AS u FROM k), l AS (
+            SELECT *, y = 0 AND u = 0 AND len([i FOR i IN range(8) IF least(255, greatest(0, q + CASE WHEN i < n THEN k % 41 - 20 + i ELSE 0 END)) > 0]) = 0 AS lossless, q > 0 AND k % 3 = 0 AS dq FROM s)
+          SELECT p_partkey, q AS base_q_idx, y AS delta_q_y_dc, u AS delta_q_u_ac, CAST(n > 0 AS BIGINT) AS segmentation_enabled, CAST(n > 0 AND k % 2 = 1 AS BIGINT) AS seg_id_pre_skip,
+                 CASE WHEN n = 0 THEN 0 WHEN k % 2 = 1 THEN 7 ELSE n - 1 END AS last_active_seg_id, CAST(CASE WHEN n > 0 THEN k % 41 - 20 ELSE 0 END AS INTEGER) AS alt_q_0, CAST(lossless AS BIGINT) AS coded_lossless,
+                 CAST(dq AS BIGINT) AS delta_q_present, CASE WHEN dq THEN k % 4 ELSE 0 END AS delta_q_res, CAST(dq AND k % 2 = 1 AS BIGINT) AS delta_lf_present,
+                 CASE WHEN dq AND k % 2 = 1 THEN k // 4 % 2 ELSE 0 END AS delta_lf_multi, CAST(CASE WHEN lossless THEN 0 WHEN k % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS tx_mode, CAST(k % 11 = 0 AS BIGINT) AS reduced_tx_set, 'OK' AS status FROM l""")
+def frame_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantizer, segments, changes, filters, transform mode and film grain: a header is read to its end, and a tile follows."""
+    n = tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey"), _tail, "p_partkey", "payload")).nested
+    names = ("base_q_idx", "delta_q_y_dc", "delta_q_u_ac", "segmentation_enabled", "seg_id_pre_skip", "last_active_seg_id", "coded_lossless", "delta_q_present", "delta_q_res", "delta_lf_present", "delta_lf_multi", "tx_mode", "reduced_tx_set")
+    return n.select(_key("p_partkey"), *[f"frame_header.{c}" for c in names], F.col("frame_header.alt_q")[0]["value"].alias("alt_q_0"), F.when(F.size("tiles") == 1, F.col("status")).alias("status"))
 
 
-@query(f"SELECT CASE WHEN size < 256 THEN '<256' WHEN size < 1024 THEN '<1K' ELSE '<4K' END AS size_class, count(*) AS tiles FROM {_ALL} GROUP BY 1")
-def tile_size_histogram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tile_size_histogram(tables.StreamTables(_layouts(spark, sf_dir)).tiles)
+def _quarters(p_partkey: int, p_size: int) -> bytes:
+    blocks = [{"skip": p_partkey >> i & 1, "y_mode": (7 * p_partkey + 5 * i + p_size) % 13, "angle": (p_size + i) % 7 - 3, "dc": (p_partkey + 31 * i) % 121 - 60, "q": 2} for i in range(4)]
+    return fx.syntax_stream(fx.quarters_tile(blocks))
 
 
-@query(f"""WITH k AS (SELECT o_orderkey AS k FROM orders UNION SELECT l_orderkey FROM lineitem), n AS (SELECT k, count(l_orderkey) AS n FROM k LEFT JOIN {_ALL} ON k = l_orderkey GROUP BY 1)
-           SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 16 THEN '5-16' ELSE '>16' END AS count_class, count(*) AS files FROM n GROUP BY 1""")
-def tiles_per_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _layouts(spark, sf_dir)
-    return report.tiles_per_file(g, tables.StreamTables(g).tiles)
+@query("""SELECT p_partkey, CAST(i AS INTEGER) AS block_no, CAST(8 * (i // 2) AS INTEGER) AS r, CAST(8 * (i % 2) AS INTEGER) AS c, CAST(skip AS INTEGER) AS skip, CAST(y_mode AS INTEGER) AS y_mode,
+                 CAST(CASE WHEN skip = 0 AND y_mode BETWEEN 1 AND 8 THEN (p_size + i) % 7 - 3 END AS INTEGER) AS angle_delta_y, CAST(CASE WHEN skip = 0 THEN dc = 0 END AS INTEGER) AS all_zero,
+                 CAST(CASE WHEN skip = 0 AND dc <> 0 THEN dc END AS INTEGER) AS dc, CAST(CASE WHEN skip = 0 AND dc <> 0 THEN abs(dc) END AS INTEGER) AS cul_level, 'OK' AS status
+           FROM (SELECT p_partkey, p_size, i, (p_partkey >> i) & 1 AS skip, (7 * p_partkey + 5 * i + p_size) % 13 AS y_mode, (p_partkey + 31 * i) % 121 - 60 AS dc FROM part, unnest(range(4)) AS u(i))""")
+def tile_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tiles of four blocks: flags, modes, angles and a coefficient of each, with contexts from the blocks around, to the exit."""
+    s = tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), _quarters, "p_partkey", "payload"), keep_content=True)
+    b = probe.tile_probe(s, fx.distributions(), whole=True, blocks=True).select("path", "status", F.posexplode("blocks").alias("block_no", "b"))
+    t = F.try_element_at("b.tx", F.lit(1))
+    return b.select(_key("p_partkey"), "block_no", "b.r", "b.c", "b.skip", "b.y_mode", "b.angle_delta_y", t["all_zero"].alias("all_zero"), t["dc"].alias("dc"), t["cul_level"].alias("cul_level"), "status")
+
+
+def _divided(spark: SparkSession, sf_dir: str) -> tables.StreamTables:
+    make = lambda p_partkey, p_size: fx.syntax_stream(fx.divided_tile([p_partkey % 9, p_size % 9, p_partkey // 9 % 9, p_size // 9 % 9], p_partkey))
+    return tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey", "payload"), keep_content=True)
+
+
+_LEAVES = "[" + ", ".join(str(len(b)) for _, b in fx.DIVISIONS) + "]"
+
+
+@query(f"""SELECT p_partkey, 'OK' AS status, 'SPLIT' AS partition, CAST(5 AS BIGINT) AS partition_symbols, CAST(0 AS BIGINT) AS forced_splits, CAST(leaves AS BIGINT) AS leaf_blocks, CAST(leaves AS BIGINT) AS blocks_decoded,
+                  CAST((p_partkey + leaves - 1) % 13 AS INTEGER) AS last_mode
+           FROM (SELECT p_partkey, list_sum([({_LEAVES})[x + 1] FOR x IN [p_partkey % 9, p_size % 9, p_partkey // 9 % 9, p_size // 9 % 9]]) AS leaves FROM part)""")
+def tile_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles whose quarters are divided in each way there is: partition symbols, leaves and blocks to the end of the tile."""
+    t = probe.tile_probe(_divided(spark, sf_dir), fx.distributions(), whole=True, blocks=True)
+    return t.select(_key("p_partkey"), "status", "partition", "partition_symbols", "forced_splits", "leaf_blocks", "blocks_decoded", F.element_at("blocks", -1)["y_mode"].alias("last_mode"))
+
+
+@query("""SELECT p_partkey, 'UNSUPPORTED' AS status, CAST(2 AS BIGINT) AS blocks_decoded, CAST(p_partkey % 13 AS INTEGER) AS y_mode, CAST(1 AS INTEGER) AS skip, CAST(1 AS INTEGER) AS depth,
+                 CAST(CASE WHEN p_partkey % 9 IN (2, 6) THEN 2 WHEN p_partkey % 9 = 8 THEN 1 WHEN p_partkey % 9 IN (3, 5) THEN 2 ELSE 3 END AS INTEGER) AS wlog2, CAST((p_partkey + 1) % 13 AS INTEGER) AS second_mode FROM part""")
+def tile_first_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two blocks only: of a quarter that is divided the first, then that of the next quarter."""
+    t = probe.tile_probe(_firsts(spark, sf_dir), fx.distributions(), blocks=True)
+    return t.select(_key("p_partkey"), "status", "blocks_decoded", "y_mode", "skip", "depth", "wlog2", F.element_at("blocks", 2)["y_mode"].alias("second_mode"))
+
+
+def _firsts(spark: SparkSession, sf_dir: str) -> tables.StreamTables:
+    def make(p_partkey: int) -> bytes:
+        return fx.syntax_stream(fx.divided_tile([p_partkey % 9, 0, 0, 0], p_partkey, first_only=True))
+
+    return tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey"), make, "p_partkey", "payload"), keep_content=True)
 
 
-@query(f"SELECT count(*) AS tiles, CAST(sum(size) AS BIGINT) AS total, min(size) AS smallest, max(size) AS largest FROM {_ALL}")
-def tile_size_range_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tile_size_range(tables.StreamTables(_layouts(spark, sf_dir)).tiles).drop("smallest_path")
+@query("""SELECT p_partkey, CASE WHEN p_size % 16 IN (1, 2, 3, 4, 5, 6, 7, 8) THEN ['sequence_header', 'temporal_delimiter', 'frame_header', 'tile_group', 'metadata', 'frame', 'redundant_frame_header', 'tile_list'][p_size % 16] WHEN p_size % 16 = 9 THEN 'padding' ELSE 'reserved' END AS obu_name,
+                 CAST(CASE WHEN p_partkey = 0 THEN 0 ELSE list_min([k FOR k IN range(33) IF (1 + p_size % 5) * (1::BIGINT << k) >= p_partkey]) END AS INTEGER) AS log2, least(200, greatest(10, p_partkey)) AS clipped, (p_partkey + 6) // 7 AS seventh,
+                 CAST(2 * ((p_partkey + 7) // 8) AS BIGINT) AS mi, CASE WHEN p_size % 2 = 1 THEN (2 * ((p_partkey + 7) // 8) + 31) // 32 ELSE (2 * ((p_partkey + 7) // 8) + 15) // 16 END AS superblocks,
+                 CAST(CASE WHEN p_size % 3 = 0 THEN p_partkey ELSE p_size END AS BIGINT) AS shown_width, CAST(CASE WHEN p_size <= 20 THEN 0 WHEN p_size <= 60 THEN 1 ELSE 2 END AS INTEGER) AS q_context FROM part""")
+def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and sizes as expressions, without Python."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"))
+    k, n = F.col("p_partkey").cast("long"), F.col("p_size")
+    mi = bits.mi_size(k)
+    shown = bits.shown_size(F.when(n % 3 == 0, k), n, n)
+    return p.select("p_partkey", bits.obu_type_name((n % 16).cast("int")).alias("obu_name"), bits.tile_log2(1 + n % 5, k).alias("log2"), bits.clip3(10, 200, k).alias("clipped"), bits.ceil_div(k, 7).alias("seventh"), mi.alias("mi"), bits.sb_count(mi, n % 2).alias("superblocks"), shown["width"].alias("shown_width"), bits.q_context(n).alias("q_context"))
 
 
 @query("""SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 3 AS ok, CASE doc_id % 4 WHEN 1 THEN 'pixi channels != av1C channels' WHEN 2 THEN 'pixi depth != av1C bit depth' END AS reason FROM documents""")
@@ -309,13 +399,13 @@ MUTATIONS = (
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, extract_status, stage_status, reason): boxes, extraction, sequence headers, headers, in that order."""
+    """(path, extract_status, stage_status, reason): boxes, extraction, sequence headers, headers, in that order; each step
+    carries what the one before found, so nothing is joined."""
     whole = [m for m, _ in MUTATIONS]
     files = fx.build(_table(spark, sf_dir, "documents").select("doc_id"), lambda doc_id: whole[doc_id % len(whole)], "doc_id")
-    p = tables.payloads(files)
-    units = tables.per_file(p, _seen, "one string, stream_status string, stream_reason string", content="payload")
-    trees = tables.box_trees(files).select("path", F.try_element_at("diagnostics", F.lit(1))["message"].alias("box_reason"))
-    all_ = p.drop("payload").join(units, "path").join(trees, "path")
+    trees = tables.box_trees(files, keep_content=True).select("path", "content", F.try_element_at("diagnostics", F.lit(1))["message"].alias("box_reason"))
+    p = tables.payloads(trees, carry=("box_reason",))
+    all_ = tables.per_file(p, _seen, "one string, stream_status string, stream_reason string", content="payload", carry=("status", "reason", "box_reason"))
     reason = F.coalesce(F.when(F.col("status") != "OK", F.col("reason")), "box_reason", "one", "stream_reason")
     extracted = F.when(F.col("box_reason").isNotNull() | F.col("one").isNotNull(), "ERROR").otherwise(F.col("status"))
     return all_.select("path", extracted.alias("extract_status"), F.col("stream_status").alias("stage_status"), reason.alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -65,11 +65,14 @@ def check_failures(checks: DataFrame) -> DataFrame:
     return checks.groupBy("check").agg(F.count_if(~F.col("ok")).alias("tiles_failed"), F.count_distinct(F.when(~F.col("ok"), F.col("path"))).alias("files_failed"))
 
 
-def primary_properties(tables) -> DataFrame:
-    """(path, ispe, pixi, av1c) of primary items: the first of each that the item names."""
-    named = tables.resolved.join(tables.meta.select("path", F.col("primary_item_id").alias("item_id")), ["path", "item_id"])
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("assoc_no"))).alias(c)
-    return named.groupBy("path").agg(first("ispe"), first("pixi"), first("av1c"))
+def primary_properties(tables, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, the columns to ``carry``, ispe, pixi, av1c) of primary items: the first of each that the item names, by place
+    in the file's own row. Files without a primary item give no row."""
+    item = F.try_element_at(F.filter("items", lambda i: i["item_id"] == F.col("meta.primary_item_id")), F.lit(1))
+    at = lambda a: F.when((a["prop_index"] > 0) & (a["prop_index"] <= F.size("properties")), F.try_element_at("properties", a["prop_index"]))
+    named = tables.nested.withColumn("item", item).where("item is not null").withColumn("named", F.transform("item.props", at))
+    first = lambda c: F.try_element_at(F.filter(F.transform("named", lambda p: p[c]), lambda x: x.isNotNull()), F.lit(1)).alias(c)
+    return named.select("path", *carry, first("ispe"), first("pixi"), first("av1c"))
 
 
 def pixi_check(primary: DataFrame, strict: bool = True) -> DataFrame:
@@ -91,10 +94,34 @@ def same_payload(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def dims_check(headers: DataFrame, manifest: DataFrame, base: Column, preset: Column) -> DataFrame:
-    shown = headers.select(base.alias("base"), preset.alias("preset"), F.coalesce("upscaled_width", "coded_width").alias("w"), F.col("coded_height").alias("h"))
+    size = bits.shown_size(F.col("upscaled_width"), F.col("coded_width"), F.col("coded_height"))
+    shown = headers.select(base.alias("base"), preset.alias("preset"), size["width"].alias("w"), size["height"].alias("h"))
     return manifest.join(shown, ["base", "preset"], "left").select("base", "preset", ((F.col("w") == F.col("width")) & (F.col("h") == F.col("height"))).alias("ok"))
 
 
+def totals(checks: DataFrame) -> DataFrame:
+    """(check, passed, failed, total) of a table (check, ok), and a row of all checks whose name is null; no answer is a failure."""
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return checks.rollup("check").agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.count("*").alias("total"))
+
+
+def offset_check(tiles: DataFrame, starts: DataFrame, size_bytes: Column | int) -> DataFrame:
+    """(path, tg_index, tile_num, ok): a tile begins where the one before it ended and its size field is over. ``starts``:
+    (path, tg_index, first) with the offset after the group's flags."""
+    before = Window.partitionBy("path", "tg_index").orderBy("tile_num").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("path", "tg_index").orderBy("tile_num").rowsBetween(1, Window.unboundedFollowing)
+    fields = F.row_number().over(Window.partitionBy("path", "tg_index").orderBy("tile_num")) - F.when(F.count("*").over(after) == 0, 1).otherwise(0)
+    ran = tiles.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0)) + fields * size_bytes)
+    return ran.join(starts, ["path", "tg_index"]).select("path", "tg_index", "tile_num", (F.col("offset") == F.col("first") + F.col("ahead")).alias("ok"))
+
+
+def expected_tiles(tiles: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, ok) of each path in either table of (path, tile_num, size): whether both have the same tiles."""
+    a = tiles.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("tile_num", "size"))).alias("got"))
+    b = expected.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("tile_num", "size"))).alias("want"))
+    return a.join(b, "path", "full").select("path", F.col("got").cast("string").eqNullSafe(F.col("want").cast("string")).alias("ok"))
+
+
 def milestones(tables: dict[str, DataFrame]) -> DataFrame:
     """Whether each column of each table was seen with a value at least once."""
     out = None

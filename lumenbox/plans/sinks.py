@@ -11,7 +11,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..operators import streams
+from . import report
 
 
 def box_text(boxes: DataFrame) -> DataFrame:
@@ -43,6 +45,22 @@ def meta_text(tables) -> DataFrame:
     return m.select("path", F.concat_ws("\n", F.concat(F.lit("meta.hdlr: "), F.coalesce("meta.handler_type", F.lit("(missing)"))), F.format_string("items: %d", "meta.item_count"), F.format_string("properties: %d", "meta.property_count"), what).alias("line"))
 
 
+def item_text(tables) -> DataFrame:
+    """(path, item_no, line): each item with its type, where its bytes are, and how many properties it names."""
+    i = tables.nested.select("path", F.explode("items").alias("i")).select("path", "i.*")
+    where = F.when(F.col("has_iloc"), F.format_string("method=%d extents=%d", "construction_method", F.size("extents"))).otherwise("no location")
+    return i.select("path", "item_no", F.concat_ws(" ", F.format_string("item %d", "item_id"), F.coalesce("item_type", F.lit("(no type)")), where, F.format_string("properties=%d", F.size("props"))).alias("line"))
+
+
+def primary_text(tables) -> DataFrame:
+    """(path, line): size, depths and configuration that the primary item names, or that it names none."""
+    p = report.primary_properties(tables)
+    ispe = F.when(F.col("ispe").isNotNull(), F.format_string("ispe %dx%d", "ispe.width", "ispe.height"))
+    pixi = F.when(F.col("pixi").isNotNull(), F.concat(F.lit("pixi "), F.array_join(F.transform("pixi.depths", lambda d: d.cast("string")), ",")))
+    av1c = F.when(F.col("av1c").isNotNull(), F.concat(F.lit("av1C "), bits.chroma_format(F.col("av1c")), F.lit(" "), bits.av1c_bit_depth(F.col("av1c")).cast("string"), F.lit(" bits")))
+    return p.select("path", F.when(F.coalesce("ispe.width", "pixi.channels", "av1c.version").isNull(), "no properties").otherwise(F.concat_ws("; ", ispe, pixi, av1c)).alias("line"))
+
+
 def tile_file_names(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("file_name", F.format_string("tg%d_tile%d_r%d_c%d.bin", "tg_index", "tile_num", "tile_row", "tile_col"))
 
@@ -95,3 +113,12 @@ def write_payloads(payloads: DataFrame, folder: str, suffix: str = ".av1") -> Da
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["path", "file", "bytes"])
 
     return payloads.where("payload is not null").select("path", "payload").mapInArrow(run, "path string, file string, bytes long")
+
+
+def write_tile_folder(streams_, folder: str) -> DataFrame:
+    """The bytes of each tile as a file of its own, and the headers of each stream as a line of text: (path, file, bytes) of
+    the tiles. Names are those of tile_file_names after a hash of the path, so a task that runs again does no harm."""
+    headers = header_text(streams_.frame_headers)
+    headers.select(F.concat_ws(" ", "path", "line").alias("value")).write.mode("overwrite").text(f"{folder}/frame_info")
+    named = tile_file_names(streams_.tiles)
+    return write_payloads(named.select(F.concat_ws("/", "path", "file_name").alias("path"), "payload"), f"{folder}/tiles", suffix=".bin")

@@ -27,6 +27,20 @@ def from_table(df: DataFrame, path: str = "path", content: str = "content") -> D
     return df.select(F.col(path).cast("string").alias("path"), F.length(content).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("mtime"), F.col(content).alias("content"))
 
 
+def tile_lines(text: DataFrame, line: str = "line") -> DataFrame:
+    """(tg_index, tile_num, tile_row, tile_col, offset, size) read back from lines of tile_text; other lines give no row."""
+    names = ("tg_index", "tile_num", "tile_row", "tile_col", "offset", "size")
+    pattern = r"^tg(\d+) tile (\d+) r(\d+) c(\d+) @ \[(\d+)\+(\d+)\]$"
+    found = text.where(F.col(line).rlike(pattern))
+    return found.select(*[c for c in text.columns if c != line and c not in names], *[F.regexp_extract(line, pattern, i + 1).cast("long").alias(n) for i, n in enumerate(names)])
+
+
+def header_lines(text: DataFrame, names: tuple[str, ...], line: str = "line") -> DataFrame:
+    """The named values read back from lines of header_text, as longs; n/a and what isn't there are null."""
+    pairs = F.str_to_map(F.col(line), F.lit(" "), F.lit("="))
+    return text.withColumn("__pairs", pairs).select(*[c for c in text.columns if c != line and c not in names], *[F.col("__pairs")[n].try_cast("long").alias(n) for n in names])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Lines of seven fields apart by white space; those that start with # or have fewer fields are skipped."""
     p = F.split(F.trim("value"), r"\s+")

@@ -10,7 +10,7 @@ from lumenbox import fixtures as fx
 from lumenbox import sql
 from lumenbox.functions import bits
 from lumenbox.operators import containers, streams, tables
-from lumenbox.plans import queries, report, sinks
+from lumenbox.plans import queries, report, sinks, views
 from lumenbox.sources import files
 from lumenbox.streaming import front
 
