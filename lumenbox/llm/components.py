@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, spread_join
+from .store import forget, save, spread_join
 
 EDGE = "a long, b long"
 
@@ -67,19 +67,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a"))
-        edges = save(small.where("a < b").select("a", "b").distinct(), "stars")
+        before, edges = edges, save(small.where("a < b").select("a", "b").distinct(), "stars")
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not converge")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out._tables = edges._tables
+    return out
 
 
 def with_names(comps: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """(node, component, ``name``) of the result of ``components``, where ``nodes`` has (node, ``name``): the smallest name in
     the component, or null where none of its nodes has one."""
-    comps = save(comps, "components")
+    stars, comps = comps, save(comps, "components")
+    forget(stars)
     names = comps.join(nodes, "node").groupBy("component").agg(F.min(name).alias(name), F.count("*").alias("__nodes"))
     return spread_join(comps, save(names, "component-names"), "component", "__nodes", F.xxhash64("node")).select("node", "component", name)

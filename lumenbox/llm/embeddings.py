@@ -11,9 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .components import Forest, components, with_names
-from .store import bounded_batches, save, spread_join
+from .store import bounded_batches, forget, save, spread_join
 from .words import mix
 
 #: A pair at the threshold is missed with at most this probability.
@@ -51,7 +52,7 @@ def _keys(labels: list[str], v: np.ndarray, bits: int, tables: int, seed: int) -
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return _scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 def _spread(bits: int, tables: int, seed: int):
@@ -158,7 +159,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    v = F.col(vector_col).cast("array<double>")
+    kind = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    v = F.col(vector_col).cast("array<float>" if isinstance(kind, FloatType) else "array<double>")  # as they came; all sums are of doubles
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine & F.col(label_col).isNotNull(), F.lit(False)).alias("fine"))
     classes = rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("rid"), F.count("*").alias("m"))
@@ -172,6 +174,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     placed = placed.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).withColumn("two", F.col("i") != F.col("j")).drop("c", "other")
     placed = placed.join(classes.select("cid", "label", "dim", "v", "m"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = save(placed.mapInArrow(_compare(cosine, bits, tables, seed), "a long, b long, links long"), "vector-links")
+    forget(keyed, shared)
     links = found.where("b is null").groupBy(F.col("a").alias("lid")).agg(F.sum("links").alias("links"))
     comps = with_names(components(found.where("b is not null").select("a", "b")), classes.select(F.col("cid").alias("node"), "rid"), "rid").select("node", "component", F.col("rid").alias("name"))
     named = classes.join(links, classes["cid"] == links["lid"], "left").join(comps, classes["cid"] == comps["node"], "left")

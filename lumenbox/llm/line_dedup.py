@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .store import bounded_batches, save
+from .store import bounded_batches, forget, save, spread_join
 
 #: Line hashes in the rolling window; a boundary in so many lines on average; lines of a chunk that may go.
 WINDOW, SPACING, LEAST_LINES = 3, 4, 2
@@ -142,8 +142,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The place with the smallest (id, position) keeps a chunk. Chunks are named by hashes in a table without
     texts; for repeated names the bytes are fetched, once a batch, and only a chunk whose bytes equal those of
-    the keeping place goes. A passage that stands in a third of all documents is grouped map-side, and no list
-    of its places is gathered. Single lines stay, however frequent.
+    the keeping place goes. A passage that stands in a third of all documents is grouped map-side, the rows of its
+    places are spread over all tasks, and no list of them is gathered. Single lines stay, however frequent.
 
     Null text counts as empty and comes back empty. Rows of null id are left whole. Rows repeated with their id
     keep the same chunks, as places of one id; texts that differ under one id are told apart by the chunk's
@@ -154,12 +154,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunks = base.where("id is not null").mapInArrow(lambda batches: _list(batches, whole), "key binary, id long, no int")
-    chunks = save(chunks, "line-chunks")
-    repeated = chunks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "no")).alias("owner")).where("c > 1").drop("c")
-    places = chunks.join(repeated, "key").select("key", "id", "no", (F.struct("id", "no") == F.col("owner")).alias("own"))
+    chunks = save(chunks.withColumn("k", F.xxhash64("key")), "line-chunks")
+    repeated = chunks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "no")).alias("owner")).where("c > 1")
+    repeated = save(repeated.select(F.xxhash64("key").alias("k"), F.col("key").alias("name"), "owner", "c"), "line-repeats")
+    places = spread_join(chunks, repeated, "k", "c", F.xxhash64("id", "no")).where("key = name").select("key", "id", "no", (F.struct("id", "no") == F.col("owner")).alias("own"))
     marks = places.groupBy(F.col("id").alias("mid")).agg(F.collect_set(F.struct("no", "key", "own")).alias("marks"))
     bodies = save(base.join(marks.hint("merge"), base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(lambda batches: _bodies(batches, whole), "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies")
-    owners = bodies.where("own").select(F.col("key").alias("okey"), F.col("body").alias("obody")).dropDuplicates(["okey"])
+    forget(chunks, repeated)
+    # of bodies that differ under one name, which an id that repeats with other texts could give, the smallest counts
+    owners = bodies.where("own").groupBy(F.col("key").alias("okey")).agg(F.min("body").alias("obody"))
     same = bodies.where("not own").join(owners, F.col("key") == F.col("okey")).where(F.col("body") == F.col("obody"))
     gone = same.select("key", F.explode("places").alias("p")).groupBy(F.col("p.id").alias("gid")).agg(F.collect_set(F.struct(F.col("p.no").alias("no"), "key")).alias("gone"))
     joined = base.join(gone.hint("merge"), base["id"] == gone["gid"], "left").select(F.col("id").alias("__row_id"), "text", "gone")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import forget, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A rank key has this many bits, looked through in rounds of STEP bits.
@@ -95,7 +95,7 @@ def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     p = plan.where("pi > 0 and pi < 1").select(F.col("source").alias("s"), F.col("v").alias("c"), "pi", "left")
     ranked = each.join(p, each["source"].eqNullSafe(p["s"]) & (each["v"] == p["c"])).select("source", "size", "left", _rank_key().alias("key"))
     # (source, at: the bits found so far, before: words ranked ahead of them)
-    found = None
+    found, ranks = None, []
     for done in range(0, KEY_BITS, STEP):
         shift = KEY_BITS - STEP - done
         here = ranked
@@ -110,9 +110,12 @@ def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
         last = F.row_number().over(Window.partitionBy("source").orderBy((F.col("upto") < F.col("left")).cast("int"), F.when(F.col("upto") >= F.col("left"), F.col("at")).otherwise(-F.col("at"))))
         found = bins.withColumn("r", last).where("r = 1").select("source", "at", (F.col("upto") - F.col("words")).alias("before"), "upto", "left")
         found = save(found, f"rank{done}")
+        ranks.append(found)
     include = F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("left") - F.col("before"))
     edge = found.select(F.col("source").alias("e_source"), F.col("at").alias("edge"), include.alias("edge_in"))
-    return save(plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s").withColumnRenamed("v", "c"), "decisions")
+    out = save(plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s").withColumnRenamed("v", "c"), "decisions")
+    forget(classes, plan, *ranks)
+    return out
 
 
 def mix(
@@ -150,6 +153,7 @@ def mixture(
     each = docs.select(F.col(source_col).cast("string").alias("source"), _measured(text_col).alias("size"), _random(id_col, text_col, seed).alias("u"))
     each = save(each.withColumn("v", _length_class(F.col("size"))), "mix")
     d = _decisions(each, weights, most).select("s", "c", "whole", "pi", "edge", "edge_in")
+    forget(each)
     d = d.select(*[F.col(c).alias(f"__{c}") for c in d.columns])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(row, F.col(source_col).cast("string").alias("__source"), _length_class(_measured(text_col)).alias("__v"), _random(id_col, text_col, seed).alias("__u"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import Forest, components, with_names
-from .store import bounded_batches, save, spread_join
+from .store import bounded_batches, forget, save, spread_join
 
 U64 = np.uint64
 FLUSH = 1_000_000
@@ -228,7 +228,9 @@ def _narrowed(family: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         tokens = rows.mapInArrow(_prefixes(num, den, second), "family long, token long, cid long").select(F.xxhash64("family", "token").alias("key"), "cid")
         heads = save(tokens.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("k")).where("k > 1"), "heads")
         links = spread_join(tokens, heads, "key", "k", F.xxhash64("cid")).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-        family = save(components(links).select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
+        kin = components(links)
+        before, family = family, save(kin.select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
+        forget(before, heads, kin)
     return family
 
 
@@ -349,6 +351,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = profile.where("kind = 0").select("batch", "kind", "x", "y", "z")
     settled = heads.unionByName(counts.select("batch", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("x"), "y", "z"))
     meta = save(settled.groupBy("batch").applyInArrow(_settle(num, den), "doc_id long, n long, digest binary, th long, alive boolean"), "meta")
+    forget(profile)
 
     classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.max("alive").alias("alive"))
     classes = save(classes.select("n", "digest", "alive", F.col("one.doc_id").alias("rid"), F.col("one.th").alias("rth")).withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -356,7 +359,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = base.join(live, (base["id"] == live["rid"]) & (base["th"] == live["rth"])).select("cid", "digest", "text").mapInArrow(_sets(k), "cid long, n long, s binary")
     sets = save(sets, "sets")
     if not sets.groupBy("cid").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
-        sets = save(sets.dropDuplicates(["cid"]), "sets")
+        before, sets = sets, save(sets.dropDuplicates(["cid"]), "sets")
+        forget(before)
 
     tokens = sets.mapInArrow(_tokens, "token long, cid long, n long")
     common = save(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
@@ -367,6 +371,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # tokens that no other set has come first in this order, and count
     lists = ranked.where(F.col("at") <= F.col("n") - least + 1 - (F.col("n") - F.col("own"))).select("token", "cid", "n")
     lists = save(lists, "lists")
+    forget(common)
 
     hubs = lists.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("cid", F.lit(h)), "cid", "n")).alias(f"h{h}") for h in range(HUBS)], F.count("*").alias("c")).where("c > 1")
     hubs = save(hubs.select("token", F.array_distinct(F.array(*[F.struct(f"h{h}.cid", f"h{h}.n") for h in range(HUBS)])).alias("hubs"), "c"), "hubs")
@@ -380,8 +385,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         right = sets.select(F.col("cid").alias("b"), F.col("s").alias("s2"))
         return save(p.join(left, "a").join(right, "b").select("a", "b", "s", "s2").mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
 
-    links = verified(pairs, "links1").where("linked").select("a", "b")
-    comps = components(links)
+    links = verified(pairs, "links1")
+    comps = components(links.where("linked").select("a", "b"))
+    forget(links, hubs)
     placed = lists.join(comps, lists["cid"] == comps["node"], "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min("cid").alias("head")).where("lo <> hi").select("token", "k", "head")
     mixed = save(mixed, "mixed")
@@ -389,6 +395,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # documents that share tokens of long lists are families: compared in blocks, no pair leaves its block
     kin = components(rest.where(F.col("k") > LONG_LIST).select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct())
     family = save(kin.select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
+    forget(kin, mixed)
     some = not family.isEmpty()
     if some:
         family = _narrowed(family, sets, num, den)
@@ -398,13 +405,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = F.col("family").isNull() | F.col("family2").isNull() | (F.col("family") != F.col("family2"))
     more = short.join(r2, "token").where((F.col("cid") < F.col("cid2")) & (F.col("c") != F.col("c2")) & apart & near(F.col("n"), F.col("n2")))
     more = more.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links2 = verified(more, "links2").where("linked").select("a", "b")
+    pairwise = verified(more, "links2")
+    links2 = pairwise.where("linked").select("a", "b")
     if some:
         links2 = save(links2.union(_families(sets, lists, family, num, den)), "links3")
     nodes = classes.select(F.col("cid").alias("node"), "rid")
     stars = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     if not links2.isEmpty():
-        comps = components(stars.union(links2))
+        before, comps = comps, components(stars.union(links2))
+        forget(before)
+    forget(sets, lists, pairs, rest, family, pairwise, links2)
     comps = with_names(comps, nodes, "rid").select("node", F.col("rid").alias("name"))
     of_class = classes.join(comps, classes["cid"] == comps["node"], "left").select(F.col("n").alias("cn"), F.col("digest").alias("cd"), F.coalesce("name", "rid").alias("component"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))

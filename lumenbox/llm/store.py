@@ -39,7 +39,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tables = [path]
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the tables that ``save`` wrote for these frames, once nothing that is still to run reads them."""
+    for df in frames:
+        for path in df.__dict__.pop("_tables", []):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fsio
-from .store import bounded_batches, new_folder, save, spread_join, task_each
+from .store import bounded_batches, forget, new_folder, save, spread_join, task_each
 
 #: Bytes that are decompressed at once.
 BLOCK = 1 << 14
@@ -224,7 +224,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     long = small.where(F.col("n") >= REVISIT_BYTES)
     groups = long.groupBy("same", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1")
-    groups = save(groups, "payload-groups").withColumn("to", F.xxhash64("same"))
+    groups_ = save(groups, "payload-groups")
+    groups = groups_.withColumn("to", F.xxhash64("same"))
     revisits = spread_join(long.select("page_id", "same", F.xxhash64("same").alias("to")), groups.select("to", "refers_to", "c", F.col("same").alias("group")), "to", "c", F.xxhash64("page_id"))
     revisits = revisits.where((F.col("same") == F.col("group")) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "same", "refers_to").distinct()
     none = F.lit(None).cast("string")
@@ -235,6 +236,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     manifest = task_each(written).mapInArrow(_commit, "shard long, serial long, path string, records long, bytes long, sha256 string")
     path = f"{folder}/manifest"
     manifest.write.parquet(path)
+    forget(small, groups_, written)
     fsio.remove(f"{folder}/.temporary")
     return spark.read.schema(manifest.schema).parquet(path)
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import os
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbox.llm import embeddings, fsio, line_dedup, mixing, pii, store, toxicity, warc
+from lumenbox.llm import embeddings, fsio, line_dedup, mixing, ngram_join, pii, store, toxicity, warc
 
 KEY = "k"
 
@@ -268,6 +269,22 @@ def test_odd_vectors(spark):
     assert got == sorted(want)
 
 
+def test_tables_are_removed(spark):
+    """What an operator leaves behind is what its result reads, and the result can be read again."""
+    root = store.shared_root(spark).removeprefix("file:")
+    left = lambda: {n.rpartition("-")[0] for n in os.listdir(f"{root}/lumenbox")}
+    for n in os.listdir(f"{root}/lumenbox"):
+        if not n.startswith("files"):
+            shutil.rmtree(f"{root}/lumenbox/{n}")
+    vec = spark.createDataFrame([(i, [1.0, 0.01 * (i % 9), 0.0], 1) for i in range(40)], "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_vectors(vec)
+    assert got.count() == 40 and left() == {"vector-classes", "vector-links", "components", "component-names"} and got.count() == 40
+    docs = spark.createDataFrame([(i, f"a text of some words that are shared by many {i % 5}", "s") for i in range(40)], "doc_id long, text string, source string")
+    for frame, names in ((ngram_join.ngram_join(docs), {"meta", "classes", "components", "component-names"}), (mixing.mix(docs), {"mix", "decisions"}), (line_dedup.line_dedup(docs, whole=True), {"line-bodies"})):
+        before = left()
+        assert frame.count() == 40 and names <= before and not {"profile", "sets", "lists", "pairs", "rank0", "plan", "line-chunks", "stars", "links"} & before
+
+
 def test_spread_join(spark):
     """Hot keys and the others, against the plain join."""
     left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("key"), "id")
@@ -287,6 +304,30 @@ def _lines(rng, n):
     return "".join(f"line {rng.randrange(10**9)}\n" for _ in range(n))
 
 
+def _plain_chunks(text):
+    """Chunks by the definition, on plain integers: lines, their hashes, sums of three of them, every fourth on average ends one."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def named(line):
+        return mix((sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(line)) + len(line) * 0xD6E8FEB86659FD93) & m)
+
+    odd = [2 * (mix(11 + j) >> 1) + 1 for j in range(3)]
+    lines = (text or "").encode().splitlines(keepends=True) if text else []
+    out, at, begin, first = [], 0, 0, 0
+    for i, line in enumerate(lines):
+        at += len(line)
+        rolled = sum(named(lines[i - j]) * odd[j] for j in range(min(3, i + 1))) & m
+        if mix(rolled) % 4 == 0 or i == len(lines) - 1:
+            out.append((begin, at, i + 1 - first))
+            begin, first = at, i + 1
+    return out
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     passage = _lines(rng, 40)
@@ -295,7 +336,8 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, key string")
     got = line_dedup.line_dedup(docs).collect()
     assert len(got) == len(rows)
-    chunks = [list(line_dedup.chunk_bounds(pa.array([t or ""])))[0] for _, t in rows]
+    chunks = [_plain_chunks(t) for _, t in rows]
+    assert chunks == [list(line_dedup.chunk_bounds(pa.array([t or ""])))[0] for _, t in rows]
     places = {}
     for (i, t), bounds in zip(rows, chunks, strict=True):
         for no, (a, b, n) in enumerate(bounds):
