@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from lumenbox import fixtures as fx
 from lumenbox import sql
@@ -125,6 +126,16 @@ def test_scan_manifest_and_sql(spark, tmp_path):
     assert spark.sql("SELECT count(*) n FROM scanned, LATERAL media_boxes(content) b WHERE b.type = 'av1C'").first().n == 2
     spark.createDataFrame([(STREAM,)], "payload binary").createOrReplaceTempView("one_stream")
     assert spark.sql("SELECT t.size, av1_tile_ok(X'80', 0) ok FROM one_stream, LATERAL av1_tiles(payload) t").first() == (1, True)
+    one = lambda name, view="scanned", column="content": spark.sql(f"SELECT t.* FROM {view}, LATERAL {name}({column}) t")
+    want = {"media_meta": 2, "media_items": 2, "media_extents": 2, "media_item_props": 6, "media_properties": 6, "media_diagnostics": 0}
+    want |= dict.fromkeys(("av1_sequence_header", "av1_frame_header", "av1_tile_info", "av1_tile_groups", "av1_tiles", "av1_tile_probe"), 1) | {"av1_obus": 3}
+    for name, n in want.items():
+        got = one(name) if name.startswith("media") else one(name, "one_stream", "payload")
+        assert got.count() == n and got.columns == [f.name for f in _parse_datatype_string(sql.FUNCTIONS[name][0])], name
+    assert one("media_properties").where("type = 'ispe'").first().ispe.width == 64 and one("media_items").first().props[2].essential
+    assert one("media_extents").first().length == len(STREAM) and one("av1_tile_probe", "one_stream", "payload").first().status == "UNSUPPORTED"
+    sql.payload_view(spark, "scanned", "taken")
+    assert spark.sql("SELECT DISTINCT payload, status FROM taken").collect() == [(STREAM, "OK")]
 
 
 def test_arriving_files(spark, tmp_path):
