@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,10 +18,12 @@ from . import words
 from .store import bounded_batches, extended
 
 SLICE = 12 << 20
+#: Words whose ids a worker keeps, some 150 bytes each.
+KNOWN = 200_000
 #: Letters for which every Unicode version agrees; a piece of these alone, after one space or none, is one match.
 SIMPLE = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
-#: The pattern knows these as neither letters, digits nor white space.
-TAIL = ".,;:!?"
+#: ASCII signs but the apostrophe, as a class of a pattern: a run of them after letters is one match.
+SIGNS = r"!-&(-/:-@\[-`{-~"
 
 
 def byte_table() -> list[str]:
@@ -58,69 +61,64 @@ class ChunkEncoder:
 
     def _setup(self, whole, lengths: np.ndarray) -> None:
         self.whole, self.lengths = whole, lengths
+        self.known: dict[str, bytes] = {}
         table = byte_table()
         self.names = str.maketrans({chr(b): table[b] for b in range(256)})
         self.space = table[0x20]
-        self.tail = {c: self.whole.encode(c, add_special_tokens=False).ids for c in TAIL}
-        if any(len(x) != 1 for x in self.tail.values()):
-            self.tail = {}
-        self.tails = "".join(self.tail)
 
     def _trim(self, chunks: pa.Array) -> pa.Array:
         return chunks
 
     def _words(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that are one match each, and how many each has: the bytes of ids and words add up alike."""
-        tokenize, names, space = self.whole.model.tokenize, self.names, self.space
-        ids: list[int] = []
-        sizes = []
+        """Ids of words that are one match each, and how many each has. The first KNOWN different words of a worker are kept."""
+        tokenize, names, space, known = self.whole.model.tokenize, self.names, self.space, self.known
+        parts = []
         for w in words_:
-            if w.isascii():
-                sizes.append(len(w))
-                w = space + w[1:] if w[0] == " " else w
-            else:
-                utf8 = w.encode()
-                sizes.append(len(utf8))
-                w = utf8.decode("latin-1").translate(names)
-            ids += [t.id for t in tokenize(w)]
-        ids = np.array(ids, np.int32)
-        if not len(ids):
-            return ids, np.zeros(0, np.int64)
-        ends = np.cumsum(sizes)
-        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends), prepend=-1)
+            if (got := known.get(w)) is None:
+                if w.isascii():
+                    x = space + w[1:] if w[0] == " " else w
+                else:
+                    x = w.encode().decode("latin-1").translate(names)
+                got = array("i", [t.id for t in tokenize(x)]).tobytes()
+                if len(known) < KNOWN:
+                    known[w] = got
+            parts.append(got)
+        return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
 
     def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks on end, and each one's number of ids."""
+        """Ids of all chunks on end, and each one's number of ids. Chunks of letters, with or without signs after them, are words
+        and signs; the library does the others as they are."""
         n = len(chunks)
-        if self.tails:
-            tailed = pc.match_substring_regex(chunks, f"[{self.tails}]$")
-            base = pc.if_else(tailed, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
-            tailed = tailed.to_numpy(zero_copy_only=False)
-        else:
-            base, tailed = chunks, np.zeros(n, bool)
-        simple = pc.match_substring_regex(base, self.simple).to_numpy(zero_copy_only=False)
-        start, count, extra = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        easy = np.flatnonzero(simple)
+        plain = pc.match_substring_regex(chunks, self.simple).to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(~plain)
+        parts = pc.extract_regex(chunks.take(pa.array(others)), f"^(?P<word>{self.simple[1:-1]})(?P<signs>[{SIGNS}]+)$")
+        signed = parts.is_valid().to_numpy(zero_copy_only=False)
+        parts, marked = parts.filter(pa.array(signed)), others[signed]
+        start, count, after, more = (np.zeros(n, np.int64) for _ in range(4))
+        easy = np.concatenate([np.flatnonzero(plain), marked])
         ids = np.zeros(0, np.int32)
         if len(easy):
-            d = self._case(base.take(pa.array(easy))).dictionary_encode()
+            d = self._case(pa.concat_arrays([chunks.filter(pa.array(plain)), parts.field("word")])).dictionary_encode()
             ids, sizes = self._words(d.dictionary.to_pylist())
             code = d.indices.to_numpy()
             start[easy], count[easy] = (np.cumsum(sizes) - sizes)[code], sizes[code]
-        marks = np.flatnonzero(simple & tailed)
-        if len(marks):
-            extra[marks] = [self.tail[c][0] for c in pc.utf8_slice_codeunits(chunks.take(pa.array(marks)), -1).to_pylist()]
-        hard = np.flatnonzero(~simple)
+        if len(marked):
+            d = parts.field("signs").dictionary_encode()
+            signs, sizes = self._words(d.dictionary.to_pylist())
+            code = d.indices.to_numpy()
+            after[marked], more[marked] = (len(ids) + np.cumsum(sizes) - sizes)[code], sizes[code]
+            ids = np.concatenate([ids, signs])
+        hard = others[~signed]
         if len(hard):
             got = [e.ids for e in self.whole.encode_batch_fast(chunks.take(pa.array(hard)).to_pylist(), add_special_tokens=False)]
             count[hard] = [len(x) for x in got]
             start[hard] = len(ids) + np.cumsum(count[hard]) - count[hard]
             ids = np.concatenate([ids, np.array([i for x in got for i in x], np.int32)])
-        whole = count + (extra >= 0)
+        whole = count + more
         out = np.empty(int(whole.sum()), np.int32)
         begins = np.cumsum(whole) - whole
         out[_spread(begins, count)] = ids[_spread(start, count)]
-        out[(begins + count)[extra >= 0]] = extra[extra >= 0]
+        out[_spread(begins + count, more)] = ids[_spread(after, more)]
         return out, whole
 
     def _case(self, base: pa.Array) -> pa.Array:
