@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from ..bitio import Cursor, Malformed
+from . import reasons as why
 
 CONTAINERS = frozenset(b"moov trak mdia minf stbl edts udta moof traf meta iprp ipco".split())
 MAX_DEPTH = 64
@@ -18,22 +19,22 @@ def fourcc(raw: bytes) -> str:
 def box_header(data: bytes, at: int, end: int) -> dict[str, Any]:
     """The box at ``at`` within a parent that ends at ``end``; sizes are checked without wrapping."""
     if end - at < 8:
-        raise Malformed("truncated box header")
+        raise Malformed(why.BOX_HEADER_CUT)
     size, raw, header, uuid = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8, None
     if size == 1:
         if end - at < 16:
-            raise Malformed("truncated largesize")
+            raise Malformed(why.LARGE_SIZE_CUT)
         size, header = int.from_bytes(data[at + 8 : at + 16], "big"), 16
     elif size == 0:
         size = end - at
     if raw == b"uuid":
         if end - at < header + 16:
-            raise Malformed("truncated uuid")
+            raise Malformed(why.UUID_CUT)
         uuid, header = data[at + header : at + header + 16].hex(), header + 16
     if size < header:
-        raise Malformed(f"invalid box size={size} < header_size={header}")
+        raise Malformed(why.BOX_SIZE.format(size=size, header=header))
     if size > end - at:
-        raise Malformed("box overruns parent/file")
+        raise Malformed(why.BOX_OVERRUNS)
     return {"offset": at, "size": size, "header_size": header, "type_raw": raw, "type": fourcc(raw), "uuid": uuid}
 
 
@@ -51,7 +52,7 @@ def boxes(data: bytes, max_depth: int = MAX_DEPTH) -> tuple[list[dict[str, Any]]
             stack.append((at + box["size"], end, depth, parent))
             if box["type_raw"] == b"meta":
                 if box["size"] < box["header_size"] + 4:
-                    raise Malformed("meta too small for FullBox fields")
+                    raise Malformed(why.META_TOO_SMALL)
                 word = int.from_bytes(data[at + box["header_size"] : at + box["header_size"] + 4], "big")
                 box |= {"is_fullbox": True, "version": word >> 24, "flags": word & 0xFFFFFF, "header_size": box["header_size"] + 4}
             box |= {"payload_off": at + box["header_size"], "payload_len": box["size"] - box["header_size"]}
@@ -105,27 +106,27 @@ class Meta:
     def pitm(self, c: Cursor) -> None:
         version, _ = c.fullbox()
         if version > 1:
-            raise Malformed(f"unsupported pitm version={version}")
+            raise Malformed(why.PITM_VERSION.format(version=version))
         self.meta["primary_item_id"] = c.be(4 if version else 2, f"item_ID(v{version})")
 
     def iinf(self, c: Cursor) -> None:
         version, _ = c.fullbox()
         if version > 1:
-            raise Malformed(f"unsupported iinf version={version}")
+            raise Malformed(why.IINF_VERSION.format(version=version))
         count = c.be(4 if version else 2, f"entry_count(v{version})")
         for i in range(count):
             if c.at >= c.end:
-                raise Malformed(f"iinf: ran out of data before reading infe[{i}/{count}]")
+                raise Malformed(why.IINF_CUT.format(i=i, count=count))
             box = box_header(c.data, c.at, c.end)
             if box["type_raw"] != b"infe":
-                raise Malformed(f"iinf: expected infe box, got '{box['type']}'")
+                raise Malformed(why.IINF_CHILD.format(type=box['type']))
             self.infe(Cursor(c.data, c.at + box["header_size"], c.at + box["size"], "infe"))
             c.at += box["size"]
 
     def infe(self, c: Cursor) -> None:
         version, _ = c.fullbox()
         if version > 3:
-            self.warn(f"unsupported infe version={version} (skipping item metadata)", c.at)
+            self.warn(why.INFE_VERSION.format(version=version), c.at)
             return
         item = c.be(4 if version == 3 else 2, f"item_ID(v{version})")
         c.take(2, "item_protection_index")
@@ -138,12 +139,12 @@ class Meta:
         sizes = c.be(2, "size fields")
         offset_size, length_size, base_size, index_size = (sizes >> s & 15 for s in (12, 8, 4, 0))
         if version > 2:
-            raise Malformed(f"unsupported iloc version={version}")
+            raise Malformed(why.ILOC_VERSION.format(version=version))
         wide, v = (4, "v2") if version == 2 else (2, "v0/v1")
 
         def sized(n: int, what: str) -> int:
             if n > 8:
-                raise Malformed(f"read iloc {what} failed")
+                raise Malformed(why.ILOC_CUT.format(what=what))
             return c.be(n, what)
 
         for _ in range(c.be(wide, f"item_count({v})")):
@@ -185,7 +186,7 @@ class Meta:
         count = c.be(4, "entry_count")
         for _ in range(count):
             if version > 1:
-                raise Malformed(f"unsupported ipma version={version}")
+                raise Malformed(why.IPMA_VERSION.format(version=version))
             row = self.item(c.be(4 if version else 2, f"item_ID(v{version})"))
             for _ in range(c.be(1, "association_count")):
                 bits = 15 if flags & 1 else 7
@@ -220,9 +221,9 @@ def meta(data: bytes) -> dict[str, Any]:
             else:
                 at += box["size"]
         if found is None:
-            raise Malformed("no top-level 'meta' box found")
+            raise Malformed(why.NO_META)
         if found["size"] < found["header_size"] + 4:
-            raise Malformed("meta too small for FullBox fields")
+            raise Malformed(why.META_TOO_SMALL)
         for box, c in _children(data, at + found["header_size"] + 4, at + found["size"]):
             at = box["offset"]
             if box["type"] in m.CHILDREN:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from ..bitio import Bits, Malformed, Unsupported, floor_log2, leb128, tile_log2
+from . import reasons as why
 from .containers import problem
 
 #: Names by obu_type; others are reserved. Fixed by the AV1 specification.
@@ -25,18 +26,18 @@ def obus(data: bytes, types: tuple[int, ...] | None = None, first_only: bool = F
             start, head = at, data[at]
             at += 1
             if head & 0x80:
-                raise Malformed("OBU forbidden bit set")
+                raise Malformed(why.OBU_FORBIDDEN_BIT)
             if not head & 2:
-                raise Malformed("OBU has_size_field=0 (unsupported)")
+                raise Malformed(why.OBU_WITHOUT_SIZE)
             if head & 4:
                 if at >= len(data):
-                    raise Malformed("truncated OBU extension header")
+                    raise Malformed(why.OBU_EXTENSION_CUT)
                 at += 1
             if (sized := leb128(data, at)) is None:
-                raise Malformed("failed to read OBU size LEB128")
+                raise Malformed(why.OBU_SIZE)
             size, at = sized
             if size > len(data) - at:
-                raise Malformed("OBU payload overruns buffer")
+                raise Malformed(why.OBU_OVERRUNS)
             kind = head >> 3 & 15
             if types is None or kind in types:
                 out.append({"obu_no": no, "header_off": start, "payload_off": at, "obu_type": kind, "obu_type_name": OBU_NAMES[kind] if kind < len(OBU_NAMES) else "reserved", "has_extension": bool(head & 4), "payload_size": size})
@@ -52,7 +53,7 @@ def color_config(b: Bits, s: dict[str, Any]) -> None:
     s["high_bitdepth"] = b.f(1, "high_bitdepth")
     s["twelve_bit"] = b.f(1, "twelve_bit") if s["seq_profile"] == 2 and s["high_bitdepth"] else 0
     if s["seq_profile"] > 2:
-        raise Unsupported("unsupported seq_profile")
+        raise Unsupported(why.PROFILE)
     s["bit_depth"] = 12 if s["twelve_bit"] else 10 if s["high_bitdepth"] else 8
     s["monochrome"] = 0 if s["seq_profile"] == 1 else b.f(1, "mono_chrome")
     s["color_description_present"] = b.f(1, "color_description_present_flag")
@@ -169,7 +170,7 @@ def tile_info(b: Bits, s: dict, h: dict) -> dict[str, Any]:
         starts, at, widest = [], 0, 0
         while at < count:
             if len(starts) >= MAX_TILES:
-                raise Malformed(f"tile_{name} exceeds MAX_TILE_{name.upper()}")
+                raise Malformed(why.TILE_LIMIT.format(name=name, upper=name.upper()))
             step = b.ns(min(count - at, most), f"{what}_in_sbs_minus_1") + 1
             widest = max(widest, step)
             starts.append(at)
@@ -181,7 +182,7 @@ def tile_info(b: Bits, s: dict, h: dict) -> dict[str, Any]:
         row_starts, log_rows = even(rows, max(min_tiles - log_cols, 0), max_rows, "rows")
         for name, starts in (("cols", col_starts), ("rows", row_starts)):
             if len(starts) > MAX_TILES:
-                raise Malformed(f"tile_{name} exceeds MAX_TILE_{name.upper()}")
+                raise Malformed(why.TILE_LIMIT.format(name=name, upper=name.upper()))
     else:
         col_starts, widest = listed(cols, widest_allowed, "cols", "width")
         log_cols = tile_log2(1, len(col_starts))
@@ -193,7 +194,7 @@ def tile_info(b: Bits, s: dict, h: dict) -> dict[str, Any]:
         context = b.f(log_cols + log_rows, "context_update_tile_id")
         size_bytes = b.f(2, "tile_size_bytes_minus_1") + 1
         if context >= len(col_starts) * len(row_starts):
-            raise Malformed("invalid context_update_tile_id")
+            raise Malformed(why.CONTEXT_TILE)
     return {
         "tile_cols": len(col_starts), "tile_rows": len(row_starts), "tile_cols_log2": log_cols, "tile_rows_log2": log_rows, "tile_size_bytes": size_bytes, "context_update_tile_id": context, "uniform": uniform,
         "mi_col_starts": [x << shift for x in col_starts] + [h["mi_cols"]], "mi_row_starts": [x << shift for x in row_starts] + [h["mi_rows"]],
@@ -319,10 +320,10 @@ def frame_header(data: bytes, s: dict[str, Any], whole: bool) -> tuple[dict[str,
         raise Unsupported("unsupported: frame_id_numbers_present_flag " + ("with reduced still" if reduced else "for still-picture subset"))
     if not reduced:
         if b.f(1, "show_existing_frame"):
-            raise Unsupported("unsupported: show_existing_frame=1")
+            raise Unsupported(why.EXISTING_FRAME)
         h |= {"frame_type": b.f(2, "frame_type/show_frame"), "show_frame": b.f(1, "frame_type/show_frame")}
         if h["frame_type"] or not h["show_frame"]:
-            raise Unsupported("unsupported: expected KEY_FRAME with show_frame=1")
+            raise Unsupported(why.NOT_A_KEY_FRAME)
     h["disable_cdf_update"] = b.f(1, "disable_cdf_update")
     tools = s["seq_force_screen_content_tools"]
     h["allow_screen_content_tools"] = b.f(1, "allow_screen_content_tools") if tools == 2 else tools
@@ -331,7 +332,7 @@ def frame_header(data: bytes, s: dict[str, Any], whole: bool) -> tuple[dict[str,
     override = 0 if reduced else b.f(1, "frame_size_override_flag")
     b.f(s["order_hint_bits"], "order_hint")
     if s["decoder_model_info_present"] and b.f(1, "buffer_removal_time_present_flag"):
-        raise Unsupported("unsupported: buffer_removal_time_present_flag=1")
+        raise Unsupported(why.REMOVAL_TIME)
     _frame_size(b, s, h, override)
     same_width = h["upscaled_width"] == h["coded_width"]
     h["allow_intrabc"] = b.f(1, "allow_intrabc") if h["allow_screen_content_tools"] and same_width else 0
@@ -363,7 +364,7 @@ def tile_group(data: bytes, info: dict[str, Any]) -> tuple[dict[str, Any], list[
         bits = info["tile_cols_log2"] + info["tile_rows_log2"]
         first, last = b.f(bits, "tg_start/tg_end"), b.f(bits, "tg_start/tg_end")
         if not first <= last < count:
-            raise Malformed("invalid tg_start/tg_end")
+            raise Malformed(why.GROUP_BOUNDS)
     b.align(strict=True)
     at, tiles = b.pos // 8, []
     head = at
@@ -371,10 +372,10 @@ def tile_group(data: bytes, info: dict[str, Any]) -> tuple[dict[str, Any], list[
         if n < last:
             width = info["tile_size_bytes"]
             if at + width > len(data):
-                raise Malformed("truncated tile_size_minus_1")
+                raise Malformed(why.TILE_SIZE_CUT)
             size, at = int.from_bytes(data[at : at + width], "little") + 1, at + width
             if size > len(data) - at:
-                raise Malformed("tileSize exceeds remaining tile_group payload")
+                raise Malformed(why.TILE_OVERRUNS)
         else:
             size = len(data) - at
         tiles.append({"tile_num": n, "tile_row": n // info["tile_cols"], "tile_col": n % info["tile_cols"], "offset": at, "size": size})
@@ -397,20 +398,20 @@ def stream(data: bytes) -> dict[str, Any]:
             raise Malformed(notes[0]["message"])
         head = next((u for u in units if u["obu_type"] == 1), None)
         if head is None:
-            raise Malformed("no Sequence Header OBU found")
+            raise Malformed(why.NO_SEQUENCE_HEADER)
         at = head["payload_off"]
         out["sequence_header"] = s = sequence_header(part(head))
         stage = "m3b"
         frame = next((u for u in units if u["obu_type"] in FRAME_TYPES), None)
         if frame is None:
-            raise Malformed("no Frame Header OBU found")
+            raise Malformed(why.NO_FRAME_HEADER)
         at = frame["payload_off"]
         whole = frame["obu_type"] == 6
         h, info = frame_header(part(frame), s, whole)
         out["frame_header"], out["tile_info"] = {"obu_type": frame["obu_type"], **h}, info
         if whole:
             if h["header_bytes"] >= frame["payload_size"]:
-                raise Malformed("tile_group header exceeds payload")
+                raise Malformed(why.GROUP_OVERRUNS)
             groups = [(0, at + h["header_bytes"], frame["payload_size"] - h["header_bytes"])]
         else:
             later = [u for u in units if u["obu_no"] > frame["obu_no"] and u["obu_type"] == 4]

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import containers, entropy, streams
+from . import reasons as why
 
 PERMISSIVE, DROPMALFORMED, FAILFAST = "PERMISSIVE", "DROPMALFORMED", "FAILFAST"
 
@@ -172,25 +173,25 @@ def payloads(files: DataFrame, compat: str = "m1", carry: tuple[str, ...] = ())
     e_sum = lambda e: e["offset"].cast("decimal(21,0)") + e["length"]
 
     def broken(e):
-        m1 = F.when(e["ext_index"].isNotNull(), F.lit("extent_index present (unsupported in m1)")) if compat == "m1" else F.when(F.lit(False), F.lit(""))
+        m1 = F.when(e["ext_index"].isNotNull(), F.lit(why.EXTENT_INDEX)) if compat == "m1" else F.when(F.lit(False), F.lit(""))
         return (
-            m1.when(e["length"] == 0, "extent length=0 (unsupported in m1)")
-            .when((method == 1) & idat.isNull(), "construction_method=1 but no idat box found")
-            .when((method == 1) & (e["offset"] > idat), "idat extent offset out of range")
-            .when((method == 1) & (e_sum(e) > idat), "idat extent overruns idat payload")
-            .when(base + e_sum(e) > size, "extent overruns file")
+            m1.when(e["length"] == 0, why.EXTENT_LENGTH)
+            .when((method == 1) & idat.isNull(), why.NO_IDAT)
+            .when((method == 1) & (e["offset"] > idat), why.IDAT_OFFSET)
+            .when((method == 1) & (e_sum(e) > idat), why.IDAT_OVERRUNS)
+            .when(base + e_sum(e) > size, why.EXTENT_OVERRUNS)
         )
 
     extents = F.col("item.extents")
     reason = (
         F.when(F.col("meta.status") != "OK", F.col("meta.reason"))
-        .when(F.col("meta.primary_item_id").isNull(), "no primary item")
-        .when(i.isNull(), "primary item not found")
-        .when(~F.col("item.item_type").eqNullSafe("av01"), "primary item is not a coded 'av01' item")
-        .when(~F.col("item.has_iloc") | (F.size(extents) == 0), "primary item has no iloc extents")
-        .when(F.col("item.data_reference_index") != 0, F.format_string("primary item uses external data_reference_index=%d (unsupported)", F.col("item.data_reference_index")))
-        .when(method == 2, "iloc construction_method=2 (item-based construction) unsupported")
-        .when(method > 1, F.format_string("iloc construction_method=%d unsupported", method))
+        .when(F.col("meta.primary_item_id").isNull(), why.NO_PRIMARY)
+        .when(i.isNull(), why.PRIMARY_MISSING)
+        .when(~F.col("item.item_type").eqNullSafe("av01"), why.PRIMARY_TYPE)
+        .when(~F.col("item.has_iloc") | (F.size(extents) == 0), why.NO_EXTENTS)
+        .when(F.col("item.data_reference_index") != 0, F.format_string(why.EXTERNAL_DATA, F.col("item.data_reference_index")))
+        .when(method == 2, why.ITEM_BASED)
+        .when(method > 1, F.format_string(why.METHOD, method))
         .otherwise(F.try_element_at(F.filter(F.transform(extents, broken), lambda r: r.isNotNull()), F.lit(1)))
     )
     piece = lambda e: F.substring(F.col("content"), (base + e["offset"]).cast("int") + 1, e["length"].cast("int"))
@@ -205,7 +206,7 @@ def _one_header(units: list[dict[str, Any]], notes: list[dict[str, Any]]) -> str
     if notes:
         return notes[0]["message"]
     n = sum(u["obu_type"] == 1 for u in units)
-    return None if n == 1 else f"expected exactly 1 Sequence Header OBU, got {n}"
+    return None if n == 1 else why.SEQUENCE_HEADERS.format(n=n)
 
 
 def payload_checks(payloads_: DataFrame) -> DataFrame:
