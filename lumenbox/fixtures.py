@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .operators.coefficients import BLOCK_TABLES, COEFF_TABLES
+from .operators.syntax import DELTA_CDF as DELTA
 from .operators.syntax import MODE_TABLES, PARTITION_CDFS
 from .operators.syntax import SKIP_CDFS as SKIP
 
@@ -151,7 +152,7 @@ def obu(kind: int, payload: bytes) -> bytes:
     return bytes([kind << 3 | 2]) + leb128(len(payload)) + payload
 
 
-def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool = True, high: int = 0, twelve: int = 0, mono: int = 0, sx: int = 1, sy: int = 1, use_128: int = 0, superres: int = 0, bits: int = 16, screen: int = 0, grain: int = 0, separate: int = 0) -> bytes:
+def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool = True, high: int = 0, twelve: int = 0, mono: int = 0, sx: int = 1, sy: int = 1, use_128: int = 0, superres: int = 0, bits: int = 16, screen: int = 0, grain: int = 0, separate: int = 0, cdef: int = 0) -> bytes:
     """The payload of a sequence header."""
     b = BitWriter().f(profile, 3).f(1, 1).f(int(reduced), 1)
     if reduced:
@@ -167,7 +168,7 @@ def sequence(width: int = 64, height: int = 64, profile: int = 0, reduced: bool
         b.f(0, 1).f(screen, 1)  # screen content tools are forced to ``screen``
         if screen:
             b.f(1, 1)
-    b.f(superres, 1).f(0, 2)
+    b.f(superres, 1).f(cdef, 1).f(0, 1)
     b.f(high, 1)
     if profile == 2 and high:
         b.f(twelve, 1)
@@ -436,6 +437,87 @@ def divided_tile(kinds: list[int], first_mode: int, first_only: bool = False) ->
     return w.bytes()
 
 
+def _change(w: SymbolWriter, value: int) -> None:
+    size = abs(value)
+    w.symbol(min(size, 3), DELTA)
+    if size >= 3:
+        n = (size - 1).bit_length() - 1
+        w.literal(n - 1, 3).literal(size - 1 - (1 << n), n)
+    if size:
+        w.literal(int(value < 0), 1)
+
+
+def _single(w: SymbolWriter, t: dict[str, Any], points: str, row: tuple[int, ...], q: int, large: int, plane: int, level: int, balance: int) -> None:
+    """A block of one coefficient, of at most 2 and of either sign."""
+    cdf = t[points][q]
+    for i in row:
+        cdf = cdf[i]
+    w.symbol(0, cdf).symbol(abs(level) - 1, t["coeff_base_eob"][q][large][plane][0]).symbol(int(level < 0), t["dc_sign"][q][plane][0 if not balance else 1 if balance < 0 else 2])
+
+
+def colour_tile(blocks: list[dict[str, int]], q_change: int, filter_change: int) -> bytes:
+    """Four blocks of 32x32 with chroma of half its sides, segments of eight, an index of the directional filter, and changes of
+    quantizer and loop filter before the first block. A block has skip, segment, cdef, y_mode, uv_mode, signs, alpha, y and u
+    (levels of -2 to 2); a skipped one takes the segment that is predicted."""
+    w, t = SymbolWriter(), distributions()
+    w.symbol(3, PARTITION_64[0])
+    skip: dict[tuple[int, int], int] = {}
+    segment: dict[tuple[int, int], int] = {}
+    edge: dict[tuple[str, int], int] = {}
+    filtered = False
+    for i, b in enumerate(blocks):
+        r, c = divmod(i, 2)
+        w.symbol(0, PARTITION_32[0]).symbol(b["skip"], SKIP[skip.get((r - 1, c), 0) + skip.get((r, c - 1), 0)])
+        skip[r, c] = b["skip"]
+        above, left, corner = segment.get((r - 1, c)), segment.get((r, c - 1)), segment.get((r - 1, c - 1))
+        guess = 0 if above is None and left is None else above if left is None or (above is not None and corner == above) else left
+        segment[r, c] = guess
+        if not b["skip"]:
+            context = 0 if corner is None else 2 if corner == above == left else int(corner in (above, left) or above == left)
+            order = sorted(range(8), key=lambda s: (abs(s - guess), s < guess)) if 0 < guess < 7 else [*range(8)] if not guess else [*range(7, -1, -1)]
+            w.symbol(order.index(b["segment"]), t["segment_id"][context])
+            segment[r, c] = b["segment"]
+            if not filtered:
+                w.literal(b["cdef"], 2)
+                filtered = True
+        if not i:
+            _change(w, q_change)
+            _change(w, filter_change)
+        w.symbol(b["y_mode"], t["y_mode"][3])
+        if b["skip"]:
+            continue
+        if 1 <= b["y_mode"] <= 8:
+            w.symbol(3, t["angle_delta"][b["y_mode"] - 1])
+        w.symbol(b["uv_mode"], t["uv_mode_cfl"][b["y_mode"]])
+        if b["uv_mode"] == 13:
+            w.symbol(b["signs"], t["cfl_sign"][0])
+            for sign, row in ((lambda u, v: ((u, 3 * (u - 1) + v), (v, 3 * (v - 1) + u)))(*divmod(b["signs"] + 1, 3))):
+                if sign:
+                    w.symbol(b["alpha"], t["cfl_alpha"][row])
+        if 1 <= b["uv_mode"] <= 8:
+            w.symbol(3, t["angle_delta"][b["uv_mode"] - 1])
+        w.symbol(0, t["tx_depth_32"][0])
+        for name, level, points, row, large, plane in (("y", b["y"], "eob_pt_1024", (0,), 3, 0), ("u", b["u"], "eob_pt_256", (1, 0), 2, 1), ("v", 0, "", (), 2, 1)):
+            known = edge.get((f"{name} above", c), 0), edge.get((f"{name} left", r), 0)
+            w.symbol(int(level == 0), t["txb_skip"][2][large][7 + sum(map(bool, known)) if plane else 0])
+            if level:
+                _single(w, t, points, row, 2, large, plane, level, sum(known))
+                edge[f"{name} above", c] = edge[f"{name} left", r] = 1 if level > 0 else -1
+    return w.bytes()
+
+
+def colour_stream(tile: bytes) -> bytes:
+    """A 64x64 picture of one tile whose eight segments raise the quantizer of 100 by two each, with all that colour_tile writes."""
+    b = frame()
+    b.f(100, 8).f(0, 3).f(0, 1).f(1, 1)  # no deltas, no qmatrix, segments
+    for i in range(8):
+        b.f(1, 1).f(2 * i, 9).f(0, 7)
+    b.f(1, 1).f(1, 2).f(1, 1).f(0, 2).f(0, 1)  # changes of the quantizer in steps of two, of one filter level in steps of one
+    b.f(0, 12).f(0, 4).f(0, 2).f(2, 2).f(0, 48)  # loop filter off, four strengths of the directional filter
+    b.f(1, 1).f(0, 1)
+    return obu(1, sequence(64, 64, cdef=1)) + obu(6, b.bytes() + tile)
+
+
 def syntax_stream(tile: bytes) -> bytes:
     """A 64x64 picture without chroma of one tile, quantizer 100, transform sizes selected by block."""
     head = frame(tail=True, mono=True)

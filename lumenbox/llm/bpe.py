@@ -262,7 +262,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """(id, n_tokens, ids_sha256 of the decimal ids with commas, decoded_sha256 of the bytes that the ids decode to).
 
     As ``decode(encode(docs))`` and the digests of both, in one Python step: a second step would have each task hold a
-    second worker with a vocabulary of its own.
+    second worker with a vocabulary of its own. Null and empty texts have no ids, and the digests of nothing; ids of rows, repeated
+    or null, go through as they are; an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
 

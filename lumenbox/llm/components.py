@@ -51,25 +51,40 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array([r for r, _ in stars], pa.int64()), "b": pa.array([x for _, x in stars], pa.int64())})
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Links up to which no node can have more than one task takes.
+PLAIN_LINKS = 1_000_000
+
+
+def _with_least(rows: DataFrame, few: bool) -> DataFrame:
+    """Rows (x, y) with m, the least y of their x. A node that many rows have is spread over all tasks."""
+    if few:
+        return rows.join(rows.groupBy("x").agg(F.min("y").alias("m")), "x")
+    least = save(rows.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")), "least")
+    return spread_join(rows, least, "x", "n", F.xxhash64("y")).drop("n")
+
+
+def components(links: DataFrame, rounds: int = 60, plain: int = PLAIN_LINKS) -> DataFrame:
     """(node, component) of all nodes in ``links`` (a, b): the smallest node reachable, itself included.
 
     Loops, repeated links and either direction are allowed; a link with a null end is no link. Each round is
-    two map-side-combined minima and two joins that adaptive execution can split at a hot star centre; its
-    result is written to the shared folder. Links never reach the driver, only a count and a checksum.
+    two map-side-combined minima and two joins; its result is written to the shared folder. Beyond ``plain`` links a node
+    may have more than a task should take: the rows of such nodes, as the centre of a large star, go to all tasks.
+    Links never reach the driver, only a count and a checksum.
     """
     edges = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b")
     edges = save(edges.mapInArrow(_contract, EDGE).distinct(), "links")
-    seen = None
+    check = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = check(edges)
     for _ in range(rounds):
+        few = seen[0] <= plain
         both = edges.select(F.col("b").alias("x"), F.col("a").alias("y")).union(edges.select(F.col("a").alias("x"), F.col("b").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a"))
+        large = _with_least(both, few).where("y > x").select(F.col("y").alias("x"), F.least("x", "m").alias("y")).where("x <> y").distinct()
+        if not few:
+            large = save(large, "large-stars")
+        small = _with_least(large, few).select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a"))
         before, edges = edges, save(small.where("a < b").select("a", "b").distinct(), "stars")
-        forget(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(before, *([] if few else [large]))
+        now = check(edges)
         if now == seen:
             break
         seen = now

@@ -209,7 +209,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     Documents are range-partitioned and sorted by id (nulls first, ties by text); each task rolls its file after
     about two million ids. A file counts once the manifest, which is written when all are there, names it; what
-    a lost attempt left has another name and is never read.
+    a lost attempt left has another name and is never read. Null texts count as empty and have the end id only; rows that
+    repeat an id are documents of their own; an empty table makes no file and an empty manifest; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     folder = folder or new_folder(docs.sparkSession, "ids")
@@ -247,7 +248,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32 and, if asked for, ids: little-endian unsigned 32-bit integers) from the files."""
+    """(doc_id, start, n_tokens, ids_crc32 and, if asked for, ids: little-endian unsigned 32-bit integers) from the files: a row
+    a document, in no order; null ids come back null, and an empty manifest gives no rows. A damaged file is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

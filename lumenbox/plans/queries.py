@@ -331,6 +331,31 @@ def tile_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(_key("p_partkey"), "block_no", "b.r", "b.c", "b.skip", "b.y_mode", "b.angle_delta_y", t["all_zero"].alias("all_zero"), t["dc"].alias("dc"), t["cul_level"].alias("cul_level"), "status")
 
 
+def _colour(p_partkey: int, p_size: int) -> bytes:
+    k, n = p_partkey, p_size
+    blocks = [{"skip": int((k + i) % 3 == 0), "segment": (k // 2 + 3 * i) % 8, "cdef": k % 4, "y_mode": (k + 4 * i + n) % 13, "uv_mode": (3 * k + i + n) % 14, "signs": (k + i) % 8, "alpha": (n + i) % 16, "y": (k + i) % 5 - 2, "u": (k // 5 + i) % 5 - 2} for i in range(4)]
+    return fx.colour_stream(fx.colour_tile(blocks, k % 41 - 20, n % 9 - 4))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part), f AS (
+            SELECT k, n, [CAST((k + i) % 3 = 0 AS INTEGER) FOR i IN range(4)] AS s, [(k // 2 + 3 * i) % 8 FOR i IN range(4)] AS w FROM p), a AS (
+            SELECT *, CASE WHEN s[1] = 1 THEN 0 ELSE w[1] END AS s0 FROM f), b AS (
+            SELECT *, CASE WHEN s[2] = 1 THEN s0 ELSE w[2] END AS s1, CASE WHEN s[3] = 1 THEN s0 ELSE w[3] END AS s2 FROM a), c AS (
+            SELECT *, [s0, s1, s2, CASE WHEN s[4] = 0 THEN w[4] WHEN s0 = s1 THEN s1 ELSE s2 END] AS seg FROM b), e AS (
+            SELECT k, n, i, s[i + 1] AS skip, seg[i + 1] AS segment, list_position(s, 0) = i + 1 AS first_coded, (k + 4 * i + n) % 13 AS y, (3 * k + i + n) % 14 AS uv, (k + i) % 8 + 1 AS joint FROM c, unnest(range(4)) AS u(i))
+          SELECT k AS p_partkey, 'OK' AS status, CAST(i AS INTEGER) AS block_no, CAST(skip AS INTEGER) AS skip, CAST(segment AS INTEGER) AS segment_id, CAST(100 + 2 * segment AS INTEGER) AS qindex, CAST(CASE WHEN first_coded THEN k % 4 END AS INTEGER) AS cdef,
+                 CAST(CASE WHEN i = 0 THEN 100 + 2 * (k % 41 - 20) END AS INTEGER) AS current_qindex, CAST(CASE WHEN i = 0 THEN n % 9 - 4 END AS INTEGER) AS filter, CAST(y AS INTEGER) AS y_mode, CAST(CASE WHEN skip = 0 THEN uv END AS INTEGER) AS uv_mode,
+                 CAST(CASE WHEN skip = 0 AND uv = 13 THEN CASE joint // 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 1 END * ((n + i) % 16 + 1) END AS INTEGER) AS cfl_alpha_u, CAST(CASE WHEN skip = 0 AND uv = 13 THEN CASE joint % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 1 END * ((n + i) % 16 + 1) END AS INTEGER) AS cfl_alpha_v,
+                 CAST(CASE WHEN skip = 0 AND (k + i) % 5 <> 2 THEN (k + i) % 5 - 2 END AS INTEGER) AS luma, CAST(CASE WHEN skip = 0 AND (k // 5 + i) % 5 <> 2 THEN (k // 5 + i) % 5 - 2 END AS INTEGER) AS chroma, CAST(CASE WHEN skip = 0 THEN 3 ELSE 0 END AS INTEGER) AS transforms FROM e""")
+def tile_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tiles with chroma, segments, filter indexes, changes of quantizer and filter, and chroma from luma."""
+    s = tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), _colour, "p_partkey", "payload"), keep_content=True)
+    b = probe.tile_probe(s, fx.distributions(), whole=True, blocks=True).select("path", "status", F.posexplode("blocks").alias("block_no", "b"))
+    level = lambda i: F.try_element_at("b.tx", F.lit(i))["dc"]
+    names = ("skip", "segment_id", "qindex", "cdef", "current_qindex", "y_mode", "uv_mode", "cfl_alpha_u", "cfl_alpha_v")
+    return b.select(_key("p_partkey"), "status", "block_no", *[F.col(f"b.{c}") for c in names], F.try_element_at("b.filter", F.lit(1)).alias("filter"), level(1).alias("luma"), level(2).alias("chroma"), F.size("b.tx").alias("transforms"))
+
+
 def _divided(spark: SparkSession, sf_dir: str) -> tables.StreamTables:
     make = lambda p_partkey, p_size: fx.syntax_stream(fx.divided_tile([p_partkey % 9, p_size % 9, p_partkey // 9 % 9, p_size // 9 % 9], p_partkey))
     return tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey", "payload"), keep_content=True)
