@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import forget, save
@@ -12,31 +12,49 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, STEP = 48, 12
 
 
+def _ahead(rows: DataFrame, order: list[Column], **sums: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with, by new name, the sum of a column over all rows before a row in ``order``; and the saved table behind them.
+
+    Rows are put in order by ranges; sums run within a range, and those of the ranges before, of which there are as many as
+    partitions, are added. No task sees more than a range.
+    """
+    placed = save(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    whole = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select(F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()])
+    out = out.join(starts, out["__range"] == starts["__r"]).select(*rows.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+    return out, placed
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """(source, source_size, target) from (source, source_size): weights repeat over the sources by code point,
     null last; all words are shared by weight, a target stops at ``most`` times its source's size and the excess
     is shared anew by weight until none is above.
 
     Sources sorted by size over weight reach their caps in that order, so the first that stays below its cap at
-    the level of what is left over gives the level for all after it: one ordered pass over one row a source.
-    All sums are integers, a target is one division.
+    the level of what is left over gives the level for all after it. Sources may be many, such as hosts: they are
+    ordered by ranges, and one row reaches the driver. All sums are integers, a target is one division.
     """
-    ranked = sizes.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    order = Window.orderBy((F.col("source_size") / F.col("w")), "w", F.col("source").asc_nulls_last())
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    behind = order.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    t = (
-        ranked.withColumn("cap", F.col("source_size") * most)
-        .withColumn("rest", F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(ahead), F.lit(0)))
-        .withColumn("w_rest", F.sum("w").over(behind))
-        .withColumn("below", F.col("rest") * F.col("w") <= F.col("cap") * F.col("w_rest"))
-        .withColumn("level", F.min(F.when(F.col("below"), F.struct("cap", "w", "source", "rest", "w_rest"))).over(whole))
-    )
-    first = F.first(F.when(F.col("below"), F.struct("rest", "w_rest")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    under = F.coalesce(F.max(F.col("below").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1
-    t = t.withColumn("first", first).withColumn("under", under)
-    return t.select("source", "source_size", F.when(F.col("under"), (F.col("w") * F.col("first.rest")).cast("double") / F.col("first.w_rest").cast("double")).otherwise(F.col("cap").cast("double")).alias("target"))
+    ranked, a = _ahead(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], at="one")
+    w = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("at") % len(weights) + 1).cast("int")).cast("long")
+    ranked = ranked.withColumn("w", w).withColumn("ratio", F.col("source_size") / F.col("w")).withColumn("cap", F.col("source_size") * most).drop("one", "at")
+    # nulls last among equals, as a pair that can be compared
+    ranked = ranked.withColumn("none", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
+    place = ["ratio", "w", "none", "name"]
+    t, b = _ahead(ranked, [F.col(c).asc() for c in place], caps="cap", ws="w")
+    words, all_w = (x or 0 for x in ranked.agg(F.sum("source_size"), F.sum("w")).first())
+    t = save(t.withColumn("rest", F.lit(words) - F.col("caps")).withColumn("w_rest", F.lit(all_w) - F.col("ws")), "levels")
+    forget(a, b)
+    first = t.where(F.col("rest") * F.col("w") <= F.col("cap") * F.col("w_rest")).agg(F.min(F.struct(*place, "rest", "w_rest"))).first()[0]
+    target = F.col("cap").cast("double")
+    if first is not None:
+        under = F.struct(*place) >= F.struct(*[F.lit(first[c]).cast(t.schema[c].dataType).alias(c) for c in place])
+        target = F.when(under, (F.col("w") * F.lit(first["rest"])).cast("double") / F.lit(float(first["w_rest"]))).otherwise(target)
+    out = t.select("source", "source_size", target.alias("target"))
+    out._tables = t._tables
+    return out
 
 
 def _random(id_col: str, text_col: str, seed: str):
@@ -86,7 +104,8 @@ def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     """(s, c, source_size, target, whole, pi, left, edge, edge_in): one row a source and length class c, from
     (source, size, v, u) of all rows."""
     classes = save(each.groupBy("source", "v").agg(F.sum("size").alias("words")), "classes")
-    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("source", "t")
+    each_target = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    targets = each_target.withColumnRenamed("source", "t")
     plan = _expected(classes.join(targets, classes["source"].eqNullSafe(targets["t"])).drop("t"), most)
     plan = plan.withColumn("whole", F.least(F.floor("lam"), F.lit(most)).cast("long")).withColumn("pi", F.col("lam") - F.col("whole"))
     plan = plan.withColumn("left", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))).drop("words", "lam")
@@ -114,7 +133,7 @@ def _decisions(each: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     include = F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("left") - F.col("before"))
     edge = found.select(F.col("source").alias("e_source"), F.col("at").alias("edge"), include.alias("edge_in"))
     out = save(plan.join(edge, plan["source"].eqNullSafe(edge["e_source"]), "left").drop("e_source").withColumnRenamed("source", "s").withColumnRenamed("v", "c"), "decisions")
-    forget(classes, plan, *ranks)
+    forget(classes, each_target, plan, *ranks)
     return out
 
 

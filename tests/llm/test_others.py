@@ -272,6 +272,7 @@ def test_odd_vectors(spark):
 def test_tables_are_removed(spark):
     """What an operator leaves behind is what its result reads, and the result can be read again."""
     root = store.shared_root(spark).removeprefix("file:")
+    os.makedirs(f"{root}/lumenbox", exist_ok=True)
     left = lambda: {n.rpartition("-")[0] for n in os.listdir(f"{root}/lumenbox")}
     for n in os.listdir(f"{root}/lumenbox"):
         if not n.startswith("files"):
@@ -436,6 +437,24 @@ def test_longer_documents_are_likelier(spark):
         assert copies[s, 200] / copies[s, 3] == pytest.approx(8 / 2, rel=0.1) or copies[s, 200] == 3
 
 
+def test_targets_of_many_sources(spark):
+    """Sources in several ranges, against plain sharing round by round."""
+    rng = random.Random(8)
+    sizes = {f"host{rng.randrange(10**9)}": rng.choice([0, 1, 5, 40, 900]) for _ in range(500)} | {None: 77, "": 3}
+    got = {r.source: (r.source_size, r.target) for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    capped = set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left, all_w = sum(sizes.values()) - 3 * sum(sizes[s] for s in capped), sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * left > 3 * sizes[s] * all_w}
+        if not over:
+            break
+        capped |= over
+    assert got == {s: (sizes[s], 3.0 * sizes[s] if s in capped else float(weight[s] * left) / float(all_w)) for s in order}
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randrange(40)), rng.choice(["a", "b", "b", "b", "b", "é", "Z", None])) for i in range(4000)]

@@ -47,6 +47,40 @@ def test_pipeline(spark):
     assert ids(last) == ids(out["mixing"])
 
 
+def _through(spark, docs, folder):
+    """Each stage's rows in turn, and the last one's; every table is written and read again."""
+    out = []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, DATA)
+        if n < len(corpus_pipeline.STAGES) - 1:
+            docs.write.parquet(f"{folder}/{n}")
+            docs = spark.read.parquet(f"{folder}/{n}")
+        out.append(docs)
+    return out
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, a very long text, and columns named like those that the stages make."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    rows = [(None, None, None), (None, "a text without an id", None), (1, "", "a"), (2, None, "a"), (3, near * 3, "a"), (4, near * 3 + "x", "b"), (3, near * 3, "a"), (5, "word " * 200_000, "a"), (6, "a text without an id", "b"), (7, "Ünïcode ‘text’", None)]
+    more = {c: 777 for c in ("score", "predicted", "row", "body", "id", "y", "x", "h", "key", "u", "v", "s", "c", "owner", "cid", "rid", "n", "source_size", "__row", "__source", "__u", "__scored")}
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in more)
+    docs = spark.createDataFrame([(*r, *more.values()) for r in rows], schema)
+    *kept, last = _through(spark, docs, tmp_path)
+    for d in kept:
+        assert d.columns == docs.columns and d.where(" or ".join(f"{c} <> 777" for c in more)).count() == 0
+    exact = {(r.doc_id, r.text) for r in kept[1].select("doc_id", "text").collect()}
+    toxic = {(r.doc_id, r.text) for r in kept[0].select("doc_id", "text").collect()}
+    assert {i for i, _ in exact} == {i for i, _ in toxic if i not in (2, None)} or not {1, 2, 6} <= {i for i, _ in toxic}
+    assert {r.doc_id for r in kept[2].collect()} == {i for i, _ in exact} - ({4} if {3, 4} <= {i for i, _ in exact} else set())
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == kept[3].count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    assert [d.count() for d in _through(spark, docs, tmp_path)] == [0] * 5
+
+
 def test_sources_do_not_reach_in():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for top, _, names in os.walk(os.path.join(here, "lumenbox")):
