@@ -15,14 +15,16 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine does not call toxic; it learns from the labels of documents that came."""
+    """Documents that the factorization machine does not call toxic; it learns from the labels of documents that came. Null texts
+    are scored as empty; rows that repeat a text share its fate; ids may be null; columns of any name go through."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     return toxicity.score(whole, machine).where("predicted = 0").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id."""
+    """Of equal texts the row with the smallest doc_id, null and empty texts being equal; a null id stays where no row of its
+    text has an id."""
     return exact_dedup.drop_exact_duplicates(docs).select(*docs.columns)
 
 
@@ -34,12 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, by its own id and source; a null source is one of its own."""
     return mixing.mixture(docs)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of the mix."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of the mix, repeated as it is; a null text has no ids."""
     return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
 
 
@@ -56,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each but the last written to the shared folder and read again. An empty table goes through all."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}-{uuid.uuid4().hex[:6]}")
