@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, embeddings, exact_dedup, line_dedup, mixing, ngram_join, pii, repair, toxicity, warc
 from .store import table
