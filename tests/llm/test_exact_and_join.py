@@ -186,8 +186,8 @@ def test_components(spark):
             up[a] |= up[b]
             for x in up[b]:
                 up[x] = up[a]
-    edges += [(1000 + i, 9000) for i in range(2500)]  # a hub that is the largest of its star
-    want = {x: min(s) for x, s in up.items() if len(s) > 1} | {x: 1000 for x in (*range(1000, 3500), 9000)}
+    edges += [(20_000 + i, 30_000) for i in range(2500)]  # a hub that is the largest of its star
+    want = {x: min(s) for x, s in up.items() if len(s) > 1} | {x: 20_000 for x in (*range(20_000, 22_500), 30_000)}
     for plain in (1_000_000, 0):
         got = {r.node: r.component for r in components(spark.createDataFrame(edges + [(None, 3)], "a long, b long"), plain=plain).collect()}
         assert got == want
