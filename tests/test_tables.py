@@ -168,13 +168,14 @@ def test_rollup_and_timings(spark):
     assert containers.av1c(bytes.fromhex("81000c1f"))["ipd_minus_one"] == 15
 
 
-def test_all_orders_are_tiled(spark):
-    """Whole lineitem, of every number of lines, and orders without lines."""
-    lines, orders = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("lineitem", "orders"))
-    assert queries.tiles_whole(spark, DATA).count() == lines.count()
-    n = {r.count_class: r.files for r in queries.tiles_per_file_whole(spark, DATA).collect()}
-    keys = lines.select("l_orderkey").union(orders.select("o_orderkey")).distinct().count()
-    assert sum(n.values()) == keys and {"1", "2-4", "5-16"} <= set(n)
+def test_all_rows_are_tiled(spark):
+    """Whole lineitem, of every number of lines; files of no tile and of many; all classes."""
+    lines, parts = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("lineitem", "part"))
+    assert queries.tiles(spark, DATA).count() == lines.count()
+    n = {r.count_class: r.files for r in queries.tiles_per_file(spark, DATA).collect()}
+    assert sum(n.values()) == parts.count() and set(n) == {"1", "2-4", "5-16", ">16"}
+    sizes = {r.size_class: r.tiles for r in queries.tile_size_histogram(spark, DATA).collect()}
+    assert sum(sizes.values()) == lines.count() and len(sizes) == 6
 
 
 def test_layouts_of_any_count():
