@@ -55,6 +55,19 @@ class Machine:
     index: np.ndarray  #: for each bucket the row of its weight and factors, -1 for none
     weight: np.ndarray
     factors: np.ndarray
+    rows: int = 0  #: fitted
+    terms: int = 0  #: in those rows
+
+    def to_row(self) -> dict[str, object]:
+        bucket = np.flatnonzero(self.index >= 0)
+        return {"bias": self.bias, "bucket": bucket.astype("<i4").tobytes(), "weight": self.weight.astype("<f8").tobytes(), "factors": self.factors.astype("<f8").tobytes(), "rows": self.rows, "terms": self.terms}
+
+    @classmethod
+    def from_row(cls, r: dict[str, object]) -> Machine:
+        bucket, weight = np.frombuffer(r["bucket"], "<i4"), np.frombuffer(r["weight"], "<f8")
+        index = np.full(1 << BITS, -1, np.int32)
+        index[bucket] = np.arange(len(bucket))
+        return cls(r["bias"], index, weight, np.frombuffer(r["factors"], "<f8").reshape(len(weight), -1), r["rows"], r["terms"])
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         return _raw(self.bias, self.weight, self.factors, *_csr([self._known(x) for x in rows]), len(rows))[0]
@@ -88,10 +101,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 6, r
     and factors: the sample alone bounds them. All are learnt, those faster that say something of the label by
     themselves (by chi-square), as most words say nothing of toxicity, and a long text holds many."""
     n, pos = len(rows), float(y.sum())
-    index = np.full(1 << BITS, -1, np.int64)
+    index, terms = np.full(1 << BITS, -1, np.int32), sum(map(len, rows))
     if not n or pos == 0 or pos == n:
         rate_ = (pos + 0.5) / (n + 1)
-        return Machine(float(np.log(rate_ / (1 - rate_))), index, np.zeros(1), np.zeros((1, rank)))
+        return Machine(float(np.log(rate_ / (1 - rate_))), index, np.zeros(1), np.zeros((1, rank)), n, terms)
     seen, with_pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for x, t in zip(rows, y, strict=True):
         seen[x] += 1  # a row's buckets are distinct
@@ -102,10 +115,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 6, r
     expected = seen[chosen] * pos / n
     chi = (with_pos[chosen] - expected) ** 2 * (1 / expected + 1 / (seen[chosen] - expected))
     pace = chi**2 / (chi**2 + PACE**2) + SLOWEST
-    known = [(i := index[x])[i >= 0] for x in rows]
-    sizes = np.array([len(x) for x in known])
-    flat, begin = np.concatenate(known).astype(np.int32), np.cumsum(sizes) - sizes
-    del known
+    sizes = np.array([np.count_nonzero(index[x] >= 0) for x in rows])
+    flat, begin = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+    for x, at, size in zip(rows, begin.tolist(), sizes.tolist(), strict=True):
+        i = index[x]
+        flat[at : at + size] = i[i >= 0]
     rng = np.random.default_rng(seed)
     m = len(chosen)
     w, v, b = np.zeros(m), rng.normal(0, 0.02, (m, rank)) * pace[:, None], float(np.log(pos / (n - pos)))
@@ -130,7 +144,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 6, r
                 dv = np.bincount(c, each * (sums[r, f] - v[c, f]), m)[u] + 1e-4 * v[u, f]
                 gv[u, f] += dv**2
                 v[u, f] -= 0.3 * rate * pace[u] * dv / np.sqrt(gv[u, f])
-    return Machine(b, index, w if m else np.zeros(1), v if m else np.zeros((1, rank)))
+    return Machine(float(b), index, w if m else np.zeros(1), v if m else np.zeros((1, rank)), n, terms)
+
+
+def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[np.ndarray] = []
+    y: list[float] = []
+    for batch in batches:
+        rows += [np.frombuffer(x.as_buffer(), "<i4") for x in batch["x"]]  # views of what came
+        y += batch["y"].to_pylist()
+    if rows:
+        got = fit(rows, np.array(y, float)).to_row()
+        yield pa.RecordBatch.from_pydict({k: pa.array([v], t) for (k, v), t in zip(got.items(), (pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +166,8 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERMS) -> Machine:
     """Fit on at most ``fit_rows`` labelled rows outside the held-out fold, in the order of the hashes of their ids, up to
-    ``fit_terms`` terms in all; those bounds also bound the broadcast of the chosen labels and what reaches the driver.
+    ``fit_terms`` terms in all; those bounds also bound the broadcast of the chosen labels and the one task that fits. The
+    driver gets the machine: a weight and factors for each term that three rows have.
 
     Null ids and null labels are not learnt from, nor ids whose labels contradict each other. Of rows that repeat an id
     one is learnt from, the one with the smallest hash of its text. The machine is the same however the rows are dealt
@@ -157,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = rows.mapInArrow(_featurize, StructType([rows.schema["id"], *_parse_datatype_string("h long, x binary, y int").fields]))
     one = parts.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select(F.xxhash64("id").alias("at"), "id", "r.x", "r.y")  # fit_rows rows at most
     upto = F.sum(F.length("x") / 4).over(Window.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    got = one.withColumn("upto", upto).where(F.col("upto") <= fit_terms).orderBy("at", "id").select("x", "y").toArrow()
-    # views of the table that came, without a copy
-    return fit([np.frombuffer(x.as_buffer(), "<i4") for chunk in got["x"].chunks for x in chunk], np.array(got["y"].to_pylist(), float))
+    chosen = one.withColumn("upto", upto).where(F.col("upto") <= fit_terms).coalesce(1).sortWithinPartitions("at", "id").select("x", "y")
+    got = chosen.mapInArrow(_fit_all, "bias double, bucket binary, weight binary, factors binary, rows long, terms long").toArrow().to_pylist()
+    return Machine.from_row(got[0]) if got else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

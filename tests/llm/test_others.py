@@ -531,15 +531,8 @@ def test_toxicity_does_not_depend_on_partitions(spark):
     got = [sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs.repartition(n), labels.repartition(n)).collect()) for n in (2, 7)]
     assert got[0] == got[1]
     many = docs.union(spark.createDataFrame([(1, f"one id {i}", 0.0, 0.0) for i in range(3000)], docs.schema))
-    seen = []
-    fit = toxicity.fit
-    try:
-        toxicity.fit = lambda rows, y, **k: seen.append((len(rows), sum(map(len, rows)))) or fit(rows, y, **k)
-        toxicity.train(many, labels, fit_rows=100)
-        toxicity.train(many, labels, fit_terms=500)
-    finally:
-        toxicity.fit = fit
-    assert seen[0][0] <= 100 and 0 < seen[1][1] <= 500 and seen[1][0] < 100
+    few, short = toxicity.train(many, labels, fit_rows=100), toxicity.train(many, labels, fit_terms=500)
+    assert 50 < few.rows <= 100 and 0 < short.terms <= 500 and 0 < short.rows < 100
     kept = toxicity.score(docs, toxicity.train(docs, labels), score_col="__s", predicted_col="__p")
     assert kept.columns == [*docs.columns, "__s", "__p"] and kept.agg(F.min("score"), F.max("score")).first() == (777.0, 777.0)
 
