@@ -134,9 +134,10 @@ class ChunkEncoder:
             chunks = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])
             d = chunks.dictionary_encode()
             ids, sizes = self._distinct(self._trim(d.dictionary))
-            code = d.indices.to_numpy()
-            all_ids = ids[_spread((np.cumsum(sizes) - sizes)[code], sizes[code])]
-            ends = np.concatenate([[0], np.cumsum(sizes[code])])
+            each = np.concatenate([[0], np.cumsum(sizes)]) * 4
+            got = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(each), pa.py_buffer(ids)]).take(d.indices)
+            ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1) >> 2
+            all_ids = np.frombuffer(got.buffers()[2], np.int32, ends[-1])
             bounds = ends[np.searchsorted(cut, at)]
             for i in range(b - a):
                 yield all_ids[bounds[i] : bounds[i + 1]]
@@ -204,6 +205,7 @@ def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data), bool)
     cut[1:] = white[1:] & ~white[:-1]
     p = np.flatnonzero(cut)
+    p = p[data[p - 1] >= 0x80]
     one, two, three = data[p - 1], data[np.maximum(p - 2, 0)], data[np.maximum(p - 3, 0)]
     odd = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
     odd |= (three == 0xE1) & (two == 0x9A) & (one == 0x80)

@@ -24,7 +24,9 @@ from .store import bounded_batches, new_folder, save, task_each
 MAGIC = b"IDPAIRS1"
 SHARD_IDS = 2_000_000
 RULES_A_ROUND, LEAST = 4096, 12
-_BUCKETS = 20
+_BUCKETS = 18
+#: Stands where a document ends and the next one begins; symbols are below 2^31.
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class WordBPE(ChunkEncoder):
@@ -68,20 +70,30 @@ class Grammar:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All expansions on end, and for each symbol where its own starts and how long it is."""
-        flat = [np.arange(self.first, dtype=np.int32)]
         start = np.concatenate([np.arange(self.first), self.first + np.cumsum(self.lengths) - self.lengths])
         length = np.concatenate([np.ones(self.first, np.int64), self.lengths])
-        own: list[np.ndarray] = []
-        get = lambda s: flat[0][s : s + 1] if s < self.first else own[s - self.first]
-        for a, b in self.rules:
-            own.append(np.concatenate([get(a), get(b)]))
-        return np.concatenate(flat + own), start.astype(np.int64), length.astype(np.int64)
+        raw = np.arange(self.first, dtype="<i4").tobytes()
+        own = [raw[i : i + 4] for i in range(0, len(raw), 4)]
+        for a, b in self.rules.tolist():
+            own.append(own[a] + own[b])
+        return np.frombuffer(b"".join(own), "<i4"), start.astype(np.int64), length.astype(np.int64)
 
 
 def _bucket(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
 
 
+def _frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that come ``least`` times or more, in order, and how often each comes."""
+    ordered = np.sort(pairs)
+    same = ordered[: max(0, len(ordered) - least + 1)]
+    same = same[same == ordered[least - 1 :]]  # of a pair's run, all but the last least - 1
+    begin = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(same) else np.zeros(0, np.int64)
+    times = np.diff(begin, append=len(same)) + least - 1
+    real = same[begin] != _NONE
+    return same[begin][real], times[real]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None = None, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """(symbols, end of each document among the symbols, grammar). ``ends`` are the documents' ends among the ids.
 
@@ -89,70 +101,55 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int | None =
     smaller pair, so that the same ids give the same file. Rounds go on until no pair comes ``least`` times, or for ``rounds``.
     """
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
-    new = np.zeros(len(seq), bool)
-    rules: list[tuple[int, int]] = []
-    lengths: list[int] = []
+    bounds = ends.astype(np.int64)
+    at = np.zeros(0, np.int64)  # where the last round's symbols are
+    rules: list[np.ndarray] = []
+    lengths = np.ones(first, np.int64)
     known: dict[int, int] = {}
     full, done = True, 0
-    while (rounds is None or done < rounds) and len(seq) > 1 and first + len(rules) + a_round <= 1 << 31:
+    while (rounds is None or done < rounds) and len(seq) > 1 and len(lengths) + a_round <= 1 << 31:
         # when no frequent pair waits, only pairs with a symbol of the last round can have become frequent; the end is found by looking at all
-        at = np.flatnonzero(~last[:-1] if full else ~last[:-1] & (new[:-1] | new[1:]))
-        here = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        bucket = _bucket(here)
-        often = np.bincount(bucket, minlength=1 << _BUCKETS)
-        above = np.cumsum(np.bincount(np.minimum(often, 4095))[::-1])[::-1]  # buckets with so many pairs or more
-        floor = max(least, int(np.flatnonzero(above >= a_round)[-1]) if above[0] >= a_round else 0)
-        for floor in (floor, least) if floor > least else (least,):  # a full bucket may hold rare pairs only
-            pick = np.flatnonzero((often >= floor)[bucket])
-            ordered = np.sort(here[pick])
-            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else pick
-            times = np.diff(begin, append=len(ordered))
-            begin, times = begin[times >= least], times[times >= least]
-            if len(begin):
-                break
-        if not len(begin):
+        if full:
+            here = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+            here[bounds[(bounds > 0) & (bounds < len(seq))] - 1] = _NONE
+        else:
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(seq) - 1)]
+            here = (seq[near].astype(np.uint64) << np.uint64(32)) | seq[near + 1]
+            here[bounds[np.searchsorted(bounds, near + 1)] == near + 1] = _NONE
+        pairs, times = _frequent(here, least)
+        if not len(pairs):
             if full:
                 break
             full = True
             continue
-        pairs = ordered[begin]
         chosen = pairs[np.lexsort((pairs, -times))[:a_round]]
-        full = len(pairs) > len(chosen) or floor > least
-        name = np.empty(len(chosen), np.int64)
-        for c, p in enumerate(chosen.tolist()):
-            if p not in known:  # overlaps may leave matches of an earlier round's pair
-                pair = (p >> 32, p & 0xFFFFFFFF)
-                known[p] = first + len(rules)
-                rules.append(pair)
-                lengths.append(sum(1 if s < first else lengths[s - first] for s in pair))
-            name[c] = known[p]
+        fresh = np.array([p for p in chosen.tolist() if p not in known], np.uint64)  # overlaps may leave matches of an earlier round's pair
+        known.update(zip(fresh.tolist(), range(len(lengths), len(lengths) + len(fresh))))
+        name = np.array([known[p] for p in chosen.tolist()], np.uint32)
+        rules.append(np.stack([fresh >> np.uint64(32), fresh & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
+        lengths = np.concatenate([lengths, lengths[rules[-1]].sum(axis=1)])
         table = np.full(1 << _BUCKETS, -1, np.int32)
         table[_bucket(chosen)[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)  # where two meet, the rarer one waits
-        full |= int((table >= 0).sum()) < len(chosen)
-        place = table[bucket[pick]]
+        place = table[_bucket(here)]
         hit = np.flatnonzero(place >= 0)
-        hit = hit[chosen[place[hit]] == here[pick[hit]]]
-        at, named = at[pick[hit]], name[place[hit]]
-        run = np.cumsum(np.diff(at, prepend=-2) != 1)  # of matches that overlap, every other one counts
-        begin = np.flatnonzero(np.diff(run, prepend=0))
-        take = (np.arange(len(at)) - begin[run - 1]) % 2 == 0
-        at, named = at[take], named[take]
-        seq[at] = named
-        last[at] = last[at + 1]
-        new[:] = False
-        new[at] = True
+        place = place[hit]
+        right = chosen[place] == here[hit]
+        hit, place = hit[right], place[right]
+        at = hit if full else near[hit]
+        full = len(pairs) > len(chosen) or np.count_nonzero(table >= 0) < len(chosen)
+        nth = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, nth, 0))
+        take = ((nth - begin) & 1) == 0  # of matches that overlap, every other one counts
+        at = at[take]
+        seq[at] = name[place[take]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last, new = seq[keep], last[keep], new[keep]
+        seq = seq[keep]
+        bounds -= np.searchsorted(at, bounds - 1)  # a pair is within a document
+        at -= np.arange(len(at))
         done += 1
-    done = np.flatnonzero(last) + 1
-    bounds = np.zeros(len(ends), np.int64)
-    full = np.diff(ends, prepend=0) > 0
-    bounds[full] = done
-    bounds = np.maximum.accumulate(bounds) if len(bounds) else bounds
-    return seq, bounds, Grammar(first, np.array(rules, np.int64).reshape(-1, 2), np.array(lengths, np.int64))
+    return seq, bounds, Grammar(first, np.concatenate([np.zeros((0, 2), np.int64), *rules]), lengths[first:])
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, first: int) -> bytes:
