@@ -154,12 +154,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunks = base.where("id is not null").mapInArrow(lambda batches: _list(batches, whole), "key binary, id long, no int")
-    chunks = save(chunks.withColumn("k", F.xxhash64("key")), "line-chunks")
+    chunks = save(chunks.withColumn("k", F.xxhash64("key")), "line-chunks", tidy=True)
     repeated = chunks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "no")).alias("owner")).where("c > 1")
-    repeated = save(repeated.select(F.xxhash64("key").alias("k"), F.col("key").alias("name"), "owner", "c"), "line-repeats")
+    repeated = save(repeated.select(F.xxhash64("key").alias("k"), F.col("key").alias("name"), "owner", "c"), "line-repeats", tidy=True)
     places = spread_join(chunks, repeated, "k", "c", F.xxhash64("id", "no")).where("key = name").select("key", "id", "no", (F.struct("id", "no") == F.col("owner")).alias("own"))
     marks = places.groupBy(F.col("id").alias("mid")).agg(F.collect_set(F.struct("no", "key", "own")).alias("marks"))
-    bodies = save(base.join(marks.hint("merge"), base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(lambda batches: _bodies(batches, whole), "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies")
+    bodies = save(base.join(marks.hint("merge"), base["id"] == marks["mid"]).select("id", "text", "marks").mapInArrow(lambda batches: _bodies(batches, whole), "key binary, own boolean, body binary, places array<struct<id:long,no:int>>"), "line-bodies", tidy=True)
     forget(chunks, repeated)
     # of bodies that differ under one name, which an id that repeats with other texts could give, the smallest counts
     owners = bodies.where("own").groupBy(F.col("key").alias("okey")).agg(F.min("body").alias("obody"))

@@ -35,10 +35,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lumenbox/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    ``tidy``: the write's shuffle files go when it ends; otherwise they stay until the driver happens to collect garbage."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    if tidy:
+        conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tables = [path]
     return out

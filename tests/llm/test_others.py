@@ -7,6 +7,7 @@ import math
 import os
 import random
 import shutil
+import time
 import zlib
 
 import numpy as np
@@ -286,6 +287,24 @@ def test_tables_are_removed(spark):
         assert frame.count() == 40 and names <= before and not {"profile", "sets", "lists", "pairs", "rank0", "plan", "line-chunks", "stars", "links"} & before
 
 
+def test_shuffle_files_are_removed(spark):
+    """Of what op4 shuffles for its tables nothing is on disk once they are written, and the session's settings are as before."""
+
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {int(name.split("_")[1]) for path in files if (name := os.path.basename(path)).startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"a line\nthat is shared\nby many {i % 5}\n") for i in range(40)], "doc_id long, text string")
+    before, setting = kept(), spark.conf.get(store._CLEANUP)
+    got = line_dedup.line_dedup(docs, whole=True)
+    until = time.monotonic() + 10  # they go in the background
+    while len(kept() - before) > 1 and time.monotonic() < until:
+        time.sleep(0.1)
+    assert len(kept() - before) <= 1 and spark.conf.get(store._CLEANUP) == setting  # the one is a row of sums, of spread_join
+    want = _without_passages([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.text for r in got.collect()} == want and {r.doc_id: r.text for r in got.collect()} == want
+
+
 def test_spread_join(spark):
     """Hot keys and the others, against the plain join."""
     left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("key"), "id")
