@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words
-from .store import bounded_batches, extended
+from .store import bounded_batches, extended, tidy_task
 
 SLICE = 12 << 20
 #: Words whose ids a worker keeps, some 150 bytes each.
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(n, pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(len(names)))], [id_col, "n_tokens", *names])
 
     base = docs.select(id_col, text_col)
-    return base.mapInArrow(run, extended(base.select(id_col), n_tokens="long", **{x: "binary" for x in names}))
+    return base.mapInArrow(tidy_task(run), extended(base.select(id_col), n_tokens="long", **{x: "binary" for x in names}))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -257,7 +257,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             cols = [*batch.columns, pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "decoded", "text"])
 
-    return encoded.mapInArrow(run, extended(encoded, decoded="binary", text="string"))
+    return encoded.mapInArrow(tidy_task(run), extended(encoded, decoded="binary", text="string"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,4 +280,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     base = docs.select(id_col, text_col)
-    return base.mapInArrow(run, extended(base.select(id_col), n_tokens="long", ids_sha256="string", decoded_sha256="string"))
+    return base.mapInArrow(tidy_task(run), extended(base.select(id_col), n_tokens="long", ids_sha256="string", decoded_sha256="string"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
-from .store import bounded_batches
+from .store import bounded_batches, tidy_task
 
 
 #: Bytes of strings and nodes that one trie holds before the subtrees that are complete are handed over.
@@ -148,9 +148,9 @@ def _tries(docs: DataFrame, id_col: str, text_col: str, keep: str, row: Column |
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"), *([row.alias("row")] if row is not None else []))
     more = [body.schema["row"]] if row is not None else []
     sent = StructType([*_parse_datatype_string("n_bytes long, h long, body binary, owner long, n long").fields, *more])
-    parts = body.mapInArrow(_combine(largest, bool(more)), sent).repartition("n_bytes", "h").sortWithinPartitions("body")
+    parts = body.mapInArrow(tidy_task(_combine(largest, bool(more))), sent).repartition("n_bytes", "h").sortWithinPartitions("body")
     out = StructType([StructField("body", BinaryType()), *more]) if more else "sha256 string, keep_id long, group_size long"
-    return parts.mapInArrow(_own(largest, bool(more), limit), out)
+    return parts.mapInArrow(tidy_task(_own(largest, bool(more), limit)), out)
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", trie_bytes: int = TRIE_BYTES) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import Forest, components, with_names
-from .store import bounded_batches, forget, save, spread_join
+from .store import bounded_batches, forget, save, spread_join, tidy_group, tidy_task
 
 U64 = np.uint64
 FLUSH = 1_000_000
@@ -225,7 +225,7 @@ def _narrowed(family: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     then in the second hash order. Linked documents share one in each order, so they stay together."""
     for second in (False, True):
         rows = family.join(sets.select("cid", "s"), "cid").select("cid", "family", "s")
-        tokens = rows.mapInArrow(_prefixes(num, den, second), "family long, token long, cid long").select(F.xxhash64("family", "token").alias("key"), "cid")
+        tokens = rows.mapInArrow(tidy_task(_prefixes(num, den, second)), "family long, token long, cid long").select(F.xxhash64("family", "token").alias("key"), "cid")
         heads = save(tokens.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("k")).where("k > 1"), "heads")
         links = spread_join(tokens, heads, "key", "k", F.xxhash64("cid")).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
         kin = components(links)
@@ -259,7 +259,7 @@ def _families(sets: DataFrame, lists: DataFrame, family: DataFrame, num: int, de
     above = F.when(F.col("next").isNotNull(), F.transform(to(F.col("next")), lambda t: key(F.col("size"), F.col("block"), True, t, True))).otherwise(none)
     below = F.when(F.col("before").isNotNull(), F.transform(to(F.col("before")), lambda t: key(F.col("size") - 1, t, True, F.col("block"), False))).otherwise(none)
     dealt = rows.withColumn("block", block).withColumn("k", F.explode(F.concat(own, above, below))).select("family", "k.size", "k.i", "k.up", "k.j", "k.first", "cid", "s", "p")
-    return dealt.groupBy("family", "size", "i", "up", "j").applyInArrow(_block_links(num, den), "a long, b long")
+    return dealt.groupBy("family", "size", "i", "up", "j").applyInArrow(tidy_group(_block_links(num, den)), "a long, b long")
 
 
 def _common(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -346,23 +346,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), letters // (18 * RANGE_TOKENS))
     log2 = max(0, (ranges - 1).bit_length())
     out = "batch long, kind int, part long, x binary, y binary, z binary"
-    profile = save(base.mapInArrow(_profile(k, num, den, log2), out), "profile")
-    counts = profile.where("kind = 1").select("part", "batch", "x", "y").groupBy("part").applyInArrow(_count, "batch long, y binary, z binary")
+    profile = save(base.mapInArrow(tidy_task(_profile(k, num, den, log2)), out), "profile")
+    counts = profile.where("kind = 1").select("part", "batch", "x", "y").groupBy("part").applyInArrow(tidy_group(_count), "batch long, y binary, z binary")
     heads = profile.where("kind = 0").select("batch", "kind", "x", "y", "z")
     settled = heads.unionByName(counts.select("batch", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("x"), "y", "z"))
-    meta = save(settled.groupBy("batch").applyInArrow(_settle(num, den), "doc_id long, n long, digest binary, th long, alive boolean"), "meta")
+    meta = save(settled.groupBy("batch").applyInArrow(tidy_group(_settle(num, den)), "doc_id long, n long, digest binary, th long, alive boolean"), "meta")
     forget(profile)
 
     classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.max("alive").alias("alive"))
     classes = save(classes.select("n", "digest", "alive", F.col("one.doc_id").alias("rid"), F.col("one.th").alias("rth")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     live = classes.where("alive").select("cid", "rid", "rth", "digest")
-    sets = base.join(live, (base["id"] == live["rid"]) & (base["th"] == live["rth"])).select("cid", "digest", "text").mapInArrow(_sets(k), "cid long, n long, s binary")
+    sets = base.join(live, (base["id"] == live["rid"]) & (base["th"] == live["rth"])).select("cid", "digest", "text").mapInArrow(tidy_task(_sets(k)), "cid long, n long, s binary")
     sets = save(sets, "sets")
     if not sets.groupBy("cid").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
         before, sets = sets, save(sets.dropDuplicates(["cid"]), "sets")
         forget(before)
 
-    tokens = sets.mapInArrow(_tokens, "token long, cid long, n long")
+    tokens = sets.mapInArrow(tidy_task(_tokens), "token long, cid long, n long")
     common = save(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     known = spread_join(tokens, common, "token", "df", F.xxhash64("cid"))
     least = F.expr(f"-floor(-{num} * n / {den})").cast("long")
@@ -383,7 +383,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def verified(p: DataFrame, name: str) -> DataFrame:
         left = sets.select(F.col("cid").alias("a"), "s")
         right = sets.select(F.col("cid").alias("b"), F.col("s").alias("s2"))
-        return save(p.join(left, "a").join(right, "b").select("a", "b", "s", "s2").mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
+        return save(p.join(left, "a").join(right, "b").select("a", "b", "s", "s2").mapInArrow(tidy_task(_verify(num, den)), "a long, b long, linked boolean"), name)
 
     links = verified(pairs, "links1")
     comps = components(links.where("linked").select("a", "b"))

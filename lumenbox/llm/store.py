@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -72,6 +76,43 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed. Its allocators would keep that, and Spark keeps the worker for tasks to
+    come, so that it would count beside the heap of the executor in steps that run no Python at all."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def tidy_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when a task ends, its worker gives back what it has freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+_given_back = 0.0
+
+
+def tidy_group(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """``run`` for ``applyInArrow``; its worker gives back what it has freed once a second at most, as groups may be small."""
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        global _given_back
+        out = run(key, table)
+        if time.monotonic() - _given_back > 1:
+            give_back()
+            _given_back = time.monotonic()
+        return out
+
+    return whole
+
+
 def task_each(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """Rows that each stand for a file, dealt one to a task. A number is given, as adaptive execution would otherwise put
     rows this short together into a single task."""

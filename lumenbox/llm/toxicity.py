@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import words
-from .store import bounded_batches, extended
+from .store import bounded_batches, extended, tidy_task
 
 BITS = 20
 #: At most this many labelled rows are fitted, those of the smallest hashes of their ids, up to so many terms in all.
@@ -180,11 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.join(F.broadcast(some), rows["id"] == some["label_id"]).select("id", "h", "text", "y")
-    parts = rows.mapInArrow(_featurize, StructType([rows.schema["id"], *_parse_datatype_string("h long, x binary, y int").fields]))
+    parts = rows.mapInArrow(tidy_task(_featurize), StructType([rows.schema["id"], *_parse_datatype_string("h long, x binary, y int").fields]))
     one = parts.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select(F.xxhash64("id").alias("at"), "id", "r.x", "r.y")  # fit_rows rows at most
     upto = F.sum(F.length("x") / 4).over(Window.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = one.withColumn("upto", upto).where(F.col("upto") <= fit_terms).coalesce(1).sortWithinPartitions("at", "id").select("x", "y")
-    got = chosen.mapInArrow(_fit_all, "bias double, bucket binary, weight binary, factors binary, rows long, terms long").toArrow().to_pylist()
+    got = chosen.mapInArrow(tidy_task(_fit_all), "bias double, bucket binary, weight binary, factors binary, rows long, terms long").toArrow().to_pylist()
     return Machine.from_row(got[0]) if got else fit([], np.zeros(0))
 
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             keep = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*keep, score_col, predicted_col])
 
-    return base.mapInArrow(run, extended(base.drop("__scored"), **{score_col: "double", predicted_col: "int"}))
+    return base.mapInArrow(tidy_task(run), extended(base.drop("__scored"), **{score_col: "double", predicted_col: "int"}))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbox.llm import embeddings, fsio, line_dedup, mixing, ngram_join, pii, store, toxicity, warc
+from lumenbox.llm import embeddings, exact_dedup, fsio, line_dedup, mixing, ngram_join, pii, store, toxicity, warc
 
 KEY = "k"
 
@@ -305,6 +305,32 @@ def test_shuffle_files_are_removed(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want and {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_workers_give_memory_back(spark):
+    """What a Python worker has freed is not kept for the steps that follow."""
+
+    def probe(batches):
+        import ctypes
+        import pathlib
+        import re
+
+        kept = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+        list(batches)
+        before = kept()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        time.sleep(1)  # so that no worker takes two of these tasks
+        yield pa.RecordBatch.from_pydict({"mb": pa.array([before - kept()], pa.int64())})
+
+    text = F.concat_ws(" ", *[F.hex(F.xxhash64("doc_id", F.lit(i))) for i in range(100)])
+    docs = store.save(spark.range(0, 16000, 1, 4).select(F.col("id").alias("doc_id")).withColumn("text", text), "long-texts")
+    left = []
+    for frame in (toxicity.score(docs, toxicity.fit([], np.zeros(0))), exact_dedup.owners(docs)):
+        frame.write.format("noop").mode("overwrite").save()
+        left.append([r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(probe, "mb long").collect()])
+    assert all(len(x) == 4 and max(x) < 24 for x in left), left  # the last batch goes after the task
+    store.forget(docs)
+
+
 def test_spread_join(spark):
     """Hot keys and the others, against the plain join."""
     left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).cast("long").alias("key"), "id")
