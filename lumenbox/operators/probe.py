@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from .. import batches
 from . import coefficients
 from .syntax import MODE_TABLES, probe
 
@@ -48,18 +48,18 @@ def tile_probe(streams, tables: dict[str, Any] | None = None, whole: bool = Fals
     ``whole``: each tile is read to its end, which gives OK if its padding is right; otherwise two blocks at most are read
     and the status is UNSUPPORTED, with the point that was reached, or ERROR. ``blocks``: all blocks come along as an array,
     for ``mi_blocks`` and ``transforms``. An empty tile is an ERROR; what a header lacks counts as 0."""
-    rows = streams.tiles_with(*[F.col(f"sequence_header.{c}") for c in _SEQUENCE], *[F.col(f"frame_header.{c}") for c in _FRAME])
+    rows = streams.tiles_with(*[F.col(f"sequence_header.{c}") for c in _SEQUENCE], *[F.col(f"frame_header.{c}") for c in _FRAME], of=("sequence_header", "frame_header"))
     rows = rows.selectExpr("path", "tg_index", "tile_num", "payload", "mi_row_end - mi_row_start AS mi_rows", "mi_col_end - mi_col_start AS mi_cols", *_SEQUENCE, *_FRAME)
     kind = _parse_datatype_string(PROBE + f", blocks array<struct<{BLOCK}>>" * blocks)
     keys = ["path", "tg_index", "tile_num"]
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kind]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [probe(r["payload"], r, tables, whole) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array([g.get(n) for g in got], a) for n, a in arrow)], [*keys, *(n for n, _ in arrow)])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [probe(r["payload"], r, tables, whole) for r in batch.to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array([g.get(n) for g in got], a) for n, a in arrow)], [*keys, *(n for n, _ in arrow)])
 
-    return rows.mapInArrow(run, StructType([*rows.select(*keys).schema.fields, *kind.fields]))
+    batches.small(rows.sparkSession)
+    return rows.mapInArrow(batches.sliced(run), StructType([*rows.select(*keys).schema.fields, *kind.fields]))
 
 
 def mi_blocks(probed: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ Each file is one row and one narrow step; nothing here shuffles. Bytes are passe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from decimal import Decimal
 from functools import cached_property
 from typing import Any
 
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, StructType, _parse_datatype_string
 
+from .. import batches
 from . import containers, entropy, streams
 from . import reasons as why
 
@@ -52,19 +54,15 @@ TILE = _INTS("tg_index tile_num tile_row tile_col offset size")
 STREAM = f"status string, reason string, obus array<struct<{OBU}>>, sequence_header struct<{SEQUENCE}>, frame_header struct<{FRAME}>, tile_info struct<{TILE_INFO}>, tile_groups array<struct<{TILE_GROUP}>>, tiles array<struct<{TILE}>>, diagnostics array<struct<{DIAGNOSTIC}>>"
 
 
-def _plain(value: Any, kind: pa.DataType) -> Any:
-    """Integers of a decimal type have to come as decimals."""
-    if value is None:
-        return None
+def _plain(kind: pa.DataType) -> Callable[[Any], Any] | None:
+    """What makes decimals of integers wherever a type has them; None for a type that has none and takes what it is given."""
     if pa.types.is_decimal(kind):
-        from decimal import Decimal
-
-        return Decimal(value)
-    if pa.types.is_list(kind):
-        return [_plain(x, kind.value_type) for x in value]
-    if pa.types.is_struct(kind):
-        return {f.name: _plain(value.get(f.name), f.type) for f in kind}
-    return value
+        return lambda x: None if x is None else Decimal(x)
+    if pa.types.is_list(kind) and (each := _plain(kind.value_type)):
+        return lambda x: None if x is None else [each(y) for y in x]
+    if pa.types.is_struct(kind) and (wide := [(f.name, each) for f in kind if (each := _plain(f.type))]):
+        return lambda x: None if x is None else x | {n: each(x.get(n)) for n, each in wide}
+    return None
 
 
 def per_file(files: DataFrame, parse: Callable[[bytes], dict[str, Any]], schema: str, key: str = "path", content: str = "content", keep_content: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -72,17 +70,18 @@ def per_file(files: DataFrame, parse: Callable[[bytes], dict[str, Any]], schema:
     the bytes. What earlier steps found of a file comes along and need not be joined."""
     kind: StructType = _parse_datatype_string(schema)
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kind]
+    exact = {n: f for n, t in arrow if (f := _plain(t))}
     base = files.select(key, content, *carry)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [parse(x.as_py() or b"") for x in batch[content]]
-            cols = [pa.array([_plain(r.get(n), t) for r in rows], t) for n, t in arrow]
-            names = [key, *carry, *(n for n, _ in arrow), *[content] * keep_content]
-            yield pa.RecordBatch.from_arrays([batch[key], *(batch[c] for c in carry), *cols, *[batch[content]] * keep_content], names)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [parse(x or b"") for x in batch[content].to_pylist()]
+        cols = [pa.array([exact[n](r.get(n)) for r in rows] if n in exact else [r.get(n) for r in rows], t) for n, t in arrow]
+        names = [key, *carry, *(n for n, _ in arrow), *[content] * keep_content]
+        return pa.RecordBatch.from_arrays([batch[key], *(batch[c] for c in carry), *cols, *[batch[content]] * keep_content], names)
 
     out = StructType([base.schema[key], *(base.schema[c] for c in carry), *kind.fields, *[base.schema[content]] * keep_content])
-    return base.mapInArrow(run, out)
+    batches.small(files.sparkSession)
+    return base.mapInArrow(batches.sliced(run), out)
 
 
 def _moded(parsed: DataFrame, mode: str) -> DataFrame:
@@ -124,6 +123,7 @@ class MetaTables:
     def __init__(self, files: DataFrame, mode: str = PERMISSIVE, keep_content: bool = False, carry: tuple[str, ...] = ()) -> None:
         schema = f"meta struct<{META}>, items array<struct<{ITEM}>>, properties array<struct<{PROPERTY}>>, diagnostics array<struct<{DIAGNOSTIC}>>"
         self.nested = _moded(per_file(files, containers.meta, schema, keep_content=keep_content, carry=carry), mode)
+        self._named = self.nested if mode != PERMISSIVE else per_file(files, containers.meta, f"items array<struct<item_no int, item_id long, item_type string, props array<struct<{ASSOC}>>>>, properties array<struct<{PROPERTY}>>")
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -154,7 +154,7 @@ class MetaTables:
     def resolved(self) -> DataFrame:
         """Items with the properties they name; an index of 0 or beyond the list names none. Both sides come from one
         row, so the lookup is by position in the row's list and shuffles nothing."""
-        p = self.nested.select("path", "properties", F.explode("items").alias("i")).select("path", "properties", "i.item_id", "i.item_type", "i.item_no", F.explode_outer("i.props").alias("a"))
+        p = self._named.select("path", "properties", F.explode("items").alias("i")).select("path", "properties", "i.item_id", "i.item_type", "i.item_no", F.explode_outer("i.props").alias("a"))
         named = F.when((F.col("a.prop_index") > 0) & (F.col("a.prop_index") <= F.size("properties")), F.try_element_at("properties", F.col("a.prop_index")))
         return p.withColumn("q", named).select("path", "item_no", "item_id", "item_type", "a.assoc_no", "a.prop_index", "a.essential", F.col("q.type").alias("type"), F.col("q.ispe").alias("ispe"), F.col("q.pixi").alias("pixi"), F.col("q.av1c").alias("av1c"))
 
@@ -227,17 +227,41 @@ def obus(payloads_: DataFrame, types: tuple[int, ...] | None = None, first_only:
 
 
 class StreamTables:
-    """Headers and tiles of AV1 payloads, parsed once."""
+    """Headers and tiles of AV1 payloads, parsed once a table that is asked for."""
 
     def __init__(self, payloads_: DataFrame, content: str = "payload", mode: str = PERMISSIVE, keep_content: bool = False, carry: tuple[str, ...] = ()) -> None:
-        self.content = content
-        self.nested = _moded(per_file(payloads_, streams.stream, STREAM, content=content, keep_content=keep_content, carry=carry), mode)
+        self.content, self.mode, self.keep_content, self.carry = content, mode, keep_content, carry
+        self.payloads = payloads_
+
+    def part(self, *names: str, **fields: str) -> DataFrame:
+        """The named columns of ``nested``, and its path, bytes and carried ones; records of the others are not made into rows.
+        ``fields``: by column the fields, apart by blanks, of which alone its structs consist."""
+        kept = ("path", *self.carry, *names, *fields, *[self.content] * self.keep_content)
+        if self.mode != PERMISSIVE:  # which looks at the diagnostics
+            return self.nested.select(*kept)
+
+        def shape(kind: DataType, only: str | None) -> str:
+            if only is None:
+                return kind.simpleString()
+            inner = f"struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in (kind.elementType if isinstance(kind, ArrayType) else kind) if f.name in only.split())}>"
+            return f"array<{inner}>" if isinstance(kind, ArrayType) else inner
+
+        schema = ", ".join(f"{f.name} {shape(f.dataType, fields.get(f.name))}" for f in _parse_datatype_string(STREAM) if f.name in kept)
+        return per_file(self.payloads, streams.stream, schema, content=self.content, keep_content=self.keep_content, carry=self.carry)
+
+    def tiles_of(self, fields: str) -> DataFrame:
+        """The named columns of ``tiles``, of those that TILE lists."""
+        return self.part(tiles=fields).select("path", F.inline("tiles")).select("path", *fields.split())
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        return _moded(per_file(self.payloads, streams.stream, STREAM, content=self.content, keep_content=self.keep_content, carry=self.carry), self.mode)
 
     def _struct(self, name: str) -> DataFrame:
-        return self.nested.where(F.col(name).isNotNull()).select("path", f"{name}.*")
+        return self.part(name).where(F.col(name).isNotNull()).select("path", f"{name}.*")
 
     def _rows(self, name: str) -> DataFrame:
-        return self.nested.select("path", F.inline(name))
+        return self.part(name).select("path", F.inline(name))
 
     obus = cached_property(lambda self: self._rows("obus"))
     sequence_headers = cached_property(lambda self: self._struct("sequence_header"))
@@ -251,9 +275,11 @@ class StreamTables:
         """Tiles, with their bounds in units of 4x4; with ``keep_content`` also their bytes."""
         return self.tiles_with()
 
-    def tiles_with(self, *more: Column) -> DataFrame:
-        """``tiles`` and columns of the row that they come from, such as header fields: nothing is joined."""
-        t = self.nested.select("path", "tile_info", *[self.content] * (self.content in self.nested.columns), F.explode("tiles").alias("t"), *more)
+    def tiles_with(self, *more: Column, of: tuple[str, ...] | None = None) -> DataFrame:
+        """``tiles`` and columns of the row that they come from, such as header fields: nothing is joined. ``of``: the columns of
+        ``nested`` that these read, any if left out."""
+        rows = self.nested if more and of is None else self.part("tile_info", "tiles", *of or ())
+        t = rows.select("path", "tile_info", *[self.content] * (self.content in rows.columns), F.explode("tiles").alias("t"), *more)
         names = t.columns[len(t.columns) - len(more) :]
         at = lambda name, i: F.element_at(f"tile_info.{name}", (i + 1).cast("int"))
         body = [F.substring(F.col(self.content), F.col("t.offset").cast("int") + 1, F.col("t.size").cast("int")).alias("payload")] if self.content in t.columns else []
@@ -265,10 +291,10 @@ def tile_checks(tiles: DataFrame, check: str = "exit", bools: int = 0) -> DataFr
     check is a narrow step over tiles."""
     keys = ["path", "tg_index", "tile_num"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            why = [entropy.tile_check(x.as_py() or b"", check, bools) for x in batch["payload"]]
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array([check] * len(why), pa.string()), pa.array([w is None for w in why], pa.bool_()), pa.array(why, pa.string())], [*keys, "check", "ok", "reason"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        why = [entropy.tile_check(x or b"", check, bools) for x in batch["payload"].to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array([check] * len(why), pa.string()), pa.array([w is None for w in why], pa.bool_()), pa.array(why, pa.string())], [*keys, "check", "ok", "reason"])
 
+    batches.small(tiles.sparkSession)
     base = tiles.select(*keys, "payload")
-    return base.mapInArrow(run, StructType([*base.select(*keys).schema.fields, *_parse_datatype_string("check string, ok boolean, reason string").fields]))
+    return base.mapInArrow(batches.sliced(run), StructType([*base.select(*keys).schema.fields, *_parse_datatype_string("check string, ok boolean, reason string").fields]))

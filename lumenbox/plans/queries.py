@@ -37,6 +37,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Rows of a table that a task takes where what is made of them costs Python much.
+TASK_ROWS = {"lineitem": 50_000, "orders": 25_000, "events": 25_000, "part": 2_000}
+
+
+def _tasks(df: DataFrame, name: str) -> int:
+    """As many tasks as there are cores, and more where the table is large. Their number is given, as adaptive execution goes
+    by bytes and would put rows this short into a few tasks that grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS[name]))
+
+
+def _dealt(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table dealt to ``_tasks``, by keys if there are some: what is grouped or joined by these stays where it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(_tasks(df, name), *keys)
+
+
 def _key(name: str):
     return F.col("path").cast("long").alias(name)
 
@@ -91,7 +107,7 @@ def _order_file(l_orderkey: int, lines: list[dict]) -> bytes:
            FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_suppkey)""")
 def item_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file an order, an item a line, properties shared through their associations."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_suppkey").alias("s"))).alias("lines"))
+    lines = _dealt(spark, sf_dir, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_suppkey").alias("s"))).alias("lines"))
     r = tables.MetaTables(fx.build(lines, _order_file, "l_orderkey")).resolved
     return r.select(_key("l_orderkey"), "item_id", F.col("item_no").cast("long").alias("item_no"), "ispe.width", "ispe.height")
 
@@ -99,7 +115,7 @@ def item_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, CAST(CASE length(event_type) % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 15 END AS INTEGER) AS obu_type, count(*) AS n,
                  CAST(sum(length(event_type)) AS BIGINT) AS payload_bytes FROM events GROUP BY 1, 2""")
 def obu_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("kinds"))
+    rows = _dealt(spark, sf_dir, "events", "user_id").groupBy("user_id").agg(F.collect_list("event_type").alias("kinds"))
     streams_ = fx.build(rows, lambda user_id, kinds: b"".join(fx.obu((2, 5, 15)[len(k) % 3], k.encode()) for k in kinds), "user_id", "payload")
     o = tables.obus(streams_).groupBy("path", "obu_type").agg(F.count("*").alias("n"), F.sum("payload_size").alias("payload_bytes"))
     return o.select(_key("user_id"), "obu_type", "n", "payload_bytes")
@@ -215,8 +231,10 @@ _ALL = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FRO
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream an order, whatever its lines, with tiles as long as their quantities; orders without lines have no tiles."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("lines"))
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tasks = _tasks(rows, "lineitem")
+    lines = rows.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("lines"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey")).repartition(tasks, "l_orderkey").distinct()
     return fx.build(orders.join(lines, "l_orderkey", "full"), lambda l_orderkey, lines: fx.layout_stream([bytes([x["q"] % 256]) * x["q"] for x in lines or ()]), "l_orderkey", "payload")
 
 
@@ -231,7 +249,7 @@ _GRID = f"""t AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITI
                   CAST(16 * (n % cols) AS INTEGER) AS mi_col_start, CAST(16 * (n // cols) + 16 AS INTEGER) AS mi_row_end FROM g""")
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of all orders, in grids of as many tiles as lines; offsets count from the byte after the group's flags, which one tile has not."""
-    t = tables.StreamTables(_layouts(spark, sf_dir)).nested.select("path", "tile_info", "obus", F.when(F.size("tiles") > 1, 1).otherwise(0).alias("flags"), F.explode("tiles").alias("t"))
+    t = tables.StreamTables(_layouts(spark, sf_dir)).part("tile_info", obus="obu_type payload_off", tiles="tile_num tile_row tile_col offset size").select("path", "tile_info", "obus", F.when(F.size("tiles") > 1, 1).otherwise(0).alias("flags"), F.explode("tiles").alias("t"))
     at = F.element_at(F.filter("obus", lambda u: u["obu_type"] == 4), 1)["payload_off"]
     return t.select(_key("l_orderkey"), "t.tile_num", "t.tile_row", "t.tile_col", "t.size", (F.col("t.offset") - at - F.col("flags")).alias("after_first"), F.element_at("tile_info.mi_col_starts", (F.col("t.tile_col") + 1).cast("int")).alias("mi_col_start"), F.element_at("tile_info.mi_row_starts", (F.col("t.tile_row") + 2).cast("int")).alias("mi_row_end"))
 
@@ -239,9 +257,9 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT 'offset' AS check, count(*) AS passed, CAST(0 AS BIGINT) AS failed, count(*) AS total FROM {_ALL} UNION ALL SELECT NULL, count(*), 0, count(*) FROM {_ALL}")
 def tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each tile begins where the one before it ended, as totals."""
-    s = tables.StreamTables(_layouts(spark, sf_dir))
+    s = tables.StreamTables(_layouts(spark, sf_dir)).part(obus="obu_type payload_off", tiles="tg_index tile_num offset size").where("size(tiles) > 0")
     at = F.element_at(F.filter("obus", lambda u: u["obu_type"] == 4), 1)["payload_off"] + F.when(F.size("tiles") > 1, 1).otherwise(0)
-    checked = report.offset_check(s.tiles, s.nested.where("size(tiles) > 0").select("path", F.lit(1).cast("long").alias("tg_index"), at.alias("first")), 1)
+    checked = report.offset_checks(s.select("path", "tiles", at.alias("first")), 1)
     return report.totals(checked.select(F.lit("offset").alias("check"), "ok"))
 
 
@@ -249,7 +267,7 @@ def tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
            SELECT l_orderkey, n AS tile_num, 'tg1_tile' || n || '_r' || (n // cols) || '_c' || (n % cols) || '.bin' AS file_name, n // cols AS tile_row, n % cols AS tile_col, size FROM g""")
 def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of tiles; rows, columns and sizes as they are read back from the lines of text."""
-    t = tables.StreamTables(_layouts(spark, sf_dir)).tiles
+    t = tables.StreamTables(_layouts(spark, sf_dir)).tiles_of("tg_index tile_num tile_row tile_col offset size")
     text = sinks.tile_file_names(t).select("path", "file_name", F.format_string("tg%d tile %d r%d c%d @ [%d+%d]", "tg_index", "tile_num", "tile_row", "tile_col", "offset", "size").alias("line"))
     return source_files.tile_lines(text).select(_key("l_orderkey"), "tile_num", "file_name", "tile_row", "tile_col", "size")
 
@@ -260,27 +278,27 @@ _SIZED = """(SELECT l_orderkey, l_linenumber, CASE l_partkey % 1000 WHEN 0 THEN
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = {0: 65536, 1: 16384, 2: 4096, 3: 1024, 4: 256}
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").cast("long").alias("p")))).alias("lines"))
+    lines = _dealt(spark, sf_dir, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").cast("long").alias("p")))).alias("lines"))
     return fx.build(lines, lambda l_orderkey, lines: fx.layout_stream([b"t" * (x["q"] + step.get(x["p"] % 1000, 0)) for x in lines], 3), "l_orderkey", "payload")
 
 
 @query(f"""SELECT CASE WHEN size < 256 THEN '<256' WHEN size < 1024 THEN '<1K' WHEN size < 4096 THEN '<4K' WHEN size < 16384 THEN '<16K' WHEN size < 65536 THEN '<64K' ELSE '>=64K' END AS size_class, count(*) AS tiles
            FROM {_SIZED} GROUP BY 1""")
 def tile_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tile_size_histogram(tables.StreamTables(_sized(spark, sf_dir)).tiles)
+    return report.tile_size_histogram(tables.StreamTables(_sized(spark, sf_dir)).tiles_of("size"))
 
 
 @query("""SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 16 THEN '5-16' ELSE '>16' END AS count_class, count(*) AS files FROM (SELECT p_partkey % 30 AS n FROM part) GROUP BY 1""")
 def tiles_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of no tile to 29 tiles."""
-    g = fx.build(_table(spark, sf_dir, "part").select("p_partkey"), lambda p_partkey: fx.layout_stream([b"t"] * (p_partkey % 30)), "p_partkey", "payload")
+    g = fx.build(_dealt(spark, sf_dir, "part").select("p_partkey"), lambda p_partkey: fx.layout_stream([b"t"] * (p_partkey % 30)), "p_partkey", "payload")
     return report.tiles_per_file(g, tables.StreamTables(g).tiles)
 
 
 @query(f"SELECT count(*) AS tiles, CAST(sum(size) AS BIGINT) AS total, min(size) AS smallest, CAST(arg_min(l_orderkey, [size, l_orderkey]) AS VARCHAR) AS smallest_path, max(size) AS largest FROM (SELECT size, l_orderkey FROM {_SIZED}) WHERE true".replace("arg_min(l_orderkey, [size, l_orderkey])", "arg_min(CAST(l_orderkey AS VARCHAR), struct_pack(s := size, k := CAST(l_orderkey AS VARCHAR)))"))
 def tile_size_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest tile names its file: of equal ones the first by path."""
-    return report.tile_size_range(tables.StreamTables(_sized(spark, sf_dir)).tiles)
+    return report.tile_size_range(tables.StreamTables(_sized(spark, sf_dir)).tiles_of("tg_index tile_num size"))
 
 
 @query("""SELECT s_suppkey, i AS tile_num, CAST(16 * (CASE i WHEN 0 THEN 0 WHEN 1 THEN a WHEN 2 THEN a + b END) AS INTEGER) AS mi_col_start, CAST(16 * (CASE i WHEN 0 THEN a WHEN 1 THEN a + b WHEN 2 THEN a + b + c END) AS INTEGER) AS mi_col_end
@@ -309,7 +327,7 @@ def _tail(p_partkey: int) -> bytes:
                  CASE WHEN dq AND k % 2 = 1 THEN k // 4 % 2 ELSE 0 END AS delta_lf_multi, CAST(CASE WHEN lossless THEN 0 WHEN k % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS tx_mode, CAST(k % 11 = 0 AS BIGINT) AS reduced_tx_set, 'OK' AS status FROM l""")
 def frame_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantizer, segments, changes, filters, transform mode and film grain: a header is read to its end, and a tile follows."""
-    n = tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey"), _tail, "p_partkey", "payload")).nested
+    n = tables.StreamTables(fx.build(_dealt(spark, sf_dir, "part").select("p_partkey"), _tail, "p_partkey", "payload")).nested
     names = ("base_q_idx", "delta_q_y_dc", "delta_q_u_ac", "segmentation_enabled", "seg_id_pre_skip", "last_active_seg_id", "coded_lossless", "delta_q_present", "delta_q_res", "delta_lf_present", "delta_lf_multi", "tx_mode", "reduced_tx_set")
     return n.select(_key("p_partkey"), *[f"frame_header.{c}" for c in names], F.col("frame_header.alt_q")[0]["value"].alias("alt_q_0"), F.when(F.size("tiles") == 1, F.col("status")).alias("status"))
 
@@ -325,7 +343,7 @@ def _quarters(p_partkey: int, p_size: int) -> bytes:
            FROM (SELECT p_partkey, p_size, i, (p_partkey >> i) & 1 AS skip, (7 * p_partkey + 5 * i + p_size) % 13 AS y_mode, (p_partkey + 31 * i) % 121 - 60 AS dc FROM part, unnest(range(4)) AS u(i))""")
 def tile_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tiles of four blocks: flags, modes, angles and a coefficient of each, with contexts from the blocks around, to the exit."""
-    s = tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), _quarters, "p_partkey", "payload"), keep_content=True)
+    s = tables.StreamTables(fx.build(_dealt(spark, sf_dir, "part").select("p_partkey", "p_size"), _quarters, "p_partkey", "payload"), keep_content=True)
     b = probe.tile_probe(s, fx.distributions(), whole=True, blocks=True).select("path", "status", F.posexplode("blocks").alias("block_no", "b"))
     t = F.try_element_at("b.tx", F.lit(1))
     return b.select(_key("p_partkey"), "block_no", "b.r", "b.c", "b.skip", "b.y_mode", "b.angle_delta_y", t["all_zero"].alias("all_zero"), t["dc"].alias("dc"), t["cul_level"].alias("cul_level"), "status")
@@ -349,7 +367,7 @@ def _colour(p_partkey: int, p_size: int) -> bytes:
                  CAST(CASE WHEN skip = 0 AND (k + i) % 5 <> 2 THEN (k + i) % 5 - 2 END AS INTEGER) AS luma, CAST(CASE WHEN skip = 0 AND (k // 5 + i) % 5 <> 2 THEN (k // 5 + i) % 5 - 2 END AS INTEGER) AS chroma, CAST(CASE WHEN skip = 0 THEN 3 ELSE 0 END AS INTEGER) AS transforms FROM e""")
 def tile_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tiles with chroma, segments, filter indexes, changes of quantizer and filter, and chroma from luma."""
-    s = tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), _colour, "p_partkey", "payload"), keep_content=True)
+    s = tables.StreamTables(fx.build(_dealt(spark, sf_dir, "part").select("p_partkey", "p_size"), _colour, "p_partkey", "payload"), keep_content=True)
     b = probe.tile_probe(s, fx.distributions(), whole=True, blocks=True).select("path", "status", F.posexplode("blocks").alias("block_no", "b"))
     level = lambda i: F.try_element_at("b.tx", F.lit(i))["dc"]
     names = ("skip", "segment_id", "qindex", "cdef", "current_qindex", "y_mode", "uv_mode", "cfl_alpha_u", "cfl_alpha_v")
@@ -358,7 +376,7 @@ def tile_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _divided(spark: SparkSession, sf_dir: str) -> tables.StreamTables:
     make = lambda p_partkey, p_size: fx.syntax_stream(fx.divided_tile([p_partkey % 9, p_size % 9, p_partkey // 9 % 9, p_size // 9 % 9], p_partkey))
-    return tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey", "payload"), keep_content=True)
+    return tables.StreamTables(fx.build(_dealt(spark, sf_dir, "part").select("p_partkey", "p_size"), make, "p_partkey", "payload"), keep_content=True)
 
 
 _LEAVES = "[" + ", ".join(str(len(b)) for _, b in fx.DIVISIONS) + "]"
@@ -385,7 +403,7 @@ def _firsts(spark: SparkSession, sf_dir: str) -> tables.StreamTables:
     def make(p_partkey: int) -> bytes:
         return fx.syntax_stream(fx.divided_tile([p_partkey % 9, 0, 0, 0], p_partkey, first_only=True))
 
-    return tables.StreamTables(fx.build(_table(spark, sf_dir, "part").select("p_partkey"), make, "p_partkey", "payload"), keep_content=True)
+    return tables.StreamTables(fx.build(_dealt(spark, sf_dir, "part").select("p_partkey"), make, "p_partkey", "payload"), keep_content=True)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 16 IN (1, 2, 3, 4, 5, 6, 7, 8) THEN ['sequence_header', 'temporal_delimiter', 'frame_header', 'tile_group', 'metadata', 'frame', 'redundant_frame_header', 'tile_list'][p_size % 16] WHEN p_size % 16 = 9 THEN 'padding' ELSE 'reserved' END AS obu_name,

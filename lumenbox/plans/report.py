@@ -108,13 +108,22 @@ def totals(checks: DataFrame) -> DataFrame:
 def offset_check(tiles: DataFrame, starts: DataFrame, size_bytes: Column | int) -> DataFrame:
     """(path, tg_index, tile_num, ok): a tile begins where the one before it ended and its size field is over. ``starts``:
     (path, tg_index, first) with the offset after the group's flags."""
-    before = Window.partitionBy("path", "tg_index").orderBy("tile_num").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path", "tg_index").orderBy("tile_num").rowsBetween(1, Window.unboundedFollowing)
-    fields = F.row_number().over(Window.partitionBy("path", "tg_index").orderBy("tile_num")) - F.when(F.count("*").over(after) == 0, 1).otherwise(0)
+    group = Window.partitionBy("path", "tg_index").orderBy("tile_num")
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    fields = F.row_number().over(group) - F.when(F.lead(F.lit(1)).over(group).isNull(), 1).otherwise(0)
     ran = tiles.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0)) + fields * size_bytes)
     return ran.join(starts, ["path", "tg_index"]).select("path", "tg_index", "tile_num", (F.col("offset") == F.col("first") + F.col("ahead")).alias("ok"))
 
 
+def offset_checks(streams: DataFrame, size_bytes: int) -> DataFrame:
+    """``offset_check`` of streams of one tile group each, (path, tiles, first): the tiles of a stream are in one row, in the order
+    of their numbers, so nothing is shuffled."""
+    ends = F.aggregate("tiles", F.array("first"), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["size"] + size_bytes)))
+    at = lambda t, i: F.col("ends")[i] + F.when(i == F.size("tiles") - 1, 0).otherwise(size_bytes)
+    each = streams.withColumn("ends", ends).select("path", F.explode(F.transform("tiles", lambda t, i: F.struct(t["tg_index"].alias("tg_index"), t["tile_num"].alias("tile_num"), (t["offset"] == at(t, i)).alias("ok")))).alias("t"))
+    return each.select("path", "t.*")
+
+
 def expected_tiles(tiles: DataFrame, expected: DataFrame) -> DataFrame:
     """(path, ok) of each path in either table of (path, tile_num, size): whether both have the same tiles."""
     a = tiles.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("tile_num", "size"))).alias("got"))
