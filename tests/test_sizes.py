@@ -1,16 +1,14 @@
 """What keeps the media queries bounded on large tables: batches, tasks, remembered headers, checks without a shuffle."""
 
-import os
-
 import duckdb
 import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 
 from lumenbox import batches
 from lumenbox import fixtures as fx
 from lumenbox.operators import coefficients, streams, tables
 from lumenbox.plans import queries, report
+from lumenbox.sources import files
 
 DATA = "/root/testdata/sf0.001"
 
@@ -89,3 +87,23 @@ def test_parts_of_streams(spark):
     assert sorted(s.tiles_of("tile_num size").collect()) == sorted(s.tiles.select("path", "tile_num", "size").collect())
     strict = tables.StreamTables(queries._golden(spark), mode=tables.DROPMALFORMED)
     assert sorted(strict.tiles_of("size").collect()) == sorted(s.tiles_of("size").collect())
+
+
+def test_file_scan_finds_empty_and_repeated_files(spark, tmp_path):
+    """Documents without text, and documents that repeat an id, in one task and in several."""
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE documents AS SELECT * FROM '{DATA}/documents.parquet' UNION ALL SELECT doc_id, '', lang, source, 0 FROM '{DATA}/documents.parquet' WHERE doc_id < 3")
+    con.sql("INSERT INTO documents SELECT doc_id, text || '!', lang, source, n_chars FROM documents WHERE doc_id BETWEEN 2 AND 5")
+    con.sql(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    want = sorted(con.sql(queries.ORACLES["file_scan"]).fetchall())
+    assert sum(length == 0 for _, length, _ in want) == 3 and len(want) == 208
+    assert sorted(tuple(r) for r in queries.QUERIES["file_scan"](spark, str(tmp_path)).collect()) == want
+
+
+def test_scan_of_empty_files_with_odd_names(spark, tmp_path):
+    for name in ("a b+c%41é.avif", "sub/x.avif", "generated/y.avif", "z.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).touch()
+    (tmp_path / "full +%.avif").write_bytes(b"x")
+    got = files.scan(spark, str(tmp_path)).collect()
+    assert sorted((r.path.rpartition("/")[2], r.length, bytes(r.content)) for r in got) == [("a b+c%41é.avif", 0, b""), ("full +%.avif", 1, b"x"), ("x.avif", 0, b"")]
