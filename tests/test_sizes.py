@@ -7,7 +7,7 @@ import pytest
 from lumenbox import batches
 from lumenbox import fixtures as fx
 from lumenbox.operators import coefficients, streams, tables
-from lumenbox.plans import queries, report
+from lumenbox.plans import queries, report, views  # noqa: F401  views registers its queries
 from lumenbox.sources import files
 
 DATA = "/root/testdata/sf0.001"
